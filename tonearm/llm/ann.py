@@ -128,7 +128,8 @@ def _window(keyed: DataFrame, k: int, counts: np.ndarray, ix: CurveIndex) -> int
                 continue
             rows, own = _matrix(b["v"]), b["vec_id"].to_numpy()
             for i, (near, score) in enumerate(_best(queries, rows, own, ids, k)):
-                yield pd.DataFrame({"q": i, "vec_id": own[near], "score": score, "blocks": list(b["blocks"].iloc[near])})
+                if len(near):
+                    yield pd.DataFrame({"q": i, "vec_id": own[near], "score": score, "blocks": list(b["blocks"].iloc[near])})
 
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     found = keyed.select("vec_id", "v", "blocks").mapInPandas(exact, "q int, vec_id long, score double, blocks array<int>").withColumn("r", rank).where(F.col("r") <= k).select("q", "blocks").collect()
