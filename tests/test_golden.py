@@ -208,3 +208,29 @@ def test_queue_stream(spark, tmp_path):
         assert {(r.path, r.status) for r in spark.sql("SELECT * FROM states").collect()} == {("a", "done"), ("b", "pending")}
     finally:
         q.stop()
+
+
+FOLDERS = {
+    "1974 - Diamond Dogs (1984, W. Germany, RCA PD83889)": dict(year="1974", title="Diamond Dogs", artist=None, edition_year="1984", country="DE", source=None),
+    "1968. Creedence - Bayou Country (Fantasy FCD 8387-2, Germany)": dict(year="1968", artist="Creedence", title="Bayou Country"),
+    "(Japanese_SICP-1700).High_Voltage": dict(year=None, title="High Voltage", country="JP", notes=["Japanese SICP-1700"]),
+    "Linkin Park - 2003 - Meteora 20th Anniversary Edition (MQA)": dict(artist="Linkin Park", year="2003", title="Meteora", edition="20th Anniversary Edition", source="digital", notes=["MQA"]),
+    "Diana Krall- All For You XRCD Japan": dict(artist="Diana Krall", title="All For You", source="cd", country="JP"),
+    "Miles Davis All Stars - Walkin' XRCD": dict(title="Walkin'", source="cd"),
+    "Ella Fitzgerald & Oscar Peterson - Ella and Oscar (1975, JVC-XRCD)": dict(artist="Ella Fitzgerald & Oscar Peterson", title="Ella and Oscar", year="1975", source="cd"),
+    "Van Halen - 1984": dict(artist="Van Halen", title="1984", year="1984"),
+    "Steely Dan - Aja 1977": dict(title="Aja", year="1977"),
+    "Pink Floyd - The Dark Side of the Moon (2011 Remaster) [24-96]": dict(title="The Dark Side of the Moon", edition="2011 Remaster", edition_year="2011", year=None, source="digital"),
+    "Led Zeppelin - Physical Graffiti (24-96 Vinyl Rip)": dict(source="vinyl"),
+    "Some Band - The Best of Us": dict(title="The Best of Us"),
+}
+
+
+def test_folder_names(spark):
+    from tonearm.sources import folders
+
+    got = {r.name: r.asDict() for r in folders.parse_folders(spark.createDataFrame([(n,) for n in FOLDERS], "name string")).collect()}
+    for name, want in FOLDERS.items():
+        assert {k: got[name][k] for k in want} == want, name
+    tags_ = spark.createDataFrame([("Meteora (20th Anniversary Edition)",), ("Aja",), ("LP",)], "album string")
+    assert {r.album: (r.title, r.edition) for r in folders.parse_album_titles(tags_).collect()} == {"Meteora (20th Anniversary Edition)": ("Meteora", "20th Anniversary Edition"), "Aja": ("Aja", None), "LP": ("LP", None)}
