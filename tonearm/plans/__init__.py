@@ -1,6 +1,6 @@
 """Registered queries of the catalogue operators."""
 
-from . import discs, identify, libraries, sound, strings, tagging  # noqa: F401
+from . import discs, identify, libraries, releases, sound, strings, tagging  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
