@@ -15,7 +15,7 @@ from .hilbert import cells_of, hilbert_keys
 from .tokens import encoder
 
 #: Texts that are encoded at a time.
-BATCH_TEXTS = 2048
+BATCH_TEXTS = 512
 
 
 @dataclass(frozen=True)
@@ -29,12 +29,12 @@ class Curve:
 
 def project(ids: np.ndarray, lengths: np.ndarray, curve: Curve) -> np.ndarray:
     """Mean random direction of the hashed ids of each document: its hashed vector, projected (documents, dims)."""
-    table = np.random.Generator(np.random.PCG64(curve.seed)).normal(size=(1 << 16, curve.dims)).astype(np.float32)
+    table = np.random.Generator(np.random.PCG64(curve.seed)).normal(size=(curve.dims, 1 << 16)).astype(np.float32)
     hashed = (ids * np.uint32(0x9E3779B1)) >> np.uint32(16)
     starts = np.cumsum(lengths) - lengths
     out = np.empty((len(lengths), curve.dims))
     for d in range(curve.dims):
-        out[:, d] = np.add.reduceat(table[hashed, d], starts)
+        out[:, d] = np.add.reduceat(table[d][hashed], starts)
     return out / lengths[:, None]
 
 

@@ -7,7 +7,9 @@ import os
 import numpy as np
 
 #: Words whose ids a process keeps; about 200 bytes each. Others are encoded in each batch.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 600_000
+#: New words that are encoded in one text.
+WORDS_AT_A_TIME = 4096
 
 
 
@@ -48,8 +50,12 @@ class BatchEncoder:
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of each word after what parts it from the text before: a blank, or its own newline.
 
-        The words are encoded in one text, a line each; a newline's id parts their ids.
+        Many words are encoded in one text, a line each; a newline's id parts their ids.
         """
+        if not words:
+            return {}
+        if len(words) > WORDS_AT_A_TIME:
+            return {w: x for a in range(0, len(words), WORDS_AT_A_TIME) for w, x in self._encode_words(words[a : a + WORDS_AT_A_TIME]).items()}
         lines = [w[1:] if w[0] == "\n" else f" {w}" for w in words]
         ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(["", *lines])], add_special_tokens=False)[0].ids, "<u4")
         cut = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
@@ -76,16 +82,14 @@ class BatchEncoder:
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         if split:
-            new = list(met.difference(self.known))
-            if new:
-                found = self._encode_words(new)
-                if len(self.known) + len(found) > self.kept:
-                    known = self.known
-                    self.known = {w: known[w] for w in met if w in known}
-                self.known.update(found)
+            found = self._encode_words(list(met.difference(self.known)))
+            self.known.update(found)
             ids_of = self.known.__getitem__
             for (i, own), first in zip(split, self._whole([own[1] for _, own in split]), strict=True):
                 out[i] = first + b"".join(map(ids_of, own[2:]))
+            if len(self.known) > self.kept:  # the words met first stay: frequent ones are among them
+                for w in found:
+                    del self.known[w]
         return out
 
 

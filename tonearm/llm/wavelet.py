@@ -20,17 +20,17 @@ MAGIC = b"TAWM1\n"
 #: Bits between two stored ranks of a plane.
 RANK_STEP = 512
 #: Ids of a shard; a shard is closed with the document that reaches it.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 #: Texts that are encoded at a time.
-BATCH_TEXTS = 2048
+BATCH_TEXTS = 512
 
 
 def build_planes(ids: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Bit planes, highest bit first; each level's order is the one before, zeros first and stable."""
+    """Packed bit planes, highest bit first; each level's order is the one before, zeros first and stable."""
     planes, now = [], ids
     for level in range(levels - 1, -1, -1):
         bit = ((now >> level) & 1).astype(bool)
-        planes.append(bit)
+        planes.append(np.packbits(bit))
         now = np.concatenate((now[~bit], now[bit]))
     return planes
 
@@ -54,7 +54,7 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         ids = np.asarray(ids)
         levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        return cls([np.packbits(b) for b in build_planes(ids, levels)], len(ids))
+        return cls(build_planes(ids, levels), len(ids))
 
     def _bit(self, level: int, i: int) -> int:
         return int(self.planes[level][i >> 3] >> (7 - (i & 7))) & 1
@@ -127,7 +127,7 @@ def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
     codec = pa.Codec("zstd")
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     raw = [np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.asarray(lengths, "<i8").tobytes()]
-    raw += [np.packbits(b).tobytes() for b in build_planes(ids.astype(np.uint16) if levels <= 16 else ids, levels)]
+    raw += [b.tobytes() for b in build_planes(ids.astype(np.uint16) if levels <= 16 else ids, levels)]
     blocks = [codec.compress(r, asbytes=True) for r in raw]
     head = json.dumps({"documents": len(doc_ids), "ids": len(ids), "levels": levels, "blocks": [[len(r), len(b)] for r, b in zip(raw, blocks, strict=True)]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(blocks)
