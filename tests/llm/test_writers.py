@@ -185,3 +185,15 @@ def test_pipeline_stages(spark):
     odd = spark.createDataFrame([(None, None, None, None, None, 1), (900, "", None, None, 0, 1), (901, "word", "en", "s", 4, 1)], docs.schema.simpleString()[7:-1].replace(":", " ") + ", copies int")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF).count() >= 0, name
+
+
+def test_pipeline_mixing_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * (i % 5), "en", "abc"[i % 3], 9) for i in range(30)] + [(3, "w w w ", "en", "a", 9), (None, "w", "en", "a", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.size] += r.copies
+    got = Counter((r.doc_id, len((r.text or "").split())) for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect())
+    assert got == Counter({k: n for k, n in taken.items() if n})

@@ -68,7 +68,7 @@ def _matrix(col: pd.Series) -> np.ndarray:
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): vectors of doubles. Null ids, null, empty and zero vectors, and vectors with null or
-    non-finite components are left out; of rows with the same id and vector one stays."""
+    non-finite components are left out. Rows that repeat an id stay; they are found once, with their best score."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (
