@@ -234,3 +234,24 @@ def test_folder_names(spark):
         assert {k: got[name][k] for k in want} == want, name
     tags_ = spark.createDataFrame([("Meteora (20th Anniversary Edition)",), ("Aja",), ("LP",)], "album string")
     assert {r.album: (r.title, r.edition) for r in folders.parse_album_titles(tags_).collect()} == {"Meteora (20th Anniversary Edition)": ("Meteora", "20th Anniversary Edition"), "Aja": ("Aja", None), "LP": ("LP", None)}
+
+
+def test_lookup_answers(spark):
+    from tonearm.operators import lookups
+
+    asks = [(1, "cmd=cddb+query+2a024903+3+150+15150+28650+622&hello=u+h+X+1&proto=6"), (2, "cmd=cddb+query+00000001+1+150+60"), (3, "cmd=cddb+query+bad"), (4, "cmd=proto+6")]
+    media = [("good", 3, [200, 180, 242], "坂本龍一", "音楽図鑑", "1984", "JP", "CD", "MDCL-1234"), ("poor", 3, [205, 170, 250], "坂本龍一", "音楽図鑑 (remaster)", "2015", "JP", "CD", None), ("other", 2, [100, 100], "x", "Other", None, None, None, None)]
+    m = spark.createDataFrame(media, "medium_id string, tracks int, durations array<long>, artist string, title string, year string, country string, format string, catalog_number string")
+    got = {r.req_id: (r.code, r.answer.split("\n")) for r in lookups.answers(lookups.parse_requests(spark.createDataFrame(asks, "req_id int, query string")), m).collect()}
+    assert got[1][0] == 211 and got[1][1][1] == "rock 2a024903 坂本龍一 / 音楽図鑑 [1984 · JP · CD · MDCL-1234]" and got[1][1][2].startswith("misc 2a024903 ") and got[1][1][-1] == "."
+    assert got[2][0] == 202 and got[3][0] == 500 and 4 not in got
+    assert lookups and one(spark, a=F.size(F.split(lookups.wrapped_field(F.lit("TTITLE0"), F.lit("あ" * 120)), "\n"))) == 2
+
+
+def test_stream_info(spark):
+    from tonearm.operators import lookups
+
+    packed = (44100 << 44) | (1 << 41) | (15 << 36) | 123456789
+    block = (4096).to_bytes(2, "big") * 2 + (14).to_bytes(3, "big") + (8000).to_bytes(3, "big") + packed.to_bytes(8, "big") + bytes(range(16))
+    f = lookups.stream_info(F.lit(block))
+    assert tuple(spark.range(1).select(*f.values()).first()) == (4096, 4096, 14, 8000, 44100, 2, 16, 123456789, bytes(range(16)).hex())
