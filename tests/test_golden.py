@@ -255,3 +255,13 @@ def test_stream_info(spark):
     block = (4096).to_bytes(2, "big") * 2 + (14).to_bytes(3, "big") + (8000).to_bytes(3, "big") + packed.to_bytes(8, "big") + bytes(range(16))
     f = lookups.stream_info(F.lit(block))
     assert tuple(spark.range(1).select(*f.values()).first()) == (4096, 4096, 14, 8000, 44100, 2, 16, 123456789, bytes(range(16)).hex())
+
+
+def test_track_checksums(spark):
+    import zlib
+
+    assert one(spark, a=F.crc32(F.lit(b"123456789"))) == 0xCBF43926
+    pcm, trim = bytes(i % 251 for i in range(80_000)), 5880 * 4
+    got = one(spark, a=discs.track_crc(F.lit(pcm), F.lit(True), F.lit(False)), b=discs.track_crc(F.lit(pcm), F.lit(False), F.lit(True)), c=discs.track_crc(F.lit(pcm[:100]), F.lit(True), F.lit(True)))
+    assert got == (zlib.crc32(pcm[trim:]), zlib.crc32(pcm[:-trim]), None)
+    assert one(spark, a=discs.folder_of(F.lit("b"), F.lit(2), F.lit(3)), b=discs.folder_of(F.lit("b"), F.lit(1), F.lit(1))) == ("b/Disc 2", "b")

@@ -59,3 +59,19 @@ def ctdb_toc(lead: Column, offsets: Column) -> Column:
 
 def musicbrainz_toc(first: Column, last: Column, lead: Column, offsets: Column) -> Column:
     return F.concat_ws("+", first.cast("string"), last.cast("string"), lead.cast("string"), F.array_join(F.transform(offsets, lambda o: o.cast("string")), "+"))
+
+#: Samples that a disc checksum leaves out at both ends of a disc, and bytes of a 16-bit stereo sample.
+TRIM_SAMPLES, SAMPLE_BYTES = 5880, 4
+
+
+def track_crc(pcm: Column, is_first: Column, is_last: Column) -> Column:
+    """CRC-32 of a track's PCM without the trim at the disc's start or end; null if nothing is left."""
+    trim = TRIM_SAMPLES * SAMPLE_BYTES
+    head, tail = F.when(is_first, trim).otherwise(0), F.when(is_last, trim).otherwise(0)
+    left = F.octet_length(pcm) - head - tail
+    return F.when(left > 0, F.crc32(F.substring(pcm, head + 1, left)))
+
+
+def folder_of(base: Column, disc: Column, total: Column) -> Column:
+    """The folder of a set member's files: ``base/Disc n`` where the set has several discs."""
+    return F.when(total > 1, F.concat(base, F.lit("/Disc "), disc.cast("string"))).otherwise(base)

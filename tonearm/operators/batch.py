@@ -100,3 +100,29 @@ def pick_artwork(images: DataFrame) -> DataFrame:
     ok = (F.col("width") >= 200) & ((F.col("source") == "local") | (F.col("bytes") > 1024)) & (at > 0)
     rows = images.withColumns({"at": at, "turn": turn}).where(ok & ((F.col("source") != "fanart") | (F.col("turn") <= 2)))
     return rows.groupBy("album_id").agg(F.min(F.struct("at", "image_id", "source")).alias("b")).select("album_id", "b.image_id", "b.source")
+
+
+def restore_outcome(albums: DataFrame, restored: DataFrame) -> DataFrame:
+    """album_id, state, backups: restored albums lose their backups and wait for review if a candidate is selected, else they are scanned."""
+    back = restored.select("album_id", F.lit(True).alias("restored")).distinct()
+    rows = albums.join(back, "album_id", "left")
+    state = F.when(F.col("restored"), F.when(F.col("selected").isNotNull(), "needsReview").otherwise("scanned")).otherwise(F.col("state"))
+    return rows.select("album_id", state.alias("state"), F.when(F.col("restored"), 0).otherwise(F.col("backups")).alias("backups"))
+
+
+def extraction_state(tracks: DataFrame) -> DataFrame:
+    """album_id, state, frames: scanned if every track has the frames expected and no gap, else an error; (album_id, frames, expected, contiguous) rows."""
+    ok = F.bool_and((F.col("frames") == F.col("expected")) & F.col("contiguous"))
+    return tracks.groupBy("album_id").agg(F.when(ok, "scanned").otherwise("error").alias("state"), F.sum("frames").alias("frames"))
+
+
+def mean_confidence(lines: DataFrame) -> DataFrame:
+    """album_id, confidence: mean confidence of recognised lines, 0 without any."""
+    return lines.groupBy("album_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+
+
+def start_batch(albums: DataFrame, folders: DataFrame) -> DataFrame:
+    """album_id, status: a batch's first states: done where its folder is written already, ready to finish where it is chosen, else pending."""
+    written = folders.select("folder", F.lit(True).alias("written")).distinct()
+    rows = albums.join(written, "folder", "left")
+    return rows.select("album_id", F.when(F.col("written"), "done").when(F.col("chosen").isNotNull(), "readyToFinish").otherwise("pending").alias("status"))

@@ -176,3 +176,30 @@ def queue_search(spark, d):
     """A filter on normalised names, then a search for a text in any of three columns, in any case."""
     has = lambda c, s: F.lower(c).contains(s)
     return table(spark, d, "part").where(normalize(F.col("p_name")).contains("a") & (has("p_name", "bl") | has("p_brand", "bl") | has("p_type", "brass"))).select(F.col("p_partkey").alias("id"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS album_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS selected, ['done', 'review'][o_orderkey % 2 + 1] AS state, o_orderkey % 5 AS backups FROM orders)
+SELECT album_id, CASE WHEN album_id % 4 = 0 THEN CASE WHEN selected IS NOT NULL THEN 'needsReview' ELSE 'scanned' END ELSE state END AS state, CASE WHEN album_id % 4 = 0 THEN 0 ELSE backups END AS backups FROM a""")
+def restore_outcome(spark, d):
+    a = spark.sql("SELECT o_orderkey AS album_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS selected, CASE o_orderkey % 2 WHEN 0 THEN 'done' ELSE 'review' END AS state, o_orderkey % 5 AS backups FROM {o}", o=table(spark, d, "orders"))
+    return batch.restore_outcome(a, a.where("album_id % 4 = 0"))
+
+
+_EXTRACT = "SELECT l_orderkey AS album_id, CAST(l_quantity AS BIGINT) AS frames, CAST(l_quantity AS BIGINT) + CASE WHEN l_partkey % 20 = 0 THEN 1 ELSE 0 END AS expected, l_suppkey % 30 <> 0 AS contiguous FROM {l}"
+
+
+@query(f"WITH t AS ({_EXTRACT.format(l='lineitem')}) SELECT album_id, CASE WHEN bool_and(frames = expected AND contiguous) THEN 'scanned' ELSE 'error' END AS state, sum(frames)::BIGINT AS frames FROM t GROUP BY 1")
+def extraction_state(spark, d):
+    return batch.extraction_state(spark.sql(_EXTRACT, l=table(spark, d, "lineitem")))
+
+
+@query("SELECT user_id AS album_id, round(coalesce(avg(CASE WHEN event_id % 3 = 0 THEN value END), 0), 4) AS confidence FROM events GROUP BY 1")
+def mean_confidence(spark, d):
+    lines = table(spark, d, "events").select(F.col("user_id").alias("album_id"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("confidence"))
+    return batch.mean_confidence(lines).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("SELECT o_orderkey AS album_id, CASE WHEN o_custkey % 5 = 0 THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'readyToFinish' ELSE 'pending' END AS status FROM orders")
+def batch_start(spark, d):
+    a = table(spark, d, "orders").select(F.col("o_orderkey").alias("album_id"), F.col("o_custkey").alias("folder"), F.when(F.col("o_orderkey") % 3 == 0, 1).alias("chosen"))
+    return batch.start_batch(a, a.where("folder % 5 = 0").select("folder"))
