@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 #: Words whose ids a process keeps; about 200 bytes each. Others are encoded in each batch.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 #: New words that are encoded in one text.
 WORDS_AT_A_TIME = 4096
 
 
 
+#: White space other than blanks and newlines, as the tokenizer or as Python sees it.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 class BatchEncoder:
     """Encodes texts to the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
@@ -69,27 +74,30 @@ class BatchEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        split, odd, met = [], [], set()
+        split, odd, new = [], [], set()
+        known = self.known.get
         for i, t in enumerate(texts):
-            if self.by_word and t:
-                # as many words as blanks and newlines and one, and no other character between them
-                words, own = t.split(), f" {t}".replace("\n", " \n").split(" ")
-                if len(words) == len(own) - 1 and len("".join(words)) == len(t) - len(words) + 1:
-                    split.append((i, own))
-                    met.update(own[2:])
+            if self.by_word and t and not _OTHER_SPACE.search(t):
+                own = f" {t}".replace("\n", " \n").split(" ")
+                parts = list(map(known, own))
+                parts[1] = b""  # the first word follows no blank
+                missed = [k for k, p in enumerate(parts) if p is None][1:]
+                words = [own[k] for k in missed]
+                if not (own[1] == "" or "" in words or "\n" in words or own[1][0] == "\n"):
+                    split.append((i, own[1], parts, missed, words))
+                    new.update(words)
                     continue
             odd.append(i)
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
-        if split:
-            found = self._encode_words(list(met.difference(self.known)))
-            self.known.update(found)
-            ids_of = self.known.__getitem__
-            for (i, own), first in zip(split, self._whole([own[1] for _, own in split]), strict=True):
-                out[i] = first + b"".join(map(ids_of, own[2:]))
-            if len(self.known) > self.kept:  # the words met first stay: frequent ones are among them
-                for w in found:
-                    del self.known[w]
+        found = self._encode_words(list(new))
+        for (i, _, parts, missed, words), first in zip(split, self._whole([x[1] for x in split]), strict=True):
+            for k, w in zip(missed, words, strict=True):
+                parts[k] = found[w]
+            parts[0] = first
+            out[i] = b"".join(parts)
+        for w in found if len(self.known) < self.kept else ():  # the words met first stay: frequent ones are among them
+            self.known[w] = found[w]
         return out
 
 

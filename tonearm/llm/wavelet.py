@@ -29,7 +29,7 @@ def build_planes(ids: np.ndarray, levels: int) -> list[np.ndarray]:
     """Packed bit planes, highest bit first; each level's order is the one before, zeros first and stable."""
     planes, now = [], ids
     for level in range(levels - 1, -1, -1):
-        bit = ((now >> level) & 1).astype(bool)
+        bit = (now & now.dtype.type(1 << level)) != 0
         planes.append(np.packbits(bit))
         now = np.concatenate((now[~bit], now[bit]))
     return planes
@@ -52,7 +52,7 @@ class WaveletMatrix:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.asarray(ids)
+        ids = np.asarray(ids).astype(np.uint32)
         levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         return cls(build_planes(ids, levels), len(ids))
 
@@ -112,12 +112,12 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All values, from the lowest plane up."""
-        now = np.zeros(self.n, np.uint32)
+        now = np.zeros(self.n, np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             up = np.empty_like(now)
             up[~bit] = now[: self.zeros[level]]
-            up[bit] = now[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            up[bit] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
             now = up
         return now
 
