@@ -154,3 +154,9 @@ def test_fingerprints_edges(spark):
     assert [(r.doc_id, r.edited_sha256) for r in one] == [(5, hashlib.sha256(b"abcdefab").hexdigest())]
     twice = spark.createDataFrame([(None, "n"), (1, "same"), (1, "same"), (1, "other text")], "doc_id long, text string")
     assert fingerprints.fingerprint_documents(twice).count() == 4
+
+
+def test_batches_without_a_word(spark):
+    rows = [(1, ""), (2, None), (3, " \n"), (4, ""), (None, "a b")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id, r.class_id, r.links) for r in got) == [(1, 1, 1), (2, 2, 0), (3, 3, 0), (4, 1, 1)]
