@@ -138,8 +138,8 @@ def catalogue_variants(raw: Column) -> Column:
 
 
 def codes_match(a: Column, b: Column) -> Column:
-    """Of catalogue keys: equal, or the first is at least 6 long and one ends the other."""
-    return (a == b) | ((F.length(a) >= 6) & (F.length(b) >= 6) & (a.endswith(b) | b.endswith(a)))
+    """Of catalogue keys: the first is not empty, and they are equal, or it is at least 6 long and one ends the other."""
+    return (a != "") & ((a == b) | ((F.length(a) >= 6) & (a.endswith(b) | b.endswith(a))))
 
 
 def duration_ms(text: Column) -> Column:

@@ -198,13 +198,18 @@ def twin_pairs(candidates: DataFrame) -> DataFrame:
 
 
 def suffix_code_join(local: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """album_id, candidate_id, local_key, key: catalogue keys that are equal, or of which one of 6 or more ends the other.
+    """album_id, candidate_id, local_key, key: catalogue keys that are equal, or of which one ends the other where the local one is 6 or longer.
 
-    local: (album_id, local_key); catalogue: (candidate_id, key). Blocked by the last six characters, short keys by themselves.
+    local: (album_id, local_key); catalogue: (candidate_id, key). Blocked by the last six characters, short keys by
+    themselves; shorter catalogue keys are looked up among the short ends of the local keys of 6 or more.
     """
     block = lambda k: F.when(F.length(k) >= 6, F.right(k, F.lit(6))).otherwise(k)
-    met = local.withColumn("block", block(F.col("local_key"))).join(catalogue.withColumn("block", block(F.col("key"))), "block")
-    return met.where(codes_match(F.col("local_key"), F.col("key"))).select("album_id", "candidate_id", "local_key", "key").distinct()
+    ends = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda n: F.right(F.col("local_key"), n))
+    c = catalogue.withColumn("block", block(F.col("key")))
+    same = local.withColumn("block", block(F.col("local_key"))).join(c, "block")
+    short = local.where(F.length("local_key") >= 6).withColumn("block", F.explode(ends)).join(c.where(F.length("key") < 6), "block")
+    met = same.unionByName(short).where(codes_match(F.col("local_key"), F.col("key")))
+    return met.select("album_id", "candidate_id", "local_key", "key").distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
