@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
+import __spark_entry__ as entry_module
 from tonearm.operators import evidence
 
+SF = "/root/testdata/sf0.001"
+
 
 def ends(local: str, key: str) -> bool:
     return local != "" and (local == key or (len(local) >= 6 and (local.endswith(key) or key.endswith(local))))
@@ -19,3 +24,10 @@ def test_suffix_code_join_by_force(spark):
     want = sorted((a, c, x, y) for a, x in local for c, y in catalogue if ends(x, y))
     assert sorted(map(tuple, got.collect())) == want
     assert (0, 501, "ABC12345", "12345") in want
+
+
+def test_catalogue_suffix_join_takes_all_parts(spark):
+    parts = [(r.p_partkey, re.sub("[^A-Z0-9]", "", r.p_brand.upper())) for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    want = Counter((x, y) for x in [k[p % 2 :] for p, k in parts] for _, y in parts if ends(x, y))
+    got = entry_module.queries()["catalogue_suffix_join"](spark, SF).collect()
+    assert {(r.local_key, r.key): r.pairs for r in got} == want and len(got) == len(want)

@@ -212,6 +212,14 @@ def suffix_code_join(local: DataFrame, catalogue: DataFrame) -> DataFrame:
     return met.select("album_id", "candidate_id", "local_key", "key").distinct()
 
 
+def suffix_code_counts(local: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """local_key, key, pairs of suffix_code_join: how many of its rows have these keys. Only distinct keys are joined."""
+    a = local.distinct().groupBy("local_key").agg(F.count("*").alias("albums"))
+    b = catalogue.distinct().groupBy("key").agg(F.count("*").alias("candidates"))
+    met = suffix_code_join(a.select(F.col("local_key").alias("album_id"), "local_key"), b.select(F.col("key").alias("candidate_id"), "key"))
+    return met.select("local_key", "key").join(a, "local_key").join(b, "key").select("local_key", "key", (F.col("albums") * F.col("candidates")).alias("pairs"))
+
+
 def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_id, right_id of normalised names that are similar, blocked by words.
 

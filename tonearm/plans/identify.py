@@ -229,12 +229,11 @@ def twin_pairs(spark, d):
 @query("""WITH l AS (SELECT DISTINCT p_partkey AS album_id, substr(regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g'), 1 + (p_partkey % 2)::INT) AS k FROM part), c AS (SELECT p_partkey AS candidate_id, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS k FROM part)
 SELECT k AS local_key, k2 AS key, count(*) AS pairs FROM (SELECT l.k, c.k AS k2 FROM l JOIN c ON l.k = c.k OR (length(l.k) >= 6 AND length(c.k) >= 6 AND (ends_with(l.k, c.k) OR ends_with(c.k, l.k))) WHERE l.album_id % 10 = 3) GROUP BY 1, 2""")
 def catalogue_suffix_join(spark, d):
-    """Parts' brands as catalogue numbers; a tenth of the parts are the local albums."""
+    """Parts' brands as catalogue numbers; all parts are local albums too. Keys are counted first, and distinct keys joined."""
     key = text.catalogue_key(F.col("p_brand"))
     part = table(spark, d, "part")
-    local = part.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("album_id"), F.substring(key, (F.col("p_partkey") % 2 + 1).cast("int"), F.lit(99)).alias("local_key"))
-    met = evidence.suffix_code_join(local, part.select(F.col("p_partkey").alias("candidate_id"), key.alias("key")))
-    return met.groupBy("local_key", "key").agg(F.count("*").alias("pairs"))
+    local = part.select(F.col("p_partkey").alias("album_id"), F.substring(key, (F.col("p_partkey") % 2 + 1).cast("int"), F.lit(99)).alias("local_key"))
+    return evidence.suffix_code_counts(local, part.select(F.col("p_partkey").alias("candidate_id"), key.alias("key")))
 
 
 TOCS = """SELECT o_orderkey AS disc_id, o_custkey % 40 AS tracks, (o_custkey % 40) * 1000 + o_orderkey % 300 AS last, o_orderkey % 50 AS first FROM {o} WHERE o_custkey % 40 > 1"""
