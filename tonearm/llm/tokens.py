@@ -26,7 +26,7 @@ class BatchEncoder:
     piece of its own. So a text whose only white space is such blanks and newlines is encoded word by
     word, and a word seen before is looked up. Any other text is encoded whole. Whether a file cuts
     texts in this way is tried out on a few probes when it is loaded; otherwise all texts are encoded
-    whole. Strings of special tokens in a text are ordinary text.
+    whole. A text that holds the string of an added token is encoded whole, as the library does by default.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -34,11 +34,14 @@ class BatchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
+        # an added token that a normalised text may hold, or that white space is part of, can't be looked for in words
+        self.plain_added = not any(re.search(r"\s", t.content) or (t.normalized and self.tokenizer.normalizer is not None) for t in added)
         self.kept = kept
         self.known: dict[str, bytes] = {}
         self.newline = self._whole(["\n"])[0]
-        self.by_word = self._cuts_at_blanks()
+        self.by_word = self.plain_added and self._cuts_at_blanks()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -77,7 +80,7 @@ class BatchEncoder:
         split, odd, new = [], [], set()
         known = self.known.get
         for i, t in enumerate(texts):
-            if self.by_word and t and not _OTHER_SPACE.search(t):
+            if self.by_word and t and not _OTHER_SPACE.search(t) and not self.added.search(t):
                 own = f" {t}".replace("\n", " \n").split(" ")
                 parts = list(map(known, own))
                 parts[1] = b""  # the first word follows no blank
