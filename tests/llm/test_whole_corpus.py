@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from tonearm.llm import packing, queries, wavelet
+from tonearm.llm import mixing, packing, queries, wavelet
 from tonearm.llm.tokens import BatchEncoder
 
 TEXTS = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b\nc", "plain words <|endoftext", "x y", "<|endoftext|> <|endoftext|>"]
@@ -30,3 +31,30 @@ def test_special_tokens_in_texts_as_the_library_does(spark):
     for r in sorted(packing.pack(frame, queries.tokenizer_path()).collect(), key=lambda r: r.start):
         packed.setdefault(r.doc_id, []).extend(r.ids)
     assert packed == {d: [*i, 1] for d, i in enumerate(ids)}
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_class(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(60))
+    near = b + " more"
+    texts = [(0, near), (1, a), (1, b), (2, a), (3, "one two"), (3, "three four"), (3, "One two"), (4, None), (4, None), (None, b), (None, "lone words"), (None, "other words"), (None, "lone words"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in texts], SCHEMA)
+    for parts in (1, 5):
+        got = Counter((r.doc_id, r.text and r.text.lower()) for r in corpus_pipeline.near_duplicate_stage(spark, docs.repartition(parts), SCHEMA).collect())
+        assert got == Counter([(0, near), (1, a), (3, "one two"), (3, "three four"), (4, None), (None, "lone words"), (None, "other words"), (None, None), (None, None)])
+
+
+def test_mixing_stage_keeps_texts_of_one_id_and_size_apart(spark):
+    import corpus_pipeline
+
+    texts = [(d, f"{w} {w}", s) for d, w, s in [(1, "a", "x"), (1, "b", "x"), (None, "c", "x"), (None, "d", "x"), (None, "e", None), (2, "f", None)]]
+    docs = spark.createDataFrame([(d, t, "en", s, 3) for d, t, s in texts], SCHEMA)
+    mixed = mixing.mix(docs).collect()
+    got = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mixing_stage(spark, docs, "").collect())
+    assert set(got) <= set(texts) and len(got) == len([1 for r in mixed if r.copies])
+    for k in {(r.doc_id, r.source) for r in mixed}:
+        assert sorted(r.copies for r in mixed if (r.doc_id, r.source) == k and r.copies) == sorted(n for (d, _, s), n in got.items() if (d, s) == k)
