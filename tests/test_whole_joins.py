@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import __spark_entry__ as entry_module
-from tonearm.operators import evidence
+from tonearm.operators import batch, evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,24 @@ def test_catalogue_suffix_join_takes_all_parts(spark):
     want = Counter((x, y) for x in [k[p % 2 :] for p, k in parts] for _, y in parts if ends(x, y))
     got = entry_module.queries()["catalogue_suffix_join"](spark, SF).collect()
     assert {(r.local_key, r.key): r.pairs for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_media_by_force(spark):
+    rng = random.Random(4)
+    media = [(i, rng.choice([2, 2, 2, 3, 9]), [rng.randint(0, 9), rng.choice([None, 3, 8])]) for i in range(90)] + [(90, 7, [1, 1])]
+    frame = spark.createDataFrame(media, "id long, tracks int, durations array<long>")
+    got = batch.nearest_media(frame.withColumnRenamed("id", "req_id"), frame.withColumnRenamed("id", "medium_id"), 6, block=8)
+    off = lambda x, y: sum(0 if a is None or b is None else abs(a - b) for a, b in zip(x, y, strict=True))
+    want = []
+    for q, t, x in media:
+        met = sorted((off(x, y), m) for m, u, y in media if t == u)
+        want += [(q, m, e, k, len(met)) for k, (e, m) in enumerate(met[:6], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_every_order_is_a_request_and_a_wanted_album(spark):
+    orders = [(r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
+    ranked = entry_module.queries()["cddb_rank"](spark, SF)
+    assert ranked.select("req_id").distinct().count() == len(orders)
+    ids = {(o, p) for o, c in orders for p, b in orders if o != p and ((o % 4 and p % 3 and c == b) or ((o % 4 == 0 or p % 3 == 0) and (c % 97, c % 89) == (b % 97, b % 89)))}
+    assert {tuple(r) for r in entry_module.queries()["library_duplicates"](spark, SF).collect()} == ids

@@ -78,6 +78,24 @@ def best_medium(queries: DataFrame, media: DataFrame) -> DataFrame:
     return met.withColumn("rank", rank).select("req_id", "medium_id", "error", "rank")
 
 
+def nearest_media(queries: DataFrame, media: DataFrame, most: int, block: int = 256) -> DataFrame:
+    """req_id, medium_id, error, rank, matches: the first ranks of best_medium, and how many media a request has.
+
+    Media with equally many tracks are dealt into blocks of about ``block``; a request keeps its best of each
+    block and then the best of these, so pairs are never written, and a common number of tracks is many keys.
+    """
+    c = F.col
+    off = lambda m: F.aggregate(F.zip_with(c("durations"), m["durations"], lambda a, b: F.coalesce(F.abs(a - b), F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    counts = media.groupBy("tracks").agg(F.count("*").alias("matches")).withColumn("blocks", F.ceil(c("matches") / block).cast("int"))
+    dealt = media.join(counts, "tracks").withColumn("block", F.pmod(F.xxhash64("medium_id"), c("blocks")).cast("int"))
+    held = dealt.groupBy("tracks", "block").agg(F.collect_list(F.struct("medium_id", "durations")).alias("media"))
+    asked = queries.join(counts, "tracks").withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
+    best = F.slice(F.array_sort(F.transform("media", lambda m: F.struct(off(m).alias("error"), m["medium_id"].alias("medium_id")))), 1, most)
+    met = asked.join(held, ["tracks", "block"]).select("req_id", "matches", F.explode(best).alias("b")).select("req_id", "matches", "b.error", "b.medium_id")
+    rank = F.row_number().over(Window.partitionBy("req_id").orderBy("error", "medium_id"))
+    return met.withColumn("rank", rank).where(c("rank") <= most).select("req_id", "medium_id", "error", "rank", "matches")
+
+
 def response_code(matches: Column, valid: Column) -> Column:
     """CDDB answers: malformed 500, none 202, one 200, several 211."""
     return F.when(~valid, 500).when(matches == 0, 202).when(matches == 1, 200).otherwise(211)

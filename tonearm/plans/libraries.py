@@ -11,12 +11,14 @@ from .strings import NORMALIZE
 
 _WANT = "SELECT o_orderkey AS album_id, o_orderkey AS own_folder, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS release_key, o_custkey % 97 AS barcode, o_custkey % 89 AS code FROM {o} WHERE o_orderkey % 10 = 1 OR o_orderkey % 8 = 4"
 _HAVE = "SELECT o_orderkey AS folder, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS release_id, o_custkey % 97 AS barcode, o_custkey % 89 AS code FROM {o}"
+_ALBUMS = _WANT.partition(" WHERE ")[0]
 
 
 @query(f"WITH w AS ({_WANT.format(o='orders')}), i AS ({_HAVE.format(o='orders')}) SELECT DISTINCT w.album_id, i.folder FROM w JOIN i ON (w.release_key = i.release_id OR ((i.release_id IS NULL OR w.release_key IS NULL) AND w.barcode = i.barcode AND w.code = i.code)) AND i.folder <> w.own_folder")
 def library_duplicates(spark, d):
+    """Every album is looked up in the index of all folders."""
     o = table(spark, d, "orders")
-    return library.owned_duplicates(spark.sql(_WANT, o=o), spark.sql(_HAVE, o=o))
+    return library.owned_duplicates(spark.sql(_ALBUMS, o=o), spark.sql(_HAVE, o=o))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS folder, o_custkey AS m FROM orders WHERE o_orderkey % 5 <> 0), p AS (SELECT o_orderkey AS folder, o_custkey - (o_orderkey % 3 = 0)::INT AS m FROM orders WHERE o_orderkey % 7 <> 0)
@@ -144,13 +146,10 @@ _MEDIA = "SELECT o_orderkey AS id, o_custkey % 200 AS tracks, o_orderkey % 61 AS
 @query(f"""WITH m AS ({_MEDIA.format(o='orders')}), q AS (SELECT * FROM m WHERE id % 20 = 1), x AS (SELECT q.id AS req_id, m.id AS medium_id, abs(q.a - m.a) + coalesce(abs(q.b - m.b), 0) AS error FROM q JOIN m USING (tracks)),
 r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY error, medium_id)::INT AS rank, count(*) OVER (PARTITION BY req_id) AS n FROM x) SELECT req_id, medium_id, error, rank, CASE n WHEN 1 THEN 200 ELSE 211 END AS code FROM r WHERE rank <= 6""")
 def cddb_rank(spark, d):
-    """The six best media of each request, and the answer's code."""
-    from pyspark.sql import Window
-
+    """The six best media of each request, and the answer's code. Every medium is a request."""
     m = spark.sql(_MEDIA, o=table(spark, d, "orders")).select("id", "tracks", F.array(F.col("a").cast("long"), F.col("b").cast("long")).alias("durations"))
-    r = batch.best_medium(m.where("id % 20 = 1").withColumnRenamed("id", "req_id"), m.withColumnRenamed("id", "medium_id"))
-    n = F.count("*").over(Window.partitionBy("req_id"))
-    return r.withColumn("code", batch.response_code(n, F.lit(True))).where("rank <= 6")
+    r = batch.nearest_media(m.withColumnRenamed("id", "req_id"), m.withColumnRenamed("id", "medium_id"), 6)
+    return r.select("req_id", "medium_id", "error", "rank", batch.response_code(F.col("matches"), F.lit(True)).alias("code"))
 
 
 _QUEUE = "SELECT user_id AS path, ts, event_id AS ord, CASE event_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'readyToFinish' WHEN 2 THEN 'done' WHEN 3 THEN 'review' WHEN 4 THEN 'failed' ELSE 'working' END AS status FROM {e} WHERE event_id % 3 <> user_id % 3"
