@@ -52,3 +52,15 @@ def test_every_order_is_a_request_and_a_wanted_album(spark):
     assert ranked.select("req_id").distinct().count() == len(orders)
     ids = {(o, p) for o, c in orders for p, b in orders if o != p and ((o % 4 and p % 3 and c == b) or ((o % 4 == 0 or p % 3 == 0) and (c % 97, c % 89) == (b % 97, b % 89)))}
     assert {tuple(r) for r in entry_module.queries()["library_duplicates"](spark, SF).collect()} == ids
+
+
+def test_similar_names_by_force(spark):
+    rng = random.Random(6)
+    names = ["abbeyroad", "abbey", "abbey road", "a", "road", "", "beyro", "beyroad", "xabbeyroadx", "abbeyroad"] + ["".join(rng.choices("ab ", k=rng.randint(1, 12))).strip() for _ in range(60)]
+    left, right = list(enumerate(names)), list(enumerate(reversed(names)))
+    alike = lambda x, y: bool(x and y) and (x == y or (len(x) >= 6 and (x in y or y in x)))
+    got = evidence.similar_names(spark.createDataFrame(left, "left_id long, name string"), spark.createDataFrame(right, "right_id long, other string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, x in left for j, y in right if alike(x, y))
+    parts = [r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+    want = Counter((x, y.split(" ")[0]) for x in parts for y in parts if alike(x, y.split(" ")[0]))
+    assert {(r.name, r.other): r.pairs for r in entry_module.queries()["similar_name_pairs"](spark, SF).collect()} == want

@@ -221,14 +221,30 @@ def suffix_code_counts(local: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id of normalised names that are similar, blocked by words.
+    """left_id, right_id of normalised names that are similar: (left_id, name) and (right_id, other) rows.
 
-    A name that holds another shares the other's first whole word or contains it inside a word; only
-    pairs with a word in common are found.
+    Distinct names are joined: equal ones, and either way round the contained ones. A contained name of
+    6 or more is looked up by that of its 6-grams which the fewest containers have, a shorter one by itself,
+    among all grams of its length of the containers; so containment inside words is found too.
     """
-    words = lambda df, key: df.select(key, "name" if key == "left_id" else "other", F.explode(F.array_distinct(F.split("name" if key == "left_id" else "other", " "))).alias("word"))
-    met = words(left, "left_id").join(words(right, "right_id"), "word").select("left_id", "right_id", "name", "other").distinct()
-    return met.where(similar(F.col("name"), F.col("other"))).select("left_id", "right_id")
+    a, b = left.select("name").where("name <> ''").distinct(), right.select("other").where("other <> ''").distinct()
+    long = a.where(F.length("name") >= 6)
+    inside = _contained(b.withColumnRenamed("other", "part"), long.withColumnRenamed("name", "whole")).select(F.col("whole").alias("name"), F.col("part").alias("other"))
+    around = _contained(long.withColumnRenamed("name", "part"), b.withColumnRenamed("other", "whole")).select(F.col("part").alias("name"), F.col("whole").alias("other"))
+    same = a.join(b, F.col("name") == F.col("other"))
+    pairs = same.unionByName(inside).unionByName(around).where(similar(F.col("name"), F.col("other"))).distinct()
+    return left.join(pairs, "name").join(right, "other").select("left_id", "right_id").distinct()
+
+
+def _contained(parts: DataFrame, wholes: DataFrame, size: int = 6) -> DataFrame:
+    """part, whole of distinct strings, none empty, of which one holds the other."""
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    held = reduce(DataFrame.unionByName, [wholes.where(F.length("whole") >= n).select("whole", F.explode(grams(F.col("whole"), F.lit(n))).alias("gram")) for n in range(1, size + 1)])
+    counts = held.where(F.length("gram") == size).groupBy("gram").agg(F.count("*").alias("n"))
+    cut = parts.where(F.length("part") >= size).select("part", F.explode(grams(F.col("part"), F.lit(size))).alias("gram")).join(counts, "gram")
+    rarest = cut.groupBy("part").agg(F.min(F.struct("n", "gram")).alias("g")).select("part", F.col("g.gram").alias("gram"))
+    short = parts.where(F.length("part") < size).select("part", F.col("part").alias("gram"))
+    return rarest.unionByName(short).join(held, "gram").where(F.col("whole").contains(F.col("part"))).select("part", "whole")
 
 
 def toc_matches(discs: DataFrame, tolerance: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import evidence
 from .registry import query, table
 
 _NORM = "trim(regexp_replace(regexp_replace(replace(strip_accents(lower({x})), '&', 'and'), '[^\\p{{L}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g'))"
@@ -25,6 +26,16 @@ def similar_names(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.similar(a, b).alias("alike"))
 
 
+@query()
+def similar_name_pairs(spark, d):
+    """All parts' names against all first words, each with how many pairs of parts it stands for; names are counted first."""
+    part = table(spark, d, "part")
+    a = part.groupBy(text.normalize(F.col("p_name")).alias("name")).agg(F.count("*").alias("m"))
+    b = part.groupBy(text.normalize(F.split("p_name", " ")[0]).alias("other")).agg(F.count("*").alias("n"))
+    met = evidence.similar_names(a.select(F.col("name").alias("left_id"), "name"), b.select(F.col("other").alias("right_id"), "other"))
+    return met.join(a, F.col("left_id") == F.col("name")).join(b, F.col("right_id") == F.col("other")).select("name", "other", (F.col("m") * F.col("n")).alias("pairs"))
+
+
 @query(f"""WITH e AS (SELECT p_partkey AS id, {NORMALIZE.format(x="p_type || ' Remastered Edition'")} AS e, {NORMALIZE.format(x="p_name || ' ' || p_type")} AS c FROM part),
 k AS (SELECT id, c, list_transform(list_filter(string_split(e, ' '), lambda w: w <> '' AND w NOT IN ('edition','version','the','of','and','release','import','press','pressing')), lambda w: CASE WHEN ends_with(w, 'ed') AND length(w) > 5 THEN left(w, length(w) - 2) ELSE w END) AS k FROM e)
 SELECT id, array_to_string(k, ' ') AS keywords, len(list_filter(k, lambda w: len(list_filter(string_split(c, ' '), lambda x: starts_with(x, w))) > 0)) = len(k) AS mentioned FROM k""")
