@@ -135,8 +135,9 @@ def extraction_state(tracks: DataFrame) -> DataFrame:
 
 
 def mean_confidence(lines: DataFrame) -> DataFrame:
-    """album_id, confidence: mean confidence of recognised lines, 0 without any."""
-    return lines.groupBy("album_id").agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    """album_id, confidence: mean confidence of recognised lines, 0 without any. Summed as decimals, so the order of rows does not matter."""
+    mean = F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count("confidence")
+    return lines.groupBy("album_id").agg(F.coalesce(F.when(F.count("confidence") > 0, mean), F.lit(0.0)).alias("confidence"))
 
 
 def start_batch(albums: DataFrame, folders: DataFrame) -> DataFrame:

@@ -226,8 +226,8 @@ def twin_pairs(spark, d):
     return evidence.twin_pairs(spark.sql(CANDIDATES, o=table(spark, d, "orders")))
 
 
-@query("""WITH l AS (SELECT DISTINCT p_partkey AS album_id, substr(regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g'), 1 + (p_partkey % 2)::INT) AS k FROM part), c AS (SELECT p_partkey AS candidate_id, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS k FROM part)
-SELECT k AS local_key, k2 AS key, count(*) AS pairs FROM (SELECT l.k, c.k AS k2 FROM l JOIN c ON l.k = c.k OR (length(l.k) >= 6 AND length(c.k) >= 6 AND (ends_with(l.k, c.k) OR ends_with(c.k, l.k))) WHERE l.album_id % 10 = 3) GROUP BY 1, 2""")
+@query("""WITH k AS (SELECT p_partkey AS id, regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS k FROM part), l AS (SELECT substr(k, 1 + (id % 2)::INT) AS k, count(*) AS n FROM k GROUP BY 1), c AS (SELECT k, count(*) AS n FROM k GROUP BY 1)
+SELECT l.k AS local_key, c.k AS key, l.n * c.n AS pairs FROM l JOIN c ON l.k = c.k OR (length(l.k) >= 6 AND (ends_with(l.k, c.k) OR ends_with(c.k, l.k)))""")
 def catalogue_suffix_join(spark, d):
     """Parts' brands as catalogue numbers; all parts are local albums too. Keys are counted first, and distinct keys joined."""
     key = text.catalogue_key(F.col("p_brand"))

@@ -9,16 +9,16 @@ from ..operators import batch, library
 from .registry import query, table
 from .strings import NORMALIZE
 
-_WANT = "SELECT o_orderkey AS album_id, o_orderkey AS own_folder, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS release_key, o_custkey % 97 AS barcode, o_custkey % 89 AS code FROM {o} WHERE o_orderkey % 10 = 1 OR o_orderkey % 8 = 4"
+_WANT = "SELECT o_orderkey AS album_id, o_orderkey AS own_folder, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS release_key, o_custkey % 97 AS barcode, o_custkey % 89 AS code FROM {o}"
 _HAVE = "SELECT o_orderkey AS folder, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS release_id, o_custkey % 97 AS barcode, o_custkey % 89 AS code FROM {o}"
-_ALBUMS = _WANT.partition(" WHERE ")[0]
 
 
-@query(f"WITH w AS ({_WANT.format(o='orders')}), i AS ({_HAVE.format(o='orders')}) SELECT DISTINCT w.album_id, i.folder FROM w JOIN i ON (w.release_key = i.release_id OR ((i.release_id IS NULL OR w.release_key IS NULL) AND w.barcode = i.barcode AND w.code = i.code)) AND i.folder <> w.own_folder")
+@query(f"""WITH w AS ({_WANT.format(o='orders')}), i AS ({_HAVE.format(o='orders')}) SELECT w.album_id, i.folder FROM w JOIN i ON w.release_key = i.release_id AND i.folder <> w.own_folder
+UNION SELECT w.album_id, i.folder FROM w JOIN i ON w.barcode = i.barcode AND w.code = i.code AND (i.release_id IS NULL OR w.release_key IS NULL) AND i.folder <> w.own_folder""")
 def library_duplicates(spark, d):
     """Every album is looked up in the index of all folders."""
     o = table(spark, d, "orders")
-    return library.owned_duplicates(spark.sql(_ALBUMS, o=o), spark.sql(_HAVE, o=o))
+    return library.owned_duplicates(spark.sql(_WANT, o=o), spark.sql(_HAVE, o=o))
 
 
 @query("""WITH s AS (SELECT o_orderkey AS folder, o_custkey AS m FROM orders WHERE o_orderkey % 5 <> 0), p AS (SELECT o_orderkey AS folder, o_custkey - (o_orderkey % 3 = 0)::INT AS m FROM orders WHERE o_orderkey % 7 <> 0)
@@ -143,7 +143,7 @@ def ctdb_verify(spark, d):
 _MEDIA = "SELECT o_orderkey AS id, o_custkey % 200 AS tracks, o_orderkey % 61 AS a, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 53 END AS b FROM {o}"
 
 
-@query(f"""WITH m AS ({_MEDIA.format(o='orders')}), q AS (SELECT * FROM m WHERE id % 20 = 1), x AS (SELECT q.id AS req_id, m.id AS medium_id, abs(q.a - m.a) + coalesce(abs(q.b - m.b), 0) AS error FROM q JOIN m USING (tracks)),
+@query(f"""WITH m AS ({_MEDIA.format(o='orders')}), x AS (SELECT q.id AS req_id, m.id AS medium_id, abs(q.a - m.a) + coalesce(abs(q.b - m.b), 0) AS error FROM m q JOIN m USING (tracks)),
 r AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY error, medium_id)::INT AS rank, count(*) OVER (PARTITION BY req_id) AS n FROM x) SELECT req_id, medium_id, error, rank, CASE n WHEN 1 THEN 200 ELSE 211 END AS code FROM r WHERE rank <= 6""")
 def cddb_rank(spark, d):
     """The six best media of each request, and the answer's code. Every medium is a request."""
@@ -192,10 +192,10 @@ def extraction_state(spark, d):
     return batch.extraction_state(spark.sql(_EXTRACT, l=table(spark, d, "lineitem")))
 
 
-@query("SELECT user_id AS album_id, round(coalesce(avg(CASE WHEN event_id % 3 = 0 THEN value END), 0), 4) AS confidence FROM events GROUP BY 1")
+@query("SELECT user_id AS album_id, coalesce(CAST(sum(CAST(value AS DECIMAL(18,6))) FILTER (event_id % 3 = 0) AS DOUBLE) / count(value) FILTER (event_id % 3 = 0), 0) AS confidence FROM events GROUP BY 1")
 def mean_confidence(spark, d):
     lines = table(spark, d, "events").select(F.col("user_id").alias("album_id"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("confidence"))
-    return batch.mean_confidence(lines).withColumn("confidence", F.round("confidence", 4))
+    return batch.mean_confidence(lines)
 
 
 @query("SELECT o_orderkey AS album_id, CASE WHEN o_custkey % 5 = 0 THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'readyToFinish' ELSE 'pending' END AS status FROM orders")
