@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -36,15 +37,54 @@ def brute(vectors: dict[int, np.ndarray], k: int) -> dict[int, list[int]]:
     return out
 
 
-def test_nearest_recall(spark):
-    table = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = ann.nearest(ann.valid_vectors(table, "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5, ann.CurveIndex(least_rows=16, ranges=32)).collect()
-    want = brute({r.vec_id: np.array(r.embedding, float) for r in table.collect()}, 5)
-    found = {(r.query_id, r.vec_id) for r in got}
-    assert len([1 for q, ids in want.items() for i in ids if (q, i) in found]) >= 0.9 * sum(map(len, want.values()))
-    for q in want:
-        ranks = sorted((r.rank, -r.score, r.vec_id) for r in got if r.query_id == q)
-        assert [r[0] for r in ranks] == list(range(1, 6)) and ranks == sorted(ranks, key=lambda r: (r[1], r[2]))
+def exact_cosine(a: list[float], b: list[float]) -> float:
+    return math.fsum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(math.fsum(x * x for x in a) * math.fsum(y * y for y in b))
+
+
+def test_nearest_recall_outside_the_fit(spark):
+    """Every fifth row asks; the fit sees 100 of the 400 queries, and recall is of the others."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    vectors, asks = ann.valid_vectors(table, "vec_id", "embedding"), F.col("vec_id") % 5 == 0
+    ix = ann.CurveIndex(sample=100)
+    found, fitted = ann.search(vectors, asks, 5, ix)
+    got = found.collect()
+    rows = {r.vec_id: list(r.embedding) for r in table.collect()}
+    m = np.array([rows[i] for i in sorted(rows)])
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids, near = sorted(rows), (m @ m.T) - 3 * np.eye(len(m))
+    want = {i: {ids[j] for j in np.argsort(-near[at])[:5]} for at, i in enumerate(ids) if i % 5 == 0}
+    by = {q: sorted((r for r in got if r.query_id == q), key=lambda r: r.rank) for q in want}
+    shares = [len(want[q] & {r.vec_id for r in by[q]}) / 5 for q in want]
+    assert sum(shares) / len(shares) >= 0.9
+    # the worst hundred queries can't all be those of the fit: without any hundred of the best the rest still reaches the goal
+    assert (sum(shares) - 100) / (len(shares) - 100) >= 0.9
+    assert fitted.rows == 2000 and fitted.curves * (2 * fitted.window + 1) < 1.3 * fitted.rows
+    for q, line in by.items():
+        assert [r.rank for r in line] == [1, 2, 3, 4, 5] and [(-r.score, r.vec_id) for r in line] == sorted((-r.score, r.vec_id) for r in line)
+        assert all(abs(r.score - exact_cosine(rows[q], rows[r.vec_id])) < 1e-12 for r in line)
+
+
+def test_nearest_prunes_where_vectors_have_structure(spark):
+    """Vectors near a surface of three dimensions: the fitted windows hold a small part of the table."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    m = rng.normal(size=(3000, 3)) @ rng.normal(size=(3, 32)) + rng.normal(size=(3000, 32)) * 0.01
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    found, fitted = ann.search(ann.valid_vectors(frame, "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+    assert fitted.curves * (2 * fitted.window + 1) < 0.3 * fitted.rows
+    want = brute(dict(enumerate(m)), 5)
+    hits = {(r.query_id, r.vec_id) for r in found.collect()}
+    assert len([1 for q, ids in want.items() for i in ids if (q, i) in hits]) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_nearest_copies_and_extreme_values(spark):
+    """Many copies of one vector (the smallest ids win), squares beyond a double, and repeated ids."""
+    rows = [(i, [3.0, 4.0, 0.0]) for i in range(40, 140)] + [(1, [3e200, 4e200, 1e199]), (2, [3e-200, 4e-200, -5e-200]), (3, [-1.0, 0.0, 0.0]), (3, [3.0, 4.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.nearest(ann.valid_vectors(frame, "vec_id", "embedding"), F.col("vec_id") % 50 == 0, 4).collect()}
+    assert [got[50, r][0] for r in range(1, 5)] == [40, 41, 42, 43] and [got[100, r][0] for r in range(1, 5)] == [40, 41, 42, 43]
+    one = ann.nearest(ann.valid_vectors(frame, "vec_id", "embedding"), F.col("vec_id") == 1, 103).collect()
+    assert [r.vec_id for r in one][:100] == list(range(40, 140)) and {r.vec_id for r in one[100:]} == {2, 3}
+    assert abs(next(r.score for r in one if r.vec_id == 3) - exact_cosine([3.0, 4.0, 0.1], [3.0, 4.0, 1.0])) < 1e-12
 
 
 def test_nearest_edges(spark):

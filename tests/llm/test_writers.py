@@ -22,7 +22,6 @@ def plain_ids(texts: list[str]) -> list[list[int]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
