@@ -151,10 +151,37 @@ def test_near_duplicates_edges(spark):
     assert got == [(1, 1, 0), (1, 1, 1), (1, 1, 1)]
 
 
-def test_forest_prefix_meets_its_recall():
+def test_forest_prefixes(spark):
     f = jaccard.Forest()
-    k = f.prefix()
+    k = f.shortest()
     assert 1 - (1 - f.similarity**k) ** f.trees >= f.recall > 1 - (1 - f.similarity ** (k + 1)) ** f.trees
+    a, b = np.array([0x0102030405060708, 0, 5], np.int64), np.array([0x0102030405FF0708, -1, 5], np.int64)
+    assert jaccard.common_prefix(a, b, 8).tolist() == [5, 0, 8]
+
+
+def test_forest_shortens_by_what_the_sample_shows(spark):
+    """Links of 19 in 20 words meet at the whole depth; links at the threshold shorten the prefix."""
+    rng, lengths = random.Random(8), []
+    for changed in (1, 9):
+        docs = []
+        for g in range(150):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            docs += [" ".join(base), " ".join(base[:-changed] + [f"x{rng.randrange(10**6)}" for _ in range(changed)] if changed < 5 else base[: 200 - 4 * changed])]
+        rows = spark.createDataFrame([(bytes([i % 256, i // 256]), i, t) for i, t in enumerate(docs)], "key binary, doc_id long, text string")
+        texts = rows.select("key", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("tid"))
+        signed, names = jaccard._signed(rows, texts, jaccard.Forest())
+        assert len(names) == 300 and all(set(r.met) >= {names.index(bytes(r.key))} for r in signed.collect())
+        lengths.append(jaccard.fit_prefix(signed, names, jaccard.Forest()))
+    assert lengths[0] == 8 and lengths[1] < 8
+
+
+def test_near_duplicate_recall_on_documents(spark):
+    """All links of the documents of the smallest tables, against brute force."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    want = classes_by_force(docs)
+    assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values()) > 0
+    assert len([d for d in want if got[d] == want[d]]) >= 0.99 * len(want)
 
 
 def test_components_of_a_path(spark):
