@@ -114,8 +114,8 @@ def test_mixing(spark):
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 900])) + rng.choice(["", " x", "\t\n y"]), rng.choice(["a", "a", "a", "b", "c", "é", "Z", None])) for i in range(600)]
     rows += [(600, None, "b"), (601, "", "empty"), (3, "w w w", "a"), (3, "w w w", "a"), (None, "w", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit("clash"))
-    got = mixing.mix(frame, buckets=64)
-    again = mixing.mix(frame.repartition(7), buckets=64)
+    got = mixing.mix(frame, buckets=8)
+    again = mixing.mix(frame.repartition(7), buckets=8)
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, again.collect()), key=key)
     by = defaultdict(list)
@@ -133,6 +133,31 @@ def test_mixing(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_mixing_inclusion(spark):
+    """Forty sources of the same sizes are forty draws: documents are taken once more about as often as their odds say."""
+    sizes = [1, 4, 16, 64, 256]
+    rows = [(s * 1000 + i, " ".join(["w"] * n), f"s{s:02}") for s in range(40) for i, n in enumerate(sizes * 40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total, heavy = 40 * 40 * sum(sizes), 14 * 5 + 13 * 2 + 13
+    taken, odds = defaultdict(list), {}
+    for r in got:
+        weight = (5, 2, 1)[int(r.source[1:]) % 3]
+        assert abs(r.target - total * weight / heavy) < 1e-6
+        taken[weight, r.size].append(r.copies - int(r.target // r.source_size))
+        odds.setdefault((weight, r.size), r.odds)
+        assert odds[weight, r.size] == r.odds and r.copies - int(r.target // r.source_size) in (0, 1)
+    for k, times in taken.items():
+        assert len(times) >= 13 * 40 and abs(sum(times) / len(times) - odds[k]) < 0.06
+    for weight in (5, 2, 1):
+        of = [odds[weight, n] for n in sizes]
+        assert of == sorted(of, reverse=True) and of[0] == 1.0 and of[-1] < 0.9
+    for s in {r.source for r in got}:
+        assert abs(sum(r.taken - r.target / 200 for r in got if r.source == s)) <= 128
+    other = mixing.mix(spark.createDataFrame(rows[:400], "doc_id long, text string, source string"), seed=6).collect()
+    same = mixing.mix(spark.createDataFrame(rows[:400], "doc_id long, text string, source string"), seed=7).collect()
+    assert {(r.doc_id, r.copies) for r in other} != {(r.doc_id, r.copies) for r in same}
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>") for i in range(40)] + [(40, None, None), (41, "u\r\nX: y", ""), (None, "n", "<p>1</p>"), (12, "http://dup", "<p>5</p>"), (39, "again", "<p>4</p>"), (42, "é", "ü" * 400_000)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).repartition(3)

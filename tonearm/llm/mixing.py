@@ -11,8 +11,10 @@ from .common import materialize
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its size.
 MOST_COPIES = 3
-#: Buckets of Pareto ranks by which a source's cut is first located.
-BUCKETS = 1 << 16
+#: Ranges of the Pareto order by which a source's cut is located, and ranges of each of these.
+BUCKETS = 256
+#: Inclusion in proportion to size to this power: longer documents are less likely, so a sample has more documents for its words.
+TILT = -0.5
 
 
 def word_count(text: Column) -> Column:
@@ -41,64 +43,94 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         .withColumn("light", F.coalesce(F.sum("weight").over(order), F.lit(0)))
         .withColumn("level", (F.col("all") - F.col("capped")) / (F.col("heavy") - F.col("light")))
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(total)["level"]
+    # the first in order that isn't capped; among equal ratios that is the one of the highest level
+    level = -F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", (-F.col("level")).alias("minus")))).over(total)["minus"]
     target = F.least(F.col("weight") * level, (F.col("source_size") * most).cast("double"))
     return per.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def pareto_rank(share: Column, *keys: Column) -> Column:
-    """Random odds, fixed by the keys, divided by the odds of inclusion; the smallest are taken first."""
-    u = (F.pmod(F.xxhash64(*keys), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return (u / (1 - u)) * ((1 - share) / share)
+def size_class(size: Column) -> Column:
+    """Documents of about the same size: four classes an octave."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 4).cast("int")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken: of every document how often the mix takes it.
+def inclusion(sizes: DataFrame, targets: DataFrame, tilt: float) -> DataFrame:
+    """source, class, odds: the probability with which a document is taken once more, by its source and size class.
 
-    A source's target is so many whole passes over it, which every document gets, and a remainder.
-    For that, documents are taken in Pareto order, the smallest first, until the source's words come
+    It is in proportion to the class's typical size to the power ``tilt``, one at most, and such that a
+    source's expected words are its ``rest``. Classes that reach one are certain; what they leave is shared by the others,
+    which is a water level over a source's classes: a hundred rows or so at any size of the table.
+    """
+    per = sizes.groupBy("source", "class").agg(F.sum("size").alias("words"))
+    per = per.join(targets, per["source"].eqNullSafe(targets["t_source"])).select(per["source"], "class", "words", "rest")
+    per = per.withColumn("heft", F.pow(F.lit(2.0), F.col("class") * (tilt / 4)))
+    before = Window.partitionBy("source").orderBy(F.desc("heft"), "class").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("source")
+    per = per.withColumn("load", F.col("heft") * F.col("words"))
+    per = per.withColumn("sure", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn("open", F.sum("load").over(every) - F.coalesce(F.sum("load").over(before), F.lit(0.0)))
+    # the level if all classes heavier than this one are certain; the largest that keeps the others at one or less holds
+    per = per.withColumn("level", F.when(F.col("open") > 0, (F.col("rest") - F.col("sure")) / F.col("open")))
+    fits = F.min(F.when((F.col("level") * F.col("heft") <= 1) & (F.col("level") >= 0), F.struct(F.lit(-1.0) * F.col("heft"), "level"))).over(every)["level"]
+    return per.select(F.col("source").alias("i_source"), F.col("class").alias("i_class"), F.least(F.coalesce(fits, F.lit(1.0)) * F.col("heft"), F.lit(1.0)).alias("odds"))
+
+
+def pareto_order(odds: Column, seed: int, *keys: Column) -> Column:
+    """In [0, 1], the order of random odds divided by the odds of inclusion: below a half where a document is likelier in than out.
+
+    The random odds are fixed by the keys. With q = (u / (1 - u)) / (p / (1 - p)) it is q / (1 + q); certain documents have 0.
+    """
+    u = (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    out = u * (1 - odds)
+    return F.when(odds >= 1, 0.0).when(odds <= 0, 1.0).otherwise(out / (out + (1 - u) * odds))
+
+
+def _cut(rows: DataFrame, bucket: str) -> DataFrame:
+    """c_source, at, before: the bucket in which a source's running words reach its rest, and its words before that; of (source, rest, so_far, size, bucket) rows."""
+    per = rows.groupBy("source", bucket).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("so_far").alias("so_far"))
+    upto = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = per.withColumn("upto", F.col("so_far") + F.sum("words").over(upto)).where(F.col("upto") >= F.col("rest"))
+    first = per.groupBy(F.col("source").alias("c_source")).agg(F.min(F.struct(bucket, (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
+    return first.select("c_source", F.col(f"cut.{bucket}").alias("at"), F.col("cut.before").alias("before"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = BUCKETS, tilt: float = TILT, seed: int = 5) -> DataFrame:
+    """doc_id, size, source, source_size, target, odds, copies, taken: of every document how often the mix takes it.
+
+    A source's target is so many whole passes over it, which every document gets, and a remainder. For
+    that, each document has its odds of inclusion by size (see inclusion), and documents are taken in
+    Pareto order, certain ones first, until the source's words come
     nearest its target; so the sample's size is fixed and rows agree between runs. The place of the
-    cut is found from sums over buckets of the order, and exactly in the one bucket that holds it, so
+    cut is found from sums over ``buckets`` ranges of the order, then over as many within that range, and
+    exactly in the one narrow range that holds it, so
     that no source is ever gathered in a task. Null texts have size 0; null sources are one source;
     rows that repeat an id are ranked by id and size, equal rows in any order. An empty table gives
     no rows. Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    sizes = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")),
-        "mix-sizes",
-    )
-    targets = materialize(source_targets(sizes), "mix-targets")
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sizes = materialize(sizes.withColumn("class", size_class(F.col("size"))), "mix-sizes")
     passes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = (
-        targets.withColumn("whole", F.floor(passes).cast("int"))
-        .withColumn("share", passes - F.col("whole"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumnRenamed("source", "t_source")
-    )
-    rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["t_source"])).drop("t_source")
-    # u is uniform on (0, 1): its bucket is monotone in the rank for the share of a source
-    u = (F.pmod(F.xxhash64("doc_id", F.lit("pareto")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    share = F.least(F.greatest(F.col("share"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    rows = rows.withColumn("rank", pareto_rank(share, F.col("doc_id"), F.lit("pareto"))).withColumn("bucket", F.floor(u * buckets).cast("int"))
-    per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (
-        per.withColumn("upto", F.sum("words").over(upto))
-        .where(F.col("upto") >= F.col("rest"))
-        .groupBy(F.col("source").alias("c_source"))
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-        .select("c_source", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before"))
-    )
+    targets = source_targets(sizes).withColumn("whole", F.floor(passes).cast("int"))
+    targets = targets.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).withColumnRenamed("source", "t_source")
+    targets = materialize(targets, "mix-targets")
+    odds = materialize(inclusion(sizes, targets, tilt).join(targets, F.col("i_source").eqNullSafe(F.col("t_source"))).drop("t_source"), "mix-odds")
+    rows = sizes.join(odds, sizes["source"].eqNullSafe(odds["i_source"]) & (sizes["class"] == odds["i_class"])).drop("i_source", "i_class")
+    order = pareto_order(F.col("odds"), seed, F.col("doc_id"), F.col("size"))
+    rows = rows.withColumn("order", order).withColumn("wide", F.least(F.floor(F.col("order") * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = rows.withColumn("narrow", F.floor((F.col("order") * buckets - F.col("wide")) * buckets).cast("int"))
+    cut = materialize(_cut(rows.withColumn("so_far", F.lit(0)), "wide"), "mix-cut")
     rows = rows.join(cut, rows["source"].eqNullSafe(cut["c_source"]), "left").drop("c_source")
-    keep = ("doc_id", "source", "size", "source_size", "target", "whole")
-    inside = F.col("bucket") == F.col("cut")
-    sure = rows.where(~F.coalesce(inside, F.lit(False))).select(*keep, F.coalesce((F.col("rest") > 0) & (F.col("bucket") < F.col("cut")), F.col("rest") > 0).alias("more"))
-    line = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = F.col("before") + F.coalesce(F.sum("size").over(line), F.lit(0))
-    near = rows.where(inside).withColumn("so_far", so_far)
-    edge = near.select(*keep, ((F.col("rest") - F.col("so_far")) * 2 > F.col("size")).alias("more"))
+    keep = ("doc_id", "source", "size", "source_size", "target", "odds", "whole")
+    inside = F.coalesce(F.col("wide") == F.col("at"), F.lit(False))
+    # without a cut the source's words never reach its rest, so all are taken
+    clear = rows.where(~inside).select(*keep, (F.coalesce(F.col("wide") < F.col("at"), F.lit(True)) & (F.col("rest") > 0)).alias("more"))
+    near = rows.where(inside).withColumnRenamed("before", "so_far").drop("at")
+    fine = materialize(_cut(near, "narrow").withColumnRenamed("before", "f_before"), "mix-fine")
+    near = near.join(fine, near["source"].eqNullSafe(fine["c_source"])).drop("c_source")
+    beside = near.where(F.col("narrow") != F.col("at")).select(*keep, ((F.col("narrow") < F.col("at")) & (F.col("rest") > 0)).alias("more"))
+    line = Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = near.where(F.col("narrow") == F.col("at")).withColumn("upto", F.col("f_before") + F.coalesce(F.sum("size").over(line), F.lit(0)))
+    edge = edge.select(*keep, ((F.col("rest") - F.col("upto")) * 2 > F.col("size")).alias("more"))
     copies = F.col("whole") + F.when(F.col("more") & (F.col("whole") < MOST_COPIES), 1).otherwise(0)
-    return sure.unionByName(edge).select(
-        "doc_id", "size", "source", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
+    return clear.unionByName(beside).unionByName(edge).select(
+        "doc_id", "size", "source", "source_size", "target", "odds", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
     )
