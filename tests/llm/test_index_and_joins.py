@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -210,6 +211,45 @@ def test_fingerprints_by_force(spark):
     assert len({got[d].fingerprint for d in got}) == len(set(text.values()))
 
 
+def test_fingerprint_likeness_by_force(spark):
+    """The likeness is near twice the common word runs by those of both; very long repetitive texts too."""
+    rng = random.Random(12)
+
+    def runs(t: str) -> Counter:
+        out: Counter = Counter()
+        for line in t.split("\n"):
+            w = line.split()
+            out.update([tuple(w)] if 0 < len(w) < 3 else [tuple(w[i : i + 3]) for i in range(len(w) - 2)])
+        return out
+
+    texts = []
+    for n in (50, 200, 1000):
+        a = [f"w{rng.randrange(500)}" for _ in range(n)]
+        texts += [(" ".join(a), " ".join(a[: n * k // 10] + [f"v{rng.randrange(500)}" for _ in range(n - n * k // 10)])) for k in (0, 3, 6, 9, 10)]
+    a, b = (fingerprints.vectors_of([t[i] for t in texts])[1] for i in (0, 1))
+    for (x, y), got in zip(texts, fingerprints.likeness(a, b), strict=True):
+        p, q = runs(x), runs(y)
+        apart = sum((p[k] - q[k]) ** 2 for k in p | q) / (sum(v * v for v in p.values()) + sum(v * v for v in q.values()))
+        assert abs(got - (1 - apart)) < 0.25
+    for n in (1000, 70_000, 200_000):
+        lanes, sketch = fingerprints.vectors_of(["word " * n, "word " * (n * 3 // 4) + "other " * (n // 4)])
+        assert fingerprints.likeness(sketch[:1], sketch[1:])[0] > 0.9
+    one = fingerprints.vectors_of(["x"])[0]
+    assert len(set(one[0].tolist())) == 8 and hashlib.blake2b(b"x", digest_size=64).digest() == one.astype("<u8").tobytes()
+
+
+def test_fingerprints_of_a_frequent_id(spark):
+    """Null ids and one id with most of the rows are dealt over several ranges in one order."""
+    rows = [(None, f"null {i}") for i in range(150)] + [(7, f"seven {i}") for i in range(150)] + [(i, f"t {i}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.fingerprint_documents(frame).collect()
+    h = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    edit = lambda t, s: t[: len(t) - len(t) // 4] + s[: len(t) // 4]
+    want = Counter((d, hashlib.sha256(edit(t, s).encode()).hexdigest()) for (d, t), (_, s) in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_fingerprints_add_and_subtract():
     a, b, both = (fingerprints.encode(*fingerprints.vectors_of([t]))[0] for t in ("one two\nthree", "four five six", "four five six\none two\nthree"))
     assert fingerprints.combine(a, b) == both and fingerprints.combine(both, b, -1) == a

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
@@ -12,37 +13,31 @@ from pyspark.sql import functions as F
 from .common import CHUNK_CHARS, materialize, shuffle_parts
 from .grams import runs_of, word_hashes
 
-#: 64-bit lanes that tell paragraphs apart, modulo 2**64 each.
+#: 64-bit lanes that tell paragraphs apart, modulo 2**64 each: together a 512-bit digest of the paragraph.
 LANES = 8
-#: 16-bit lanes that a paragraph's word runs are dealt over with a sign, modulo 2**16 each.
+#: 32-bit lanes that a paragraph's word runs are dealt over with a sign, modulo 2**32 each.
 SKETCH = 192
 #: Words of a run.
 RUN = 3
 
-_SPREAD = np.random.Generator(np.random.PCG64(99)).integers(1, 1 << 62, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def paragraph_vectors(paragraphs: list[str], owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over the paragraphs of each of n owners: lanes (n, LANES) uint64 and sketch (n, SKETCH) int16.
+    """Sums over the paragraphs of each of n owners: lanes (n, LANES) uint64 and sketch (n, SKETCH) int32.
 
-    A lane is the paragraph's 64-bit digest, spread by an odd factor and finalised; a sketch is the
+    The lanes are the parts of the paragraph's 512-bit digest; a sketch is the
     signed counts of its word runs by bucket. Both are sums over paragraphs, so a paragraph is
     inserted by adding its vector and deleted by subtracting it, in any order.
     """
-    digest = np.frombuffer(b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8).digest() for p in paragraphs), "<u8")
+    raw = b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=8 * LANES).digest() for p in paragraphs)
     lanes = np.zeros((n, LANES), np.uint64)
     starts = np.flatnonzero(np.diff(np.concatenate(([-1], owner))))
-    for k in range(LANES):
-        h = digest * _SPREAD[k]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0x9FB21C651E98DF25)
-        if len(h):
-            lanes[owner[starts], k] = np.add.reduceat(h ^ (h >> np.uint64(28)), starts)
+    if len(starts):
+        lanes[owner[starts]] = np.add.reduceat(np.frombuffer(raw, "<u8").reshape(-1, LANES), starts, axis=0)
     h, words = word_hashes(paragraphs)
     runs, many = runs_of(h, words, RUN)
     at = np.repeat(owner, many) * SKETCH + ((runs >> np.uint64(32)) % np.uint64(SKETCH)).astype(np.int64)
     sign = np.where(runs & np.uint64(1), 1.0, -1.0)
-    sketch = np.bincount(at, sign, n * SKETCH).astype(np.int64).astype(np.uint16).view(np.int16)
+    sketch = np.bincount(at, sign, n * SKETCH).astype(np.int64).astype(np.uint32).view(np.int32)
     return lanes, sketch.reshape(n, SKETCH)
 
 
@@ -57,18 +52,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 from two sketches: twice the estimated common word runs by those of both; 1 if equal."""
     x, y = a.astype(np.float64), b.astype(np.float64)
     both = (x * x).sum(axis=1) + (y * y).sum(axis=1)
-    apart = (a - b).astype(np.float64)  # modulo 2**16, as the sums are
+    apart = (a - b).astype(np.float64)  # modulo 2**32, as the sums are
     return np.clip(1 - (apart * apart).sum(axis=1) / np.maximum(both, 1e-300), 0, 1)
 
 
 def encode(lanes: np.ndarray, sketch: np.ndarray) -> list[str]:
-    """Fingerprints as text: the lanes' and the sketch's lanes in hexadecimal."""
-    return [(a.astype("<u8").tobytes() + b.astype("<i2").tobytes()).hex() for a, b in zip(lanes, sketch, strict=True)]
+    """Fingerprints as text: the lanes' and the sketch's bytes, little-endian, in base64."""
+    return [base64.b64encode(a.astype("<u8").tobytes() + b.astype("<i4").tobytes()).decode() for a, b in zip(lanes, sketch, strict=True)]
 
 
 def decode(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [bytes.fromhex(f) for f in fingerprints]
-    return np.array([np.frombuffer(r[: 8 * LANES], "<u8") for r in raw]), np.array([np.frombuffer(r[8 * LANES :], "<i2") for r in raw])
+    raw = [base64.b64decode(f) for f in fingerprints]
+    return np.array([np.frombuffer(r[: 8 * LANES], "<u8") for r in raw]), np.array([np.frombuffer(r[8 * LANES :], "<i4") for r in raw])
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -88,7 +83,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     next document's, in ascending id, after the last the first. Rows are dealt out by ranges of the
     id, cut at quantiles; the first row of a range is also sent to the range before, so each task
     sees every successor and no order over all rows is gathered. Null texts are empty; null ids come
-    first; rows that repeat an id are ordered by a hash of the text. A table of one row follows itself; an
+    first; rows that repeat an id are ordered by a hash of the text, and very many of them are dealt over several ranges. A table of one row follows itself; an
     empty table gives no rows. Equal texts have equal fingerprints, and near 1 to each other.
     """
     spark = docs.sparkSession
@@ -96,15 +91,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     low = F.lit(-(1 << 63)).cast("long")
     key = F.coalesce("doc_id", low)
-    cuts = [c for c in (docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    cuts = np.array(cuts, np.int64)
+    cuts = np.array(rows.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] or [] if parts > 1 else [], np.int64)
 
     @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
-
-    rows = rows.select("doc_id", "text", range_of(key).alias("part"), F.xxhash64("text").alias("h"))
+    def range_of(key: pd.Series, h: pd.Series) -> pd.Series:
+        """The range of a row; an id so frequent that it is several cuts (as null may be) is dealt over their ranges in order of the hash."""
+        low, up = np.searchsorted(cuts, key.to_numpy()), np.searchsorted(cuts, key.to_numpy(), side="right")
+        share = (h.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        return pd.Series((low + np.minimum((share * (up - low + 1)).astype(np.int64), up - low)).astype(np.int32))
+
+    h = F.xxhash64("text")
+    rows = rows.select("doc_id", "text", range_of(key, h).alias("part"), h.alias("h"))
     order = F.struct(F.coalesce("doc_id", low).alias("key"), "h")
     heads = materialize(rows.groupBy("part").agg(F.min(order).alias("head")), "print-heads")  # a row a range
     line = Window.orderBy("part")
