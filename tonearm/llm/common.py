@@ -17,10 +17,13 @@ CHUNK_CHARS = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (as in tests) a folder of this machine is made and set.
+    Only where that is unset and Spark runs in one process (as in tests) a folder of this machine is
+    made and set; on a cluster its executors could not see it, so there it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tonearm-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,6 +50,23 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def discard(uri: str) -> None:
+    """Remove a folder that this library has made below the shared one, if it is there."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, count: str, most: int = 1 << 20) -> DataFrame:
+    """The inner join of rows with a table of one row a key that says how many rows the key has.
+
+    Keys of more than ``most`` rows are at most a ``most``-th of the rows: so few that they are broadcast, and no
+    task meets all rows of such a key. The rest is joined as Spark sees fit.
+    """
+    hot, cool = F.broadcast(per_key.where(F.col(count) > most)), per_key.where(F.col(count) <= most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))
+
+
 def crc_of(col: Column) -> Column:
     """crc32 of a value written as text; null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")))
