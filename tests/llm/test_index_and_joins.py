@@ -168,8 +168,9 @@ def test_forest_shortens_by_what_the_sample_shows(spark):
         for g in range(150):
             base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
             docs += [" ".join(base), " ".join(base[:-changed] + [f"x{rng.randrange(10**6)}" for _ in range(changed)] if changed < 5 else base[: 200 - 4 * changed])]
-        rows = spark.createDataFrame([(bytes([i % 256, i // 256]), i, t) for i, t in enumerate(docs)], "key binary, doc_id long, text string")
-        texts = rows.select("key", F.col("doc_id").alias("rep"), F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("tid"))
+        rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        rows = rows.withColumn("key", jaccard.text_key(F.col("doc_id"), F.col("text")))
+        texts = rows.select("key", F.col("doc_id").alias("rep"), F.col("doc_id").alias("tid"))
         signed, names = jaccard._signed(rows, texts, jaccard.Forest())
         assert len(names) == 300 and all(set(r.met) >= {names.index(bytes(r.key))} for r in signed.collect())
         lengths.append(jaccard.fit_prefix(signed, names, jaccard.Forest()))

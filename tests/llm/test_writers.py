@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tonearm.llm import mixing, packing, queries, warc, wavelet
@@ -49,6 +50,35 @@ def test_wavelet_matrix():
     assert wavelet.WaveletMatrix.of(np.zeros(0, int)).decode().tolist() == []
 
 
+def test_lookups_in_a_shard_file(tmp_path):
+    """access, count and locate on a file read back, against the plain ids; a lookup inflates a few blocks only."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    ids = np.minimum(rng.zipf(1.3, 900_000), 50_256).astype(np.uint32)
+    path = tmp_path / "x.wm"
+    path.write_bytes(wavelet.shard_bytes([None, 4], np.array([400_000, 500_000]), ids))
+    with open(path, "rb") as f:
+        shard = wavelet.Shard(f)
+        assert shard.doc_ids == [None, 4] and shard.lengths.tolist() == [400_000, 500_000] and shard.matrix.n == len(ids)
+        assert shard.matrix.access(777_777) == ids[777_777] and 0 < shard.read_blocks <= 2 * shard.matrix.levels < len(shard.sizes) - 3 - shard.matrix.levels
+        for i in rng.integers(0, len(ids), 200).tolist() + [0, len(ids) - 1]:
+            assert shard.matrix.access(i) == ids[i]
+        for t in (1, 2, 17, 4000, 50_256, 60_000, 1 << 20):
+            at = np.flatnonzero(ids == t)
+            assert shard.matrix.count(t) == len(at) and shard.matrix.count(t, 123_456, 654_321) == (ids[123_456:654_321] == t).sum()
+            for k in {0, len(at) // 3, len(at) - 1} - {-1}:
+                assert shard.matrix.locate(t, k) == (at[k] if len(at) else -1)
+            assert shard.matrix.locate(t, len(at)) == -1
+        assert (shard.matrix.decode() == ids).all()
+    with open(path, "rb") as f, pytest.raises(IndexError):
+        wavelet.Shard(f, kept=0).matrix.access(len(ids))
+
+
+def test_count_of_a_token_over_shards(spark):
+    frame = spark.createDataFrame([(i, "a b " * i) for i in range(40)], "doc_id long, text string")
+    manifest = wavelet.write_shards(frame, queries.tokenizer_path(), 2, shard_ids=100)
+    assert wavelet.count_token(manifest, 2).agg(F.sum("occurrences")).first()[0] == 40 and manifest.count() > 4
+
+
 def test_token_shards(spark):
     rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(-5, None), (None, "null id"), (6, "again"), (7, "long text " * 3000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).repartition(3)
