@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -98,6 +101,41 @@ def test_url_rules_by_force(spark):
         assert got[i].verdict == verdict[rule] if rule else got[i].verdict in ("allow", "block")
 
 
+def test_url_features_by_force(spark):
+    """Lexical features and suffix statistics, the latter without the row's own fold, against plain Python."""
+    found = [r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + ["http://a-b.x.org/p//q?a=1&&b=22#f", "no url", ""]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(found)], "page_id long, url string")
+    rows = urls._ruled(frame, queries.URL_RULES, urls.Training(), "page_id", "url").withColumn("label", F.when(F.col("verdict") == "block", 1.0).when(F.col("verdict") == "allow", 0.0))
+    stats, by_fold = urls.suffix_statistics(rows.select("suffix", "fold", "label"), 5)
+    got = urls.with_suffixes(urls.lexical(rows), stats, by_fold, 5).collect()
+    assert len(got) == len(found) and len({r.fold for r in got}) == 5
+    entropy = lambda t: -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) if t else 0.0
+    others = lambda r: [x for x in got if x.suffix == r.suffix and x.fold != r.fold]
+    for r in got:
+        u, parts = r.url, [p for p in r.path.split("/") if p]
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        rest = others(r)
+        want = {
+            "url_length": len(u), "host_length": len(r.host), "path_length": len(r.path), "depth": len(parts), "labels": r.host.count(".") + 1,
+            "digits": sum(c in "0123456789" for c in u) / len(u) if u else 0, "host_digits": sum(c in "0123456789" for c in r.host) / len(r.host) if r.host else 0,
+            "signs": sum(c in "-_" for c in r.host) / len(r.host) if r.host else 0, "entropy": entropy(u), "host_entropy": entropy(r.host),
+            "params": len([p for p in query.split("&") if p]), "param_length": len(query), "fragment": "#" in u, "secure": u.startswith("https"),
+            "longest": max(map(len, parts), default=0), "suffix_log": round(math.log2(1 + len(rest) * 1.25)), "suffix_block": math.floor((sum(x.verdict == "block" for x in rest) + 1) / (len(rest) + 4) * 16 + 0.5) / 16,
+        }
+        assert set(want) == set(urls.FEATURES)
+        for k, v in want.items():
+            assert abs(r[k] - v) < 1e-9, (k, u)
+
+
+def test_url_trees_on_held_out_labels(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    loss, right, base = urls.held_out_loss(pages, queries.URL_RULES)
+    assert loss < 0.75 * base and right > 0.75
+    labelled = spark.createDataFrame([(f"http://{'free-win-' * (i % 2)}h{i}.{'com' if i % 3 else 'org'}/{'9' * (i % 7)}", float(i % 2)) for i in range(600)], "url string, label double")
+    loss, right, base = urls.held_out_loss(pages, [], labelled)
+    assert loss < 0.4 * base and right > 0.95
+
+
 def test_url_edges(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(none, queries.URL_RULES).count() == 0

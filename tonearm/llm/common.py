@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step handles at a time in a task.
 CHUNK_CHARS = 1 << 20
+#: Whole texts that a Python function gets at a time where their plan is written by this library.
+TEXT_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,14 +37,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tonearm/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    The rows survive lost executors, and what made them runs once.
+    The rows survive lost executors, and what made them runs once. batch_rows: rows that Python
+    functions of the plan get at a time, where a batch of the session's size would hold too much text.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,14 +67,14 @@ def discard(uri: str) -> None:
         fs.delete_dir(path)
 
 
-def join_counted(rows: DataFrame, per_key: DataFrame, key: str, count: str, most: int = 1 << 20) -> DataFrame:
-    """The inner join of rows with a table of one row a key that says how many rows the key has.
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, count: str, most: int = 1 << 20, how: str = "inner") -> DataFrame:
+    """The join (inner or left) of rows with a table of one row a key that says how many rows the key has.
 
     Keys of more than ``most`` rows are at most a ``most``-th of the rows: so few that they are broadcast, and no
     task meets all rows of such a key. The rest is joined as Spark sees fit.
     """
     hot, cool = F.broadcast(per_key.where(F.col(count) > most)), per_key.where(F.col(count) <= most)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key, how))
 
 
 def crc_of(col: Column) -> Column:

@@ -24,7 +24,7 @@ _held: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1,
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_held["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         _held["up"], _held["down"] = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
     return _held["up"][:n], _held["down"][:n]
 

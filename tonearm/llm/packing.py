@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_parts
+from .common import TEXT_ROWS, materialize, shuffle_parts
 from .hilbert import cells_of, hilbert_keys
 from .tokens import encoder
 
@@ -60,7 +60,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, curve: Curve = C
                 kept = held if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in held]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": kept, "wide": wide, "n": lengths, "place": list(project(ids, lengths, curve))})
 
-    return materialize(rows.mapInPandas(run, "doc_id long, ids binary, wide boolean, n long, place array<double>"), "pack-ids")
+    return materialize(rows.mapInPandas(run, "doc_id long, ids binary, wide boolean, n long, place array<double>"), "pack-ids", TEXT_ROWS)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

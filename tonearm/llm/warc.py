@@ -13,7 +13,7 @@ from pyarrow.fs import FileType as fs_type
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, filesystem, join_counted, materialize, new_folder, shuffle_parts
+from .common import TEXT_ROWS, discard, filesystem, join_counted, materialize, new_folder, shuffle_parts
 
 #: A file is closed by the record with which its compressed size reaches this.
 FILE_BYTES = 64 << 20
@@ -172,7 +172,7 @@ def write_archives(
         if out is not None:
             yield close()
 
-    written = materialize(both.mapInPandas(write, "path string, part long, file long, records long, bytes long, temporary string"), "warc-written")
+    written = materialize(both.mapInPandas(write, "path string, part long, file long, records long, bytes long, temporary string"), "warc-written", TEXT_ROWS)
 
     def commit(batches):
         """Gives the listed files their names; a task that is repeated finds some of them named already."""

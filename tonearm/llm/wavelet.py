@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialize, new_folder, shuffle_parts
+from .common import TEXT_ROWS, filesystem, materialize, new_folder, shuffle_parts
 from .tokens import encoder
 
 MAGIC = b"TAWM2\n"
@@ -256,7 +256,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         if held:
             yield close()
 
-    return materialize(rows.mapInPandas(write, "path string, part long, shard long, documents long, ids long"), "token-manifest")
+    return materialize(rows.mapInPandas(write, "path string, part long, shard long, documents long, ids long"), "token-manifest", TEXT_ROWS)
 
 
 def count_token(manifest: DataFrame, token: int) -> DataFrame:
