@@ -121,6 +121,17 @@ def test_packing(spark):
     assert packing.pack(frame.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_ranges_hold_equal_ids(spark):
+    """Very long texts and a third of copies: ranges are even by ids, and every id comes back."""
+    rows = [(i, "same text of ten words or so in a row " * 3) for i in range(200)] + [(1000 + i, f"w{i} v{i * 7} u " * (5 if i % 20 else 2000)) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), keep_ids=False).collect()
+    by = defaultdict(int)
+    for r in got:
+        by[r.sequence_id >> 40] += r.length
+    assert len(by) == 4 and max(by.values()) < 1.5 * sum(by.values()) / 4
+    assert sum(by.values()) == sum(len(i) + 1 for i in plain_ids([t for _, t in rows]))
+
+
 def test_power_pieces():
     assert [packing.power_pieces(n) for n in (0, 1, 6, 2047)] == [[], [1], [4, 2], [1 << b for b in range(10, -1, -1)]]
 

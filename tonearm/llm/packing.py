@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TEXT_ROWS, materialize, shuffle_parts
@@ -16,6 +16,8 @@ from .tokens import encoder
 
 #: Texts that are encoded at a time.
 BATCH_TEXTS = 512
+#: Bits of a Hilbert key by whose cells ids are counted to cut the curve.
+CELL_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -63,16 +65,33 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, curve: Curve = C
     return materialize(rows.mapInPandas(run, "doc_id long, ids binary, wide boolean, n long, place array<double>"), "pack-ids", TEXT_ROWS)
 
 
+def _part(keyed: DataFrame, curve: Curve, parts: int) -> tuple[Column, int]:
+    """The range of a row of (key, n, h, doc_id), by the sums of ids in cells of the curve; a row a cell, 2**CELL_BITS at most, comes to the driver."""
+    cell = F.shiftrightunsigned("key", max(0, curve.dims * curve.bits - CELL_BITS)).cast("int")
+    sums = sorted((r.cell, r.n) for r in keyed.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect())
+    cells, wide = np.array([c for c, _ in sums], np.int64), np.array([n for _, n in sums], np.float64)
+    before, share = np.cumsum(wide) - wide, max(wide.sum() / parts, 1.0)
+
+    @F.pandas_udf("int")
+    def part(cell: pd.Series, spot: pd.Series) -> pd.Series:
+        at = np.searchsorted(cells, cell.to_numpy())
+        place = before[at] + wide[at] * ((spot.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64)
+        return pd.Series(np.minimum(place / share, parts - 1).astype(np.int32))
+
+    return part(cell, F.xxhash64("h", "doc_id")), parts
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wished, ids.
 
     Documents are placed by their hashed token vector, projected to few dimensions and scaled by the
-    mean and deviation over all documents, and range-sorted by the Hilbert key of the place. Each
+    mean and deviation over all documents, and range-sorted by the Hilbert key of the place; ranges hold about
+    equally many ids, not documents, and a cell of the curve with more than that is cut by a hash. Each
     range lays its documents one after another along the curve and cuts them every ``length`` ids; what is left at
     its end goes to sequences whose lengths are powers of two, which need no padding. So nothing is padded, each id is
     in one piece, and ids of documents next to each other in a sequence are alike. Null and empty
     texts are just the end id; null ids stay null; rows that repeat are documents of their own. An
-    empty table gives no rows. A group of copies has one key, and a range boundary may fall in it.
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ids = tokenize(docs, tokenizer_path, end_id, curve, id_col, text_col)
@@ -89,15 +108,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
         return pd.Series(hilbert_keys(cells_of(1 / (1 + np.exp(-1.702 * z)), curve.bits), curve.bits))
 
     keyed = ids.select("doc_id", "ids", "wide", "n", key("place").alias("key"), F.xxhash64("ids").alias("h"))
-    # the last key parts copies, so that a range boundary can fall among them
-    order = [F.col("key"), F.col("h"), F.col("doc_id").asc_nulls_first()]
-    sorted_rows = keyed.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
+    part, parts = _part(keyed, curve, shuffle_parts(spark))
+    sorted_rows = keyed.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("part", "key", "h", F.col("doc_id").asc_nulls_first())
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if keep_ids else "")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        base, sequence, held, filled = TaskContext.get().partitionId() << 40, 0, [], 0
+        base, sequence, held, filled = 0, 0, [], 0
 
         def close(lengths: list[int]):
             """Pieces of the held documents' parts, cut to sequences of these lengths."""
@@ -119,6 +135,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
 
         rows = []
         for b in batches:
+            base = int(b["part"].iloc[0]) << 40 if len(b) else base  # a task has one part
             for doc, data, wide in zip(b["doc_id"], b["ids"], b["wide"], strict=True):
                 raw = np.frombuffer(data, "<u4" if wide else "<u2").astype("<u4")
                 held.append((None if pd.isna(doc) else int(doc), 0, len(raw), raw))
