@@ -223,6 +223,15 @@ FOLDERS = {
     "Pink Floyd - The Dark Side of the Moon (2011 Remaster) [24-96]": dict(title="The Dark Side of the Moon", edition="2011 Remaster", edition_year="2011", year=None, source="digital"),
     "Led Zeppelin - Physical Graffiti (24-96 Vinyl Rip)": dict(source="vinyl"),
     "Some Band - The Best of Us": dict(title="The Best of Us"),
+    "Artist - Title Japan Import": dict(title="Title", edition="Import", country="JP"),
+    "X - Y Deluxe Edition Remastered 2CD": dict(title="Y", edition="Deluxe Edition, Remastered", source="cd"),
+    "1999 - Some Album [US, 2005 Reissue, Vinyl]": dict(artist=None, title="Some Album", year="1999", edition="2005 Reissue", edition_year="2005", source="vinyl", country="US"),
+    "Name (1980) (1990) (2001 Remaster)": dict(title="Name", year="1980", edition_year="1990", edition="2001 Remaster"),
+    "A – B – C": dict(artist="A", title="B - C"),
+    "2001 - A - 2003 - B": dict(year="2001", artist="A", title="2003 - B"),
+    "LP": dict(title="LP", source=None),
+    "US": dict(title="US", country=None),
+    "": dict(title=None, artist=None, year=None),
 }
 
 
