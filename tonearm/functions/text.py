@@ -163,7 +163,8 @@ def artist_title(text: Column) -> tuple[Column, Column]:
 
 
 #: A disc's number in a file or folder name.
-DISC_TOKEN = r"(?i)(?:^|[\s\(\[_\-.])(?:cd|disc|disco|disk|dvd)\s*[-_.#]?\s*(\d{1,2})(?:\s*(?:of|de|-|/)\s*(\d{1,2}))?(?=$|[\s\)\]_\-.,])"
+_DISC_WORDS = r"(?:cd|disc|disco|disk|dvd)\s*[-_.#]?\s*(\d{1,2})(?:\s*(?:of|de|-|/)\s*(\d{1,2}))?"
+DISC_TOKEN = rf"(?i)(?:^|[\s\(\[_\-.]){_DISC_WORDS}(?=$|[\s\)\]_\-.,])"
 DISC_FOLDER = r"(?i)^(?:cd|disc|disco|disk|dvd)\s*[-_.#]?\s*(\d{1,2})\b"
 
 
@@ -181,7 +182,7 @@ def disc_token(name: Column) -> tuple[Column, Column]:
 def without_disc_token(name: Column) -> Column:
     """The name without its first disc token and the token's own brackets."""
     base = without_extension(name)
-    bracket = r"(?i)[\(\[](?:cd|disc|disco|disk|dvd)\s*[-_.#]?\s*\d{1,2}(?:\s*(?:of|de|-|/)\s*\d{1,2})?\s*[\)\]]"
+    bracket = rf"(?i)[\(\[]{_DISC_WORDS}\s*[\)\]]"
     gone = F.when(base.rlike(bracket), F.regexp_replace(base, "^(.*?)" + bracket.replace("(?i)", "(?i:") + ")", "$1")).otherwise(F.regexp_replace(base, "(?s)^(.*?)" + DISC_TOKEN.replace("(?i)", "(?i:") + ")", "$1"))
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(gone, "\\(\\s*\\)|\\[\\s*\\]", ""), "\\s{2,}", " "), "^[\\s\\-_.,]+|[\\s\\-_.,]+$", "")
 
@@ -196,24 +197,59 @@ def natural_key(name: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^\\d"), F.lpad(r, 12, "0")).otherwise(r)), "")
 
 
-def safe_component(value: Column) -> Column:
-    """A path component: ``/`` and ``:`` as ``-``, no control characters or empty brackets, blanks collapsed,
-    no dangling dash, no leading dots, no trailing dots or blanks."""
-    s = F.regexp_replace(F.translate(value, "/:", "--"), "\\p{Cntrl}", "")
-    s = F.regexp_replace(s, "\\(\\s*\\)|\\[\\s*\\]", "")
-    s = F.trim(F.regexp_replace(s, "\\s+", " "))
-    s = F.regexp_replace(F.regexp_replace(s, "^(- )+|( -)+$", ""), "^\\.+", "")
-    return F.regexp_replace(s, "[. ]+$", "")
+#: Bytes of a path component, and the characters that a longer one is cut to.
+COMPONENT_BYTES = 200
 
 
-def render_template(template: str, values: dict[str, Column]) -> Column:
-    """A path from a template such as ``{artist}/{album} ({year})``: components are rendered and made safe one by one; empty ones go."""
+def safe_component(value: Column) -> Column:
+    """A path component: ``/`` and ``:`` as ``-``, blanks collapsed, no control characters or empty brackets, no
+    dangling dash, no leading dots, no trailing dots or blanks, cut to 200 characters if its bytes are more."""
+    s = F.regexp_replace(F.regexp_replace(F.translate(value, "/:", "--"), "\\s+", " "), "\\p{Cntrl}", "")
+    s = F.regexp_replace(F.regexp_replace(s, "\\( ?\\)|\\[ ?\\]|\\{\\}", ""), "\\s+", " ")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, "(\\s-\\s*)+$", ""), "^(\\s*-\\s)+", ""))
+    s = F.regexp_replace(F.regexp_replace(s, "^\\.+", ""), "[. ]+$", "")
+    return F.when(F.octet_length(s) > COMPONENT_BYTES, F.trim(F.left(s, F.lit(COMPONENT_BYTES)))).otherwise(s)
+
+
+#: What stands for letters and signs that have no base letter.
+ASCII_SIGNS = {
+    "–": "-", "—": "-", "‘": "'", "’": "'", "‚": "'", "“": '"', "”": '"', "„": '"', "…": "...", "×": "x", "ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "OE", "đ": "d", "Đ": "D",
+    "ł": "l", "Ł": "L", "ı": "i", "·": "-", "／": "-", "＆": "&",
+}
+#: Latin letters of the Cyrillic and Greek alphabets, without accents.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщыэюя", "abvgdeezzijklmnoprstufhccssyeua", strict=True))
+GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυωάέήίόύώ", "abgdezeiklmnxoprsstuoaeeiouo", strict=True)) | {"θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps"}
+
+
+def ascii_safe(value: Column) -> Column:
+    """Printable ASCII only: accents go, full-width forms, typographic signs, Cyrillic and Greek letters are replaced, all else is blank."""
+    table = CYRILLIC | GREEK
+    table = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | ASCII_SIGNS | table | {k.upper(): v.capitalize() for k, v in table.items()}
+    one = {k: v for k, v in table.items() if len(v) == 1 and len(k) == 1}
+    s = F.translate(value, _ACCENTED + "".join(one), _BASE + "".join(one.values()))
+    for k, v in table.items():
+        if len(k) == 1 and len(v) > 1:
+            s = F.replace(s, F.lit(k), F.lit(v))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, "[^\\x20-\\x7E]", " "), "\\s+", " "))
+
+
+def render_template(template: str, values: dict[str, Column], ascii: bool = False) -> Column:
+    """A path from a template such as ``{artist}/{album} ({year})``: components are rendered and made safe one by one; empty ones go.
+
+    Names in braces count in any case, unknown ones are empty, a brace without its end stays. A value's own slashes
+    never part components.
+    """
     import re
 
     parts = []
-    for component in template.split("/"):
-        bits = [F.coalesce(F.translate(values[b[1:-1]].cast("string"), "/", "-"), F.lit("")) if b[:1] == "{" and b[1:-1] in values else F.lit("" if b[:1] == "{" else b) for b in re.findall(r"\{\w+\}|[^{]+|\{", component)]
-        parts.append(safe_component(F.concat(*bits)))
+    for component in filter(None, template.split("/")):
+        texts, names = re.split(r"\{[^}]*\}", component), re.findall(r"\{([^}]*)\}", component)
+        bits = [F.lit(texts[0])]
+        for name, text in zip(names, texts[1:], strict=True):
+            held = values.get(name.lower())
+            bits += [F.lit("") if held is None else F.coalesce(F.translate(held.cast("string"), "/", "-"), F.lit("")), F.lit(text)]
+        whole = F.concat(*bits)
+        parts.append(safe_component(ascii_safe(whole) if ascii else whole))
     return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "/")
 
 

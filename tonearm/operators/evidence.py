@@ -21,10 +21,11 @@ def consensus_votes(hits: DataFrame) -> DataFrame:
     """album_id, release_id, hits, best_score, coverage, rank: of (album_id, track, release_id, score) rows.
 
     Releases stay that about half as many tracks name as the most named one, but two at least,
-    unless one track or one hit is all there is. Two passes of partial aggregation: pairs of track and release, then releases.
+    unless one track or one hit is all there is. Hits are reduced to tracks and releases once, and counted from that.
     """
-    tracks = hits.groupBy("album_id").agg(F.countDistinct("track").alias("tracks"))
-    votes = hits.groupBy("album_id", "release_id").agg(F.countDistinct("track").alias("hits"), F.max("score").alias("best_score"))
+    named = hits.groupBy("album_id", "release_id", "track").agg(F.max("score").alias("score"))
+    tracks = named.groupBy("album_id", "track").agg(F.lit(1)).groupBy("album_id").agg(F.count("*").alias("tracks"))
+    votes = named.groupBy("album_id", "release_id").agg(F.count("*").alias("hits"), F.max("score").alias("best_score"))
     votes = votes.join(tracks, "album_id").withColumn("most", F.max("hits").over(Window.partitionBy("album_id")))
     need = F.greatest(F.lit(2), F.floor((F.col("most") + 1) / 2))
     votes = votes.where(~((F.col("tracks") > 1) & (F.col("most") >= 2)) | (F.col("hits") >= need))
@@ -53,6 +54,40 @@ def candidate_pool(arrivals: DataFrame) -> DataFrame:
     return pool.select("album_id", "key", "f.provider", "f.tracks", "origins", "arrived")
 
 
+#: Searches in order, and whether a tagged release that fits, or a barcode that names one edition, makes each of them needless.
+STAGES = {"tags": (False, False), "disc": (True, False), "barcode": (True, False), "catalogue": (True, False), "fingerprint": (True, True), "sibling": (True, True), "text": (True, True), "second": (True, False)}
+
+
+def identification_gates(arrivals: DataFrame, facts: DataFrame) -> DataFrame:
+    """album_id, tagged_fit, coded_fit: whether a tagged release decides, or else the barcode.
+
+    facts: (album_id, key, count_matches, fit, contradicts, format, twin_key), a row a candidate. A tagged release fits with the
+    right number of tracks, a fit of 0.8 or more (or unknown) and no code against it. A barcode decides where the fitting
+    releases that it finds, at least one, are all twins.
+    """
+    found = arrivals.where(F.col("stage").isin("tags", "barcode")).groupBy("album_id", "key").agg(F.bool_or(F.col("stage") == "tags").alias("tagged"), F.bool_or(F.col("stage") == "barcode").alias("coded"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = found.join(facts, ["album_id", "key"])
+    plain = yes(F.col("count_matches")) & ~yes(F.col("contradicts"))
+    tagged = F.col("tagged") & plain & (F.coalesce("fit", F.lit(1.0)) >= 0.8)
+    coded = F.col("coded") & plain & yes(F.col("fit") >= 0.75) & (F.col("format") != "unlikely")
+    twin = F.when(coded, F.coalesce(F.col("twin_key").cast("string"), F.concat(F.lit("own "), F.col("key").cast("string"))))
+    per = rows.groupBy("album_id").agg(F.bool_or(tagged).alias("tagged_fit"), (F.min(twin) == F.max(twin)).alias("one"))
+    return per.select("album_id", "tagged_fit", (~F.col("tagged_fit") & yes(F.col("one"))).alias("coded_fit"))
+
+
+def planned_pool(arrivals: DataFrame, facts: DataFrame) -> DataFrame:
+    """The candidate pool of the searches that an identification makes: (album_id, stage, key, ord, provider, tracks, origin) rows, with ``tagged_fit`` and ``coded_fit``.
+
+    A search that an earlier finding makes needless brings nothing, though its rows are there.
+    """
+    gates = identification_gates(arrivals, facts)
+    rows = arrivals.join(gates, "album_id", "left").fillna(False, ["tagged_fit", "coded_fit"])
+    skipped = [(F.col("stage") == s) & ((F.col("tagged_fit") & F.lit(t)) | (F.col("coded_fit") & F.lit(c))) for s, (t, c) in STAGES.items() if t or c]
+    pool = candidate_pool(rows.where(~reduce(Column.__or__, skipped)))
+    return pool.join(gates, "album_id", "left").fillna(False, ["tagged_fit", "coded_fit"])
+
+
 def duration_fit(pairs: DataFrame, local: DataFrame, candidate: DataFrame) -> DataFrame:
     """album_id, candidate_id, mean_error, fit of pairs whose track counts agree and whose durations are all known.
 
@@ -153,11 +188,12 @@ def runner_up(scored: DataFrame) -> DataFrame:
 
     scored: (album_id, candidate_id, score, confidence_rank, twin_key); candidates with a key in common are twins.
     """
-    best = F.max(F.struct("score", "confidence_rank", (-F.col("candidate_id")).alias("minus"), "twin_key"))
-    tops = scored.groupBy("album_id").agg(best.alias("b"))
-    rivals = scored.join(tops, "album_id").where((F.col("candidate_id") != -F.col("b.minus")) & ~F.coalesce(F.col("twin_key") == F.col("b.twin_key"), F.lit(False)))
-    rival = rivals.groupBy("album_id").agg(F.max(F.struct("score", "confidence_rank", (-F.col("candidate_id")).alias("minus"))).alias("r"))
-    return tops.join(rival, "album_id", "left").select(
+    # twins are one row, so an album's second row is the closest rival; a candidate without a key is twin to none
+    lone = F.when(F.col("twin_key").isNull(), F.col("candidate_id")).alias("lone")
+    twins = scored.groupBy("album_id", "twin_key", lone).agg(F.max(F.struct("score", "confidence_rank", (-F.col("candidate_id")).alias("minus"))).alias("b"))
+    two = twins.withColumn("r", F.row_number().over(Window.partitionBy("album_id").orderBy(F.desc("b")))).where(F.col("r") <= 2)
+    both = two.groupBy("album_id").agg(F.max(F.when(F.col("r") == 1, F.col("b"))).alias("b"), F.max(F.when(F.col("r") == 2, F.col("b"))).alias("r"))
+    return both.select(
         "album_id", (-F.col("b.minus")).alias("candidate_id"), "b.score", (-F.col("r.minus")).alias("rival_id"), F.col("r.score").alias("rival_score"),
         (F.col("b.score") - F.coalesce("r.score", F.lit(0.0))).alias("margin"), F.col("b.confidence_rank").alias("confidence_rank"), F.col("r.confidence_rank").alias("rival_rank"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,17 +22,38 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hamming_pairs(hashes: DataFrame, bands: int, most: int) -> DataFrame:
-    """left_id, right_id, distance of 32-bit hashes at most ``most`` bits apart, most < bands.
+def _ball(width: int, radius: int) -> list[int]:
+    """Masks of ``width`` bits with at most ``radius`` of them set."""
+    return [sum(1 << i for i in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def hamming_bands(rows: int, most: int) -> int:
+    """Bands of a 32-bit hash with the least work: probes of all rows, and pairs that meet in a band of random bits."""
+
+    def cost(bands: int) -> float:
+        width, probes = 32 // bands, sum(math.comb(32 // bands, r) for r in range(min(most // bands, 32 // bands) + 1))
+        return rows * bands * probes * (20 + rows / 2**width)
+
+    return min((2, 4, 8), key=cost)
+
+
+def hamming_pairs(hashes: DataFrame, most: int, bands: int | None = None) -> DataFrame:
+    """left_id, right_id, distance of 32-bit hashes at most ``most`` bits apart.
 
-    Of so many bands of bits at least one is equal, so an equi-join on bands finds every pair.
+    Of so many bands of bits, one differs in most / bands bits at most, so each row looks in every band for all
+    values so near its own: an equi-join that finds every pair. Few wide bands make more probes and far fewer
+    pairs; by default the number of rows decides.
     """
+    bands = bands or hamming_bands(hashes.count(), most)
     width = 32 // bands
-    parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright("hash", i * width).bitwiseAND((1 << width) - 1).alias("bits")) for i in range(bands)])
-    b = hashes.select("id", "hash", F.explode(parts).alias("p")).select("id", "hash", "p.band", "p.bits")
-    met = b.withColumnsRenamed({"id": "left_id", "hash": "x"}).join(b.withColumnsRenamed({"id": "right_id", "hash": "y"}), ["band", "bits"])
+    part = lambda i: F.shiftright("hash", i * width).bitwiseAND((1 << width) - 1)
+    own = F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("bits")) for i in range(bands)])
+    masks = F.array(*[F.lit(m).cast("long") for m in _ball(width, most // bands)])
+    held = hashes.select(F.col("id").alias("right_id"), F.col("hash").alias("y"), F.explode(own).alias("p")).select("right_id", "y", "p.band", "p.bits")
+    asks = hashes.select(F.col("id").alias("left_id"), F.col("hash").alias("x"), F.explode(own).alias("p")).select("left_id", "x", "p.band", F.explode(F.transform(masks, lambda m: F.col("p.bits").bitwiseXOR(m))).alias("bits"))
     far = hamming(F.col("x"), F.col("y"))
-    return met.where((F.col("left_id") < F.col("right_id")) & (far <= most)).select("left_id", "right_id", far.alias("distance")).distinct()
+    met = asks.join(held, ["band", "bits"]).where((F.col("left_id") < F.col("right_id")) & (far <= most))
+    return met.select("left_id", "right_id", far.alias("distance")).distinct()
 
 
 def alignment_histogram(left: DataFrame, right: DataFrame) -> DataFrame:

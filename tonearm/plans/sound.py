@@ -81,7 +81,7 @@ _SIGNS = " + ".join(f"CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END"
 def hamming_pairs(spark, d):
     """Sign bits of vectors that differ in 7 places at most."""
     bits = sum((F.when(F.element_at("embedding", i + 1) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
-    return prints.hamming_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("hash")), 8, 7)
+    return prints.hamming_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), bits.alias("hash")), 7)
 
 
 _SIDE = "SELECT o_custkey AS pair_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS pos, (o_orderkey {shift}) % 13 * 1048576 + 5 AS item FROM {o}"

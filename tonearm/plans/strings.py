@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evidence
+from ..operators.ordering import numbered
 from .registry import query, table
 
 _NORM = "trim(regexp_replace(regexp_replace(replace(strip_accents(lower({x})), '&', 'and'), '[^\\p{{L}}\\p{{N}} ]', '', 'g'), ' +', ' ', 'g'))"
@@ -128,11 +129,9 @@ def disc_tokens(spark, d):
 
 @query("""WITH r AS (SELECT p_partkey AS id, p_name AS name FROM part) SELECT id, row_number() OVER (ORDER BY regexp_replace(regexp_replace(lower(name || ' ' || (id % 1000)), '[0-9]+', '000000000000\\0', 'g'), '0*([0-9]{12})', '\\1', 'g') COLLATE C, id)::INT AS place FROM r""")
 def natural_sort(spark, d):
-    """Places in natural order; a report over one table, so one ordering of all its rows."""
-    from pyspark.sql import Window
-
-    r = table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.natural_key(F.concat_ws(" ", "p_name", (F.col("p_partkey") % 1000).cast("string"))).alias("k"))
-    return r.select("id", F.row_number().over(Window.orderBy("k", "id")).alias("place"))
+    """Places in natural order over the whole table."""
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 1000).cast("string")).alias("name"))
+    return numbered(r, [text.natural_key(F.col("name")), F.col("id")]).select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("""SELECT page_id, coalesce(TRY_CAST(regexp_extract(url, '[?&]page=([^&#]*)', 1) AS INT), -1) AS page, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS source, TRY_CAST(regexp_extract(url, '/([0-9]+)([/.?#]|$)', 1) AS BIGINT) AS number FROM pages""")
@@ -143,12 +142,27 @@ def url_fields(spark, d):
     )
 
 
-@query("""WITH v AS (SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'AC/DC' ELSE s_name END AS artist, CASE s_suppkey % 2 WHEN 0 THEN 'Back: in Black' ELSE 'X  ()' END AS album, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 1980 + s_suppkey % 20 END AS year, s_suppkey % 30 AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'Hells Bells...' ELSE '..Song - ' END AS title FROM supplier)
-SELECT id, CASE WHEN id % 3 = 0 THEN 'AC-DC' ELSE artist END || '/' || CASE WHEN id % 2 = 0 THEN 'Back- in Black' ELSE 'X' END || CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END || '/' || lpad(n::VARCHAR, 2, '0') || ' ' || CASE WHEN id % 5 = 0 THEN 'Hells Bells' ELSE '..Song' END AS path FROM v""")
+_NAMES = """SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'AC/DC' ELSE s_name END AS artist, CASE s_suppkey % 6 WHEN 0 THEN 'Back: in Black' WHEN 1 THEN 'X  ()' WHEN 2 THEN 'A ' || chr(123) || ' ' || chr(125) || ' ' || chr(123) || chr(125) || ' b' WHEN 3 THEN '...Dots' WHEN 4 THEN repeat('long ', 50) ELSE repeat('é', 101) END AS album,
+ CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 1980 + s_suppkey % 20 END AS year, s_suppkey % 30 AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'Hells Bells...' ELSE '..Song - ' END AS title FROM {s}"""
+#: A component made safe: separators, blanks, empty brackets, dangling dashes, dots, and the length limit.
+_SAFE = r"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({x}, '/:', '--'), '\s+', ' ', 'g'), '\( ?\)|\[ ?\]|\{{\}}', '', 'g'), '\s+', ' ', 'g'), '(\s-\s*)+$', ''), '^(\s*-\s)+', '')), '^\.+', ''), '[. ]+$', '')"
+_CUT = "CASE WHEN strlen({x}) > 200 THEN trim(left({x}, 200)) ELSE {x} END"
+
+
+@query(f"""WITH v AS ({_NAMES.format(s='supplier')}), a AS (SELECT id, {_SAFE.format(x="translate(artist, '/', '-')")} AS x, {_SAFE.format(x="album || ' (' || coalesce(year::VARCHAR, '') || ') {open'")} AS y, {_SAFE.format(x="lpad(n::VARCHAR, 2, '0') || ' ' || title")} AS z FROM v)
+SELECT id, array_to_string(list_filter([{_CUT.format(x='x')}, {_CUT.format(x='y')}, {_CUT.format(x='z')}], lambda p: p <> ''), '/') AS path FROM a""")
 def target_paths(spark, d):
-    v = spark.sql(
-        "SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'AC/DC' ELSE s_name END AS artist, CASE s_suppkey % 2 WHEN 0 THEN 'Back: in Black' ELSE 'X  ()' END AS album, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 1980 + s_suppkey % 20 END AS year, s_suppkey % 30 AS n, CASE WHEN s_suppkey % 5 = 0 THEN 'Hells Bells...' ELSE '..Song - ' END AS title FROM {s}",
-        s=table(spark, d, "supplier"),
-    )
+    """Paths from a template with names in any case, an unknown one, and a brace that is never closed."""
+    v = spark.sql(_NAMES, s=table(spark, d, "supplier"))
     values = {"artist": F.col("artist"), "album": F.col("album"), "year": F.col("year"), "track": F.lpad(F.col("n").cast("string"), 2, "0"), "title": F.col("title")}
-    return v.select("id", text.render_template("{artist}/{album} ({year})/{track} {title}", values).alias("path"))
+    return v.select("id", text.render_template("{Artist}/{album} ({YEAR}){nothing} {open/{track} {title}", values).alias("path"))
+
+
+_FOREIGN = {"Björk – Vespertine": "Bjork - Vespertine", "Ｆｕｌｌ＆ｗｉｄｅ": "Full&wide", "Кино – Дом": "Kino - Dom", "Σωκράτης": "Sokrates", "日本 x": "x", "Straße „a“ … Ærø": 'Strasse "a" ... AEro', "Žižek ×2": "Zizek x2", "Чайка": "Cajka"}
+_ASCII = "CASE p_partkey % 8 " + " ".join("WHEN {i} THEN '{v}'".format(i=i, v=v) for i, v in enumerate(_FOREIGN)) + " END"
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 8 " + " ".join("WHEN {i} THEN '{v}'".format(i=i, v=v) for i, v in enumerate(_FOREIGN.values())) + " END || ' ' || p_brand AS name FROM part")
+def ascii_names(spark, d):
+    """Names of several scripts in printable ASCII."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.ascii_safe(F.concat(F.expr(_ASCII), F.lit(" "), F.col("p_brand"))).alias("name"))
