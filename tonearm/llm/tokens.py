@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 
@@ -18,6 +19,16 @@ WORDS_AT_A_TIME = 4096
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
+def _places(values: list, wanted, start: int) -> list[int]:
+    """Where a value stands in a list, from a place on."""
+    out = []
+    with contextlib.suppress(ValueError):
+        while True:
+            out.append(start := values.index(wanted, start))
+            start += 1
+    return out
+
+
 class BatchEncoder:
     """Encodes texts to the ids that ``Tokenizer.encode(text, add_special_tokens=False)`` gives.
 
@@ -35,7 +46,7 @@ class BatchEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
+        self.added = [t.content for t in added]
         # an added token that a normalised text may hold, or that white space is part of, can't be looked for in words
         self.plain_added = not any(re.search(r"\s", t.content) or (t.normalized and self.tokenizer.normalizer is not None) for t in added)
         self.kept = kept
@@ -80,11 +91,11 @@ class BatchEncoder:
         split, odd, new = [], [], set()
         known = self.known.get
         for i, t in enumerate(texts):
-            if self.by_word and t and not _OTHER_SPACE.search(t) and not self.added.search(t):
+            if self.by_word and t and not any(a in t for a in self.added) and not _OTHER_SPACE.search(t):
                 own = f" {t}".replace("\n", " \n").split(" ")
                 parts = list(map(known, own))
-                parts[1] = b""  # the first word follows no blank
-                missed = [k for k, p in enumerate(parts) if p is None][1:]
+                parts[:2] = None, b""  # the first word follows no blank
+                missed = _places(parts, None, 2)
                 words = [own[k] for k in missed]
                 if not (own[1] == "" or "" in words or "\n" in words or own[1][0] == "\n"):
                     split.append((i, own[1], parts, missed, words))

@@ -36,7 +36,7 @@ def build_planes(ids: np.ndarray, levels: int) -> list[np.ndarray]:
     for level in range(levels - 1, -1, -1):
         bit = (now & now.dtype.type(1 << level)) != 0
         planes.append(np.packbits(bit))
-        now = np.concatenate((now[~bit], now[bit]))
+        now = np.concatenate((now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))))
     return planes
 
 
@@ -127,8 +127,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level][:], count=self.n).view(bool)
             up = np.empty_like(now)
-            up[~bit] = now[: self.zeros[level]]
-            up[bit] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
             now = up
         return now
 
