@@ -38,6 +38,8 @@ def test_indicators_are_of_whole_texts():
     long = "word " * 300_000 + "%%%"
     a, b = quality.indicators([long, "word " * 3])
     assert len(a) > len(b) and (np.diff(a) > 0).all()
+    many = ["one two", "two BIG", "BIG 7", "", "7 7", "7"]
+    assert [x.tolist() for x in quality.indicators(many)] == [quality.indicators([t])[0].tolist() for t in many]
     assert [x.tolist() for x in quality.indicators(["ab c", "x", ""])] == [x[0].tolist() for x in map(quality.indicators, (["ab c"], ["x"], [""]))]
 
 
@@ -48,6 +50,97 @@ def test_dual_descent_separates():
     assert all(y[i] * (w[rows[i]] @ values[i] + b) > 0.95 for i in range(3))
 
 
+def test_dual_descent_by_force():
+    """The objective of the trained weights is the least one that a grid of weights and biases has."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    x = rng.normal(size=(40, 2)) + np.repeat([[0.7, 0.2], [-0.7, -0.2]], 20, axis=0)
+    y, cost = np.repeat([1.0, -1.0], 20), np.full(40, 0.7)
+    w, b = quality.dual_descent([np.arange(2)] * 40, list(x), y, 2, cost, 3000, 0)
+    objective = lambda w0, w1, b: 0.5 * (w0 * w0 + w1 * w1 + b * b) + sum(0.7 * np.maximum(0, 1 - t * (w0 * p + w1 * q + b)) for (p, q), t in zip(x, y, strict=True))
+    grid = np.linspace(-4, 4, 81)
+    assert objective(*w, b) <= objective(*np.meshgrid(grid, grid, grid)).min() + 1e-3
+
+
+def test_quality_scores_by_force(spark):
+    """Scores and log-count ratios against plain loops over sets of n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    t = quality.Training(held=0.0)
+    model = quality.train_classifier(docs, labels, F.lit(True), t)
+    again = quality.train_classifier(docs.repartition(5), labels.repartition(3), F.lit(True), t)
+    assert (model.weights == again.weights).all() and (model.scale, model.shift) == (again.scale, again.shift)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.label for r in labels.collect() if r.doc_id in texts}
+    grams = {d: set(quality.indicators([t])[0].tolist()) for d, t in texts.items()}
+    count = {q: Counter(g for d, label in known.items() if label == q for g in grams[d]) for q in (0, 1)}
+    dims = 1 << quality.BITS
+    total = {q: sum(c.values()) + dims * t.smoothing for q, c in count.items()}
+    for g in list(count[0] | count[1])[:500] + [1, 2, 3]:
+        assert abs(model.ratios[g] - math.log((count[1][g] + t.smoothing) / total[1]) + math.log((count[0][g] + t.smoothing) / total[0])) < 1e-9
+    for r in quality.score_documents(docs, model).collect():
+        own = grams[r.doc_id]
+        norm = math.sqrt(sum(model.ratios[g] ** 2 for g in own))
+        margin = model.bias + (sum(model.weights[g] for g in own) / norm if norm else 0.0)
+        assert abs(r.score - 1 / (1 + math.exp(-(model.scale * margin + model.shift)))) < 1e-9
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Rows of one id are examples each, and models do not depend on the layout."""
+    rows = [(i % 7, f"{'good words' if i % 2 else 'BAD %% ##'} {i}", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, label int")
+    sample, prior = quality.labelled_sample(docs, labels, F.lit(True), quality.Training())
+    assert sample.count() == 60 and prior == 3 / 7
+    one, other = (langid.train_languages(d, F.lit(True)) for d in (docs.coalesce(1), docs.orderBy(F.desc("text")).repartition(6)))
+    assert (one.weights == other.weights).all() and one.temperature == other.temperature
+
+
+def test_languages_by_force(spark):
+    """Document frequencies, TF-IDF, every step of the training and the predictions against plain loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("lang is not null and length(text) < 600").orderBy("doc_id").limit(30)
+    t = langid.Training(epochs=2)
+    model = langid.train_languages(docs, F.lit(True), t)
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in langid.identify(docs, model).collect()}
+    place = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit("sample")).alias("h")).collect()}
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id, r.lang, place[r.doc_id]))
+    counts = [dict(zip(*(a.tolist() for a in next(iter(langid.gram_counts([r.text])))), strict=True)) for r in rows]
+    df = Counter(g for c in counts for g in c)
+    idf = lambda g: math.log((1 + len(rows)) / (1 + df[g])) + 1
+    vectors = []
+    for c in counts:
+        v = {g: (1 + math.log(n)) * idf(g) for g, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({g: x / norm for g, x in v.items()})
+    langs = sorted({r.lang for r in rows})
+    z, n = Counter(), Counter()
+
+    def weight(g, k):
+        if abs(z[g, k]) <= t.l1:
+            return 0.0
+        return -(z[g, k] - math.copysign(t.l1, z[g, k])) / ((t.beta + math.sqrt(n[g, k])) / t.alpha + t.l2)
+
+    rng = np.random.Generator(np.random.PCG64(t.seed))
+    held = rng.random(len(rows)) < t.held if len(rows) >= 8 * len(langs) else np.zeros(len(rows), bool)
+    for _ in range(t.epochs):
+        for i in rng.permutation(np.flatnonzero(~held)):
+            v = vectors[i] | {"bias": 1.0}
+            w = {(g, k): weight(g, k) for g in v for k in range(len(langs))}
+            logit = [sum(x * w[g, k] for g, x in v.items()) for k in range(len(langs))]
+            e = [math.exp(x - max(logit)) for x in logit]
+            for k in range(len(langs)):
+                p = e[k] / sum(e) - (langs[k] == rows[i].lang)
+                for g, x in v.items():
+                    step = (math.sqrt(n[g, k] + (x * p) ** 2) - math.sqrt(n[g, k])) / t.alpha
+                    z[g, k] += x * p - step * w[g, k]
+                    n[g, k] += (x * p) ** 2
+    for g in list(df)[:300]:
+        assert all(abs(model.weights[g][k] - weight(g, k)) < 1e-7 for k in range(len(langs)))
+    for r, v in zip(rows, vectors, strict=True):
+        logit = [(weight("bias", k) + sum(x * weight(g, k) for g, x in v.items())) / model.temperature for k in range(len(langs))]
+        e = [math.exp(x - max(logit)) for x in logit]
+        assert got[r.doc_id][0] == langs[int(np.argmax(logit))] and abs(got[r.doc_id][1] - max(e) / sum(e)) < 1e-6
+
+
 def test_language_held_out(spark):
     got = queries.op9_language(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")

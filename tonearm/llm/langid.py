@@ -151,7 +151,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def train_languages(docs: DataFrame, learn: Column, t: Training = Training()) -> LanguageModel | None:
-    """The model of (doc_id, text, lang) rows where ``learn`` holds and text and lang are not null; None if there are none."""
+    """The model of (doc_id, text, lang) rows where ``learn`` holds and text and lang are not null; None if there are none, as of an empty table.
+
+    Rows that repeat an id are examples each. The same rows give the same model in any layout.
+    """
     known = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
@@ -160,15 +163,16 @@ def train_languages(docs: DataFrame, learn: Column, t: Training = Training()) ->
     df, total = document_frequencies(known)
     idf = np.log((1 + total) / (1 + df)) + 1
     rate = F.element_at(F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, t.per_language / n[lang])))]), F.col("lang"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)
+    place = F.xxhash64("doc_id", "text", F.lit("sample"))
+    part = F.pmod(place, F.lit(1 << 30)) < rate * (1 << 30)
 
     @F.pandas_udf("struct<found: array<int>, count: array<int>>")
     def grams(text: pd.Series) -> pd.DataFrame:
         rows = list(gram_counts(text.tolist()))
         return pd.DataFrame({"found": [f.astype(np.int32) for f, _ in rows], "count": [c.astype(np.int32) for _, c in rows]})
 
-    sample = known.where(part).dropDuplicates(["doc_id"]).limit(4 * t.per_language * len(languages))
-    rows = sorted(sample.select("doc_id", "lang", grams("text").alias("g")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.lang))
+    sample = known.where(part).select("doc_id", "lang", place.alias("place"), grams("text").alias("g")).orderBy("place", "doc_id", "lang", "g").limit(4 * t.per_language * len(languages))
+    rows = sorted(sample.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.lang, r.place))
     found = [np.array(r.g.found, np.int64) for r in rows]
     return fit([(f, tfidf(f, np.array(r.g["count"], np.int64), idf)) for f, r in zip(found, rows, strict=True)], np.array([languages.index(r.lang) for r in rows]), languages, idf, t)
 

@@ -32,10 +32,14 @@ def _shapes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = span_hashes(data, starts, ends)
     first, last, second = data[starts], data[ends - 1], data[np.minimum(starts + 1, ends - 1)]
     sign = np.where(_CLASS[last] > 0, _CLASS[last], last.astype(np.uint64) + np.uint64(8))
+    heads = (np.cumsum(n) - n)[n > 0]  # a text's first word follows none
     twice = np.concatenate(([False], h[1:] == h[:-1])) if len(h) else np.zeros(0, bool)
+    twice[heads] = False
     shape = _CLASS[first] | _CLASS[second] << np.uint64(4) | sign << np.uint64(8) | twice.astype(np.uint64) << np.uint64(20)
     one = mix(shape + np.uint64(1 << 32))
-    two = mix(np.concatenate((shape[:1], shape[:-1])) * np.uint64(1 << 24) + shape + np.uint64(1 << 60)) if len(h) else one
+    before = np.concatenate((shape[:1], shape[:-1]))
+    before[heads] = shape[heads]
+    two = mix(before * np.uint64(1 << 24) + shape + np.uint64(1 << 60)) if len(h) else one
     top = np.uint64(64 - BITS)
     return np.stack(((one >> top), (two >> top)), axis=1).astype(np.int64).ravel(), 2 * n
 
@@ -172,32 +176,38 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, t: Training =
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, t: Training) -> tuple[DataFrame, float]:
-    """(doc_id, features, label) of at most about ``per_class`` rows of each class, and the share of label 1 of all.
+    """(doc_id, features, label, place) of at most about ``per_class`` rows of each class, and the share of label 1 of all.
 
-    Rows are chosen by a hash of the id. Labels other than 0 and 1 and null ids are left out; an id
-    with both labels counts as 1.
+    Ids are chosen by a hash, and rows in its order where there are more than twice as many. Labels other than 0 and 1 and null
+    ids are left out; an id with both labels counts as 1; each row of an id is an example of its label.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
     for label, many in n.items():
         rate = F.when(F.col("label") == label, float(min(1.0, t.per_class / many))).otherwise(rate)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate * (1 << 30)
-    chosen = known.where(part).limit(4 * t.per_class)  # so many rows at most, so the broadcast is small
+    hashed = F.xxhash64("doc_id", F.lit("sample"))
+    part = F.pmod(hashed, F.lit(1 << 30)) < rate * (1 << 30)
+    chosen = known.where(part).orderBy(hashed, "doc_id").limit(4 * t.per_class)  # so many rows at most, so the broadcast is small
 
     @F.pandas_udf("array<int>")
     def features(text: pd.Series) -> pd.Series:
         return pd.Series(indicators([t or "" for t in text]))
 
     rows = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("doc_id", "label", features(F.col("text")).alias("features")).dropDuplicates(["doc_id"])
-    return rows, (n.get(1, 0) / sum(n.values()) if n else 0.5)
+    rows = rows.select("doc_id", "label", F.xxhash64("doc_id", "text").alias("place"), features(F.col("text")).alias("features"))
+    return rows.orderBy("place", "doc_id", "label", "features").limit(4 * t.per_class), (n.get(1, 0) / sum(n.values()) if n else 0.5)
 
 
 def train_classifier(docs: DataFrame, labels: DataFrame, learn: Column, t: Training = Training()) -> SupportVectors:
-    """docs: (doc_id, text); labels: (doc_id, label); learn: condition on doc_id of the rows to learn from."""
+    """The model of docs (doc_id, text) and labels (doc_id, label); learn: condition on doc_id of the rows to learn from.
+
+    Rows that repeat an id are examples each, whatever their texts; null texts are empty. Without labelled rows, as of
+    an empty table, the model gives every text a half; with one label only, that label's share. The same rows give the same
+    model in any layout.
+    """
     sample, prior = labelled_sample(docs, labels, learn, t)
-    rows = sorted(sample.collect(), key=lambda r: r.doc_id)
+    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.place))
     return fit([np.array(r.features, np.int64) for r in rows], np.array([r.label for r in rows]), prior, t)
 
 
