@@ -63,6 +63,24 @@ def alignment_histogram(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.groupBy("pair_id", (F.col("i") - F.col("j")).alias("offset")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def integral_image(cells: DataFrame) -> DataFrame:
+    """(track_id, frame, bin, value) rows with ``total``, the sum over all earlier frames and lower bins, these included."""
+    across = Window.partitionBy("track_id", "frame").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("track_id", "bin").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("line", F.sum("value").over(across)).withColumn("total", F.sum("line").over(down)).drop("line")
+
+
+def areas(image: DataFrame, low: int, bins: int, frames: int) -> DataFrame:
+    """track_id, frame, area: the sum over ``bins`` bins from ``low`` and ``frames`` frames from each frame on, by four corners of an integral image; where all these frames exist."""
+    high = low + bins - 1
+    corners = image.where(F.col("bin").isin(low - 1, high)).groupBy("track_id", "frame").agg(
+        (F.max(F.when(F.col("bin") == high, F.col("total"))) - F.coalesce(F.max(F.when(F.col("bin") == low - 1, F.col("total"))), F.lit(0))).alias("upto")
+    )
+    w = Window.partitionBy("track_id").orderBy("frame")
+    rows = corners.withColumn("end", F.lead("upto", frames - 1).over(w)).withColumn("before", F.coalesce(F.lag("upto").over(w), F.lit(0)))
+    return rows.where("end is not null").select("track_id", "frame", (F.col("end") - F.col("before")).alias("area"))
+
+
 def local_maxima(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     """Rows not below either neighbour; plateaus count, and the ends have one neighbour."""
     w = Window.partitionBy(key).orderBy(pos)

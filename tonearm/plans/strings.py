@@ -27,7 +27,11 @@ def similar_names(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.similar(a, b).alias("alike"))
 
 
-@query()
+_ALIKE = "(a.name = b.other OR (length(a.name) >= 6 AND (contains(a.name, b.other) OR contains(b.other, a.name))))"
+
+
+@query(f"""WITH a AS (SELECT {NORMALIZE.format(x='p_name')} AS name, count(*) AS m FROM part GROUP BY 1), b AS (SELECT {NORMALIZE.format(x="string_split(p_name, ' ')[1]")} AS other, count(*) AS n FROM part GROUP BY 1)
+SELECT a.name, b.other, a.m * b.n AS pairs FROM a JOIN b ON a.name <> '' AND b.other <> '' AND {_ALIKE}""")
 def similar_name_pairs(spark, d):
     """All parts' names against all first words, each with how many pairs of parts it stands for; names are counted first."""
     part = table(spark, d, "part")
