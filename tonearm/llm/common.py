@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step handles at a time in a task.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Whole texts that a Python function gets at a time where their plan is written by this library.
-TEXT_ROWS = 1024
+TEXT_ROWS = 512
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -55,6 +55,15 @@ def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python functions of the session get TEXT_ROWS rows at a time, unless the session sets a number of its own.
+
+    A batch of Spark's default number of whole texts takes some hundred megabytes in both processes of a task.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, TEXT_ROWS)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it, for files that tasks write and read."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
@@ -67,6 +76,13 @@ def discard(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that materialize has written and that nothing needs any more."""
+    files = df.inputFiles()
+    if files:
+        discard(files[0].rpartition("/")[0])
+
+
 def join_counted(rows: DataFrame, per_key: DataFrame, key: str, count: str, most: int = 1 << 20, how: str = "inner") -> DataFrame:
     """The join (inner or left) of rows with a table of one row a key that says how many rows the key has.
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, materialize, shuffle_parts
+from .common import CHUNK_CHARS, materialize, shuffle_parts, small_batches
 from .grams import runs_of, word_hashes
 
 #: 64-bit lanes that tell paragraphs apart, modulo 2**64 each: together a 512-bit digest of the paragraph.
@@ -86,6 +86,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first; rows that repeat an id are ordered by a hash of the text, and very many of them are dealt over several ranges. A table of one row follows itself; an
     empty table gives no rows. Equal texts have equal fingerprints, and near 1 to each other.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -113,7 +114,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dealt = flagged.select(
         "doc_id", "text", "h", F.explode(F.when(F.col("to").isNull(), F.slice(sent, 1, 1)).otherwise(sent)).alias("s")
     ).select("doc_id", "text", "h", "s.part", "s.extra")
-    dealt = dealt.repartitionByRange(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "h")
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "h")
 
     def work(own: list, texts: list[str]) -> pd.DataFrame:
         """Rows of all texts but the last, which is the successor of the one before."""

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 from .grams import char_grams, text_codes
 
 #: log2 of the number of n-gram buckets.
@@ -155,6 +155,7 @@ def train_languages(docs: DataFrame, learn: Column, t: Training = Training()) ->
 
     Rows that repeat an id are examples each. The same rows give the same model in any layout.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     Texts that are null or have no letter, and all texts where nothing was learned, are ``und`` with
     score 0. Columns of these two names are replaced.
     """
+    small_batches(docs.sparkSession)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "lang_score": F.lit(0.0)})
 

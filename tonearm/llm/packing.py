@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, materialize, shuffle_parts
+from .common import TEXT_ROWS, materialize, shuffle_parts, small_batches
 from .hilbert import cells_of, hilbert_keys
-from .tokens import encoder
+from .tokens import KEPT_WORDS, encoder
 
 #: Texts that are encoded at a time.
 BATCH_TEXTS = 512
@@ -45,13 +45,13 @@ def power_pieces(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", kept_words: int = KEPT_WORDS) -> DataFrame:
     """doc_id, ids (16- or 32-bit little-endian, with the end id), wide, n, place: written to the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, kept_words)
         for b in batches:
             for at in range(0, len(b), BATCH_TEXTS):
                 part = b.iloc[at : at + BATCH_TEXTS]
@@ -65,24 +65,23 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, curve: Curve = C
     return materialize(rows.mapInPandas(run, "doc_id long, ids binary, wide boolean, n long, place array<double>"), "pack-ids", TEXT_ROWS)
 
 
-def _part(keyed: DataFrame, curve: Curve, parts: int) -> tuple[Column, int]:
-    """The range of a row of (key, n, h, doc_id), by the sums of ids in cells of the curve; a row a cell, 2**CELL_BITS at most, comes to the driver."""
-    cell = F.shiftrightunsigned("key", max(0, curve.dims * curve.bits - CELL_BITS)).cast("int")
-    sums = sorted((r.cell, r.n) for r in keyed.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect())
-    cells, wide = np.array([c for c, _ in sums], np.int64), np.array([n for _, n in sums], np.float64)
-    before, share = np.cumsum(wide) - wide, max(wide.sum() / parts, 1.0)
-
-    @F.pandas_udf("int")
-    def part(cell: pd.Series, spot: pd.Series) -> pd.Series:
-        at = np.searchsorted(cells, cell.to_numpy())
-        place = before[at] + wide[at] * ((spot.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64)
-        return pd.Series(np.minimum(place / share, parts - 1).astype(np.int32))
+def _with_part(keyed: DataFrame, curve: Curve, parts: int) -> DataFrame:
+    """Rows of (key, n, h, doc_id) with the ``part`` of the curve that they are in, by the sums of ids in its cells.
 
-    return part(cell, F.xxhash64("h", "doc_id")), parts
+    A row a cell, 2**CELL_BITS at most, is ordered in one task and broadcast.
+    """
+    cell = F.shiftrightunsigned("key", max(0, curve.dims * curve.bits - CELL_BITS)).cast("int")
+    sums = keyed.groupBy(cell.alias("cell")).agg(F.sum("n").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = materialize(sums.withColumns({"before": before, "total": F.sum("held").over(Window.partitionBy())}), "pack-cells")
+    spot = (F.xxhash64("h", "doc_id").cast("double") + 2.0**63) / 2.0**64
+    part = F.least(F.floor((F.col("before") + F.col("held") * spot) * parts / F.col("total")), F.lit(parts - 1))
+    return keyed.withColumn("cell", cell).join(F.broadcast(sums), "cell").withColumn("part", part.cast("int"))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wished, ids.
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 2048, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wished, ids; kept_words bounds the
+    words whose ids a Python process keeps.
 
     Documents are placed by their hashed token vector, projected to few dimensions and scaled by the
     mean and deviation over all documents, and range-sorted by the Hilbert key of the place; ranges hold about
@@ -93,8 +92,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
     texts are just the end id; null ids stay null; rows that repeat are documents of their own. An
     empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    ids = tokenize(docs, tokenizer_path, end_id, curve, id_col, text_col)
+    ids = tokenize(docs, tokenizer_path, end_id, curve, id_col, text_col, kept_words)
     place = [F.element_at("place", d + 1) for d in range(curve.dims)]
     stats = ids.agg(*[F.avg(p).alias(f"m{d}") for d, p in enumerate(place)], *[F.stddev_pop(p).alias(f"s{d}") for d, p in enumerate(place)]).first()
     mean = np.array([stats[f"m{d}"] or 0.0 for d in range(curve.dims)])
@@ -108,8 +108,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = 20
         return pd.Series(hilbert_keys(cells_of(1 / (1 + np.exp(-1.702 * z)), curve.bits), curve.bits))
 
     keyed = ids.select("doc_id", "ids", "wide", "n", key("place").alias("key"), F.xxhash64("ids").alias("h"))
-    part, parts = _part(keyed, curve, shuffle_parts(spark))
-    sorted_rows = keyed.withColumn("part", part).repartitionById(parts, "part").sortWithinPartitions("part", "key", "h", F.col("doc_id").asc_nulls_first())
+    parts = shuffle_parts(spark)
+    placed = _with_part(keyed, curve, parts).select("doc_id", "ids", "wide", "key", "h", "part")
+    sorted_rows = placed.repartitionById(parts, "part").sortWithinPartitions("part", "key", "h", F.col("doc_id").asc_nulls_first())
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if keep_ids else "")
 
     def run(batches):

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 from .grams import char_grams, mix, span_hashes, text_codes, word_spans
 
 #: log2 of the number of feature buckets.
@@ -206,6 +206,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, learn: Column, t: Train
     an empty table, the model gives every text a half; with one label only, that label's share. The same rows give the same
     model in any layout.
     """
+    small_batches(docs.sparkSession)
     sample, prior = labelled_sample(docs, labels, learn, t)
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.place))
     return fit([np.array(r.features, np.int64) for r in rows], np.array([r.label for r in rows]), prior, t)
@@ -214,6 +215,7 @@ def train_classifier(docs: DataFrame, labels: DataFrame, learn: Column, t: Train
 def score_documents(docs: DataFrame, model: SupportVectors, text_col: str = "text", score: str = "score") -> DataFrame:
     """All rows and columns with ``score``, the probability of label 1 of each whole text; null texts count as empty."""
 
+    small_batches(docs.sparkSession)
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
         return pd.Series(model.probabilities(indicators([t or "" for t in text])), dtype="float64")

@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Words whose ids a process keeps; about 200 bytes each. Others are encoded in each batch.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: New words that are encoded in one text.
 WORDS_AT_A_TIME = 4096
 
@@ -115,11 +115,11 @@ class BatchEncoder:
         return out
 
 
-_loaded: dict[str, BatchEncoder] = {}
+_loaded: dict[tuple[str, int], BatchEncoder] = {}
 
 
-def encoder(path: str) -> BatchEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> BatchEncoder:
     """The process's encoder for a tokenizer file; tasks of one Python worker share it."""
-    if path not in _loaded:
-        _loaded[path] = BatchEncoder(path)
-    return _loaded[path]
+    if (path, kept) not in _loaded:
+        _loaded[path, kept] = BatchEncoder(path, kept)
+    return _loaded[path, kept]

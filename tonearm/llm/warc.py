@@ -133,7 +133,7 @@ def write_archives(
     def part_of(page_id: pd.Series, digest: pd.Series) -> pd.Series:
         return pd.Series([bisect.bisect_right(bounds, order_key(None if pd.isna(p) else int(p), bytes(d))) for p, d in zip(page_id, digest, strict=True)], dtype="int32")
 
-    both = both.withColumn("part", part_of("page_id", "digest")).repartitionByRange(parts, "part")
+    both = both.withColumn("part", part_of("page_id", "digest")).repartitionById(parts, "part")
     both = both.sortWithinPartitions("part", F.col("page_id").asc_nulls_first(), "digest", F.col("payload").isNotNull(), F.col("url").asc_nulls_first())
 
     def write(batches):

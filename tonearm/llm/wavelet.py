@@ -216,14 +216,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
     The texts are dealt out by ranges of the id and each task writes the shards of its range; a shard
     is written under a temporary name and then renamed, and the manifest names only files of tasks
     that succeeded. The result is the manifest: path, part, shard, documents, ids. Null texts count
-    as empty; null ids come first; rows that repeat an id stay, ordered by the text. Very long texts
+    as empty; null ids come first; rows that repeat an id stay, ordered by a hash of the text. Very long texts
     are documents like others. An empty table writes no shard.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-shards")
     end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # very many rows of one id are dealt over several tasks
+    rows = rows.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
 
     def write(batches):
         from pyspark import TaskContext
