@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, jaccard, langid, mixing, packing, quality, urls, warc, wavelet
+from . import ann, conversations, fingerprints, jaccard, langid, mixing, oracles, packing, quality, urls, warc, wavelet
 from .common import crc_of
 
 #: Rules of the URL filter's query.
@@ -77,6 +77,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    return conversations.prefix_trie(table(spark, sf_dir, "conversations")).select(*columns)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,9 +89,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_nearest, op2_quality, op3_near_duplicates, op4_packing, op5_urls, op6_token_shards, op7_mixing, op8_fingerprints, op9_language, op10_warc]
+    ops = [op1_nearest, op2_quality, op3_near_duplicates, op4_packing, op5_urls, op6_token_shards, op7_mixing, op8_fingerprints, op9_language, op10_warc, op11_prefix_trie]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_trie": oracles.OP11}
