@@ -38,9 +38,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts' bytes, the start and end of each word (runs without ASCII white space), and the words of each text."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def word_spans(texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, the start and end of each word (runs without ASCII white space), and the words of each text; bytes are texts in UTF-8."""
+    raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _BREAK[data])).astype(np.int8)))  # starts and ends by turns
