@@ -33,3 +33,18 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_
        b.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM nodes n JOIN below b USING (node) LEFT JOIN children c USING (node) LEFT JOIN ends e USING (node)
 LEFT JOIN nodes p ON n.depth > 0 AND p.node = n.node[1:n.depth - 1]"""
+
+_TERMS = r"""regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP12 = f"""
+WITH held AS (SELECT row_number() OVER () AS row, doc_id, unnest({_TERMS.format(c="text")}) AS term FROM documents),
+lengths AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM held GROUP BY row),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format(c="text")}) AS term FROM benchmark) GROUP BY item_id, term),
+tf AS (SELECT row, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY row, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+scores AS (
+    SELECT a.item_id, l.doc_id, sum(a.times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * l.n * docs) // words))))::BIGINT AS score
+    FROM tf JOIN asked a USING (term) JOIN weights w USING (term) JOIN lengths l USING (row), total GROUP BY a.item_id, l.row, l.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversations, fingerprints, jaccard, langid, mixing, oracles, packing, paths, quality, urls, warc, wavelet
+from . import ann, conversations, fingerprints, jaccard, langid, mixing, oracles, packing, paths, quality, ranking, urls, warc, wavelet
 from .common import crc_of
 
 #: Rules of the URL filter's query.
@@ -82,6 +82,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.prefix_trie(table(spark, sf_dir, "conversations")).select(*columns)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.near_duplicate_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -93,9 +97,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_nearest, op2_quality, op3_near_duplicates, op4_packing, op5_urls, op6_token_shards, op7_mixing, op8_fingerprints, op9_language, op10_warc, op11_prefix_trie, op13_chosen_paths]
+    ops = [op1_nearest, op2_quality, op3_near_duplicates, op4_packing, op5_urls, op6_token_shards, op7_mixing, op8_fingerprints, op9_language, op10_warc, op11_prefix_trie, op12_ranked_search, op13_chosen_paths]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_prefix_trie": oracles.OP11}
+    return {"op11_prefix_trie": oracles.OP11, "op12_ranked_search": oracles.OP12}
