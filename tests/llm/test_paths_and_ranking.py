@@ -70,7 +70,7 @@ def test_components_of_families_and_chains(spark):
         rows.append((1000 + i, " ".join(words)))
     rows += [(500 + i, " ".join(f"c{j}" for j in range(6 * i, 6 * i + 90))) for i in range(60)]
     rows += [(1, " ".join(base[:95] + [f"o{i}" for i in range(20)]))]
-    small = paths.PathJoin(block=16, partners=16)
+    small = paths.PathJoin(block=16, block_shingles=2000, partners=16)
     want = plain_components(rows)
     assert found_components(spark, rows) == want == found_components(spark, rows, 4, small)
     assert len({c for d, _, c, _ in want if 500 <= d < 560}) == 1

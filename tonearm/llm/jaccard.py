@@ -106,8 +106,8 @@ def _sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return h, owner, np.bincount(owner, minlength=len(texts))
 
 
-def compare(left: list[str], right: list[str] | None, words: int, similarity: float) -> np.ndarray:
-    """Which texts of two lists (or of one, against itself) are at least so similar: a boolean matrix.
+def common_counts(left: list[str], right: list[str] | None, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(common, a_n, b_n): n-grams that the texts of two lists (or of one, with itself) have in common, and how many each text has.
 
     Common n-grams are counted by products of indicator matrices, a slice of the n-grams at a time.
     """
@@ -139,11 +139,17 @@ def compare(left: list[str], right: list[str] | None, words: int, similarity: fl
 
             x = slice_of(a_at, a_o, len(left))
             common += x @ (x if own else slice_of(b_at, b_o, len(right))).T
+    return common, a_n, b_n
+
+
+def compare(left: list[str], right: list[str] | None, words: int, similarity: float) -> np.ndarray:
+    """Which texts of two lists (or of one, against itself) are at least so similar: a boolean matrix."""
+    common, a_n, b_n = common_counts(left, right, words)
     union = a_n[:, None] + b_n[None, :] - common
     return (common >= similarity * union - 1e-6 * union) & (union > 0)
 
 
-def _links(a_ids: np.ndarray, b_ids: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(a_ids: np.ndarray, b_ids: np.ndarray, alike: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what the matrix connects: as many as there are texts at most."""
     ids = np.unique(np.concatenate((a_ids, b_ids)))
     x, y = np.nonzero(alike)
@@ -359,7 +365,7 @@ def _linked(rows: DataFrame, keyed: DataFrame, texts: DataFrame, forest: Forest)
         out = [(int(i), None, int(d)) for i, d in zip(a_ids, linked @ b["copies"].to_numpy(np.float64), strict=True) if d]
         if not own:
             out += [(int(i), None, int(d)) for i, d in zip(b_ids, linked.T @ a["copies"].to_numpy(np.float64), strict=True) if d]
-        out += [(i, j, 0) for i, j in _links(a_ids, b_ids, alike)]
+        out += [(i, j, 0) for i, j in spanning_links(a_ids, b_ids, alike)]
         return pd.DataFrame({"a": pd.array([r[0] for r in out], "Int64"), "b": pd.array([r[1] for r in out], "Int64"), "links": np.array([r[2] for r in out], np.int64)})
 
     # comparing costs more than its bytes tell, so small partitions are not joined

@@ -4,8 +4,8 @@ Every set has a row of MinHash values. A node of a tree selects one position of
 the probability 1 / similarity - 1 a second one; the sets of the node go on to the child of their value
 there, so a pair at just the least similarity stays together in about one child of each node. Nodes with
 few sets are compared exhaustively. Nodes that are crowded at the full depth hold families of near copies:
-their sets are compared with two of them, and where that leaves more than one component, the sets outside
-the largest are compared with all others. Independent trees are repeated until a pair at the
+their sets are compared with two of them, and where that leaves a family in more than one component, the sets outside
+the largest are compared with all others of the family, in blocks. Independent trees are repeated until a pair at the
 least similarity shares a compared node with the target probability. Sketches only rule pairs out;
 links are confirmed on whole sets, read from the texts again.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import TEXT_ROWS, chunks, join_counted, materialize, shuffle_parts
 from .components import components
 from .grams import mix, shingle_hashes
+from .jaccard import common_counts, spanning_links
 
 #: Of the values in a pair's short sketch (8 of 8 bits), so many agree; a pair at 0.8 has fewer with 0.00008.
 SHORT_ALIKE = 2
@@ -35,7 +36,7 @@ _SELECT, _SECOND, _BRANCH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D2
 class PathJoin:
     """words: of a shingle; percent: least similarity of a link; values: MinHash values of a set; small: sets of a node that are compared exhaustively;
     split: by how much a level is taken to divide a table of unrelated texts; recall: least probability that a pair at the least similarity is compared;
-    block: sets that are compared with as many at a time; partners: of one set that are confirmed in one task; errors: standard errors
+    block, block_shingles: sets of a crowded node, and shingles of a family's sets, that are compared with as many at a time; partners: of one set that are confirmed in one task; errors: standard errors
     by which a sketch may be wrong."""
 
     words: int = 2
@@ -45,6 +46,7 @@ class PathJoin:
     split: int = 30
     recall: float = 0.999
     block: int = 256
+    block_shingles: int = 1 << 17
     partners: int = 256
     errors: float = 5.0
     seed: int = 23
@@ -234,10 +236,9 @@ def _near(pairs: DataFrame, sets: DataFrame, join: PathJoin, name: str) -> DataF
     return materialize(both.mapInPandas(estimate, "a long, b long, alike long"), name, 4096)
 
 
-def _texts(docs: DataFrame, sets: DataFrame, pairs: DataFrame, join: PathJoin, id_col: str, text_col: str) -> DataFrame:
-    """tid, text of the sets in the pairs; of an id with several texts that of the set."""
-    wanted = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
-    wanted = wanted.join(sets.select("tid", "rep", "key"), "tid").withColumnRenamed("rep", "doc_id")
+def _texts(docs: DataFrame, sets: DataFrame, tids: DataFrame, join: PathJoin, id_col: str, text_col: str) -> DataFrame:
+    """tid, text of the sets asked for; of an id with several texts that of the set."""
+    wanted = tids.select("tid").distinct().join(sets.select("tid", "rep", "key"), "tid").withColumnRenamed("rep", "doc_id")
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted, "doc_id")
 
     def own(batches):
@@ -280,34 +281,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame, join: PathJoin, name: str) ->
     return materialize(rows.select("b", "part", "role", "tid", "text").mapInPandas(compare, "a long, b long"), name, TEXT_ROWS)
 
 
-def _crossing(crowded: DataFrame, comps: DataFrame, join: PathJoin) -> DataFrame:
-    """a, b, ca, cb: pairs of different components in crowded nodes whose short sketches don't rule them out.
-
-    One of the two is outside of the node's largest component. Both sides are dealt to blocks, so a
-    task meets at most a block of each at a time.
-    """
-    rows = crowded.select("tree", "node", "tid", "short").distinct().join(comps.withColumnRenamed("id", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-    each = rows.groupBy("tree", "node", "comp").agg(F.count("*").alias("n"))
-    each = each.groupBy("tree", "node").agg(F.sum("n").alias("c"), F.max("n").alias("top"), F.max_by("comp", "n").alias("main")).where("top < c")
-    each = each.select("tree", "node", "main", F.ceil(F.col("c") / join.block).cast("int").alias("blocks"), F.ceil((F.col("c") - F.col("top")) / join.block).cast("int").alias("probes"))
-    rows = materialize(rows.join(each, ["tree", "node"]), "path-crowds")
+def _dealt(rows: DataFrame, group: list[str], label: str, weight: str, limit: int, columns: list[str]) -> DataFrame:
+    """The rows of groups with several labels, dealt to (group, probe, block): each row outside of its group's commonest label (role 1) meets
+    each row of the group (role 0) in one of them; a block has about ``limit`` of ``weight``."""
+    each = rows.groupBy(*group, label).agg(F.count("*").alias("n"), F.sum(weight).alias("size"))
+    of = each.groupBy(*group).agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.max_by(label, "n").alias("main"), F.sum("size").alias("size"), F.max_by("size", "n").alias("main_size")).where("top < all")
+    of = of.select(*group, "main", F.ceil(F.col("size") / limit).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("main_size")) / limit).cast("int").alias("probes"))
+    rows = materialize(rows.join(of, group), "path-crowds")
     own = lambda n: F.pmod(F.xxhash64("tid", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["tree", "node", "probe", "block", "role", "tid", "short", "comp"]
     there = rows.withColumn("block", own("blocks")).withColumn("probe", every("probes")).withColumn("role", F.lit(0))
-    asking = rows.where("comp <> main").withColumn("probe", own("probes")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
-    dealt = there.select(*columns).unionByName(asking.select(*columns))
+    asking = rows.where(F.col(label) != F.col("main")).withColumn("probe", own("probes")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
+    keys = [*group, "probe", "block", "role"]
+    return there.select(*keys, *columns).unionByName(asking.select(*keys, *columns))
+
+
+def _crossing(crowded: DataFrame, families: DataFrame, sets: DataFrame, join: PathJoin) -> DataFrame:
+    """a, b: for each set of a crowded node outside of the node's largest family, and each other family there, the pair with the most
+    values in common, if its sketches don't rule it out."""
+    rows = crowded.select("tree", "node", "tid").distinct().join(families.select(F.col("id").alias("tid"), F.col("comp").alias("family")), "tid", "left")
+    rows = rows.withColumn("family", F.coalesce("family", "tid")).withColumn("one", F.lit(1))
+    dealt = _dealt(rows, ["tree", "node"], "family", "one", join.block, ["tid", "family"]).join(sets.select("tid", "mins"), "tid")
+    least = join.least_alike()
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = group[group["role"] == 1], group[group["role"] == 0].sort_values("family")
+        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        if len(x) and len(y):
+            mine, there = (np.frombuffer(b"".join(g["mins"]), "<u2").reshape(len(g), -1) for g in (x, y))
+            family, tid = y["family"].to_numpy(), y["tid"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1])))
+            for values, own, me in zip(mine, x["family"], x["tid"], strict=True):
+                alike = (there == values).sum(1)
+                best = np.maximum.reduceat(alike, starts)
+                spot = np.array([s + int(np.argmax(alike[s:e])) for s, e, n in zip(starts, [*starts[1:], len(alike)], best, strict=True) if n >= least], np.int64)
+                spot = spot[family[spot] != own] if len(spot) else spot
+                out.append(np.stack((np.minimum(tid[spot], me), np.maximum(tid[spot], me)), 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    keys = ["tree", "node", "probe", "block"]
+    return dealt.repartition(shuffle_parts(sets.sparkSession), *keys).groupBy(*keys).applyInPandas(meet, "a long, b long").distinct()
+
+
+def _family_links(members: DataFrame, texts: DataFrame, join: PathJoin) -> DataFrame:
+    """a, b: links between the components of a family (tid, family, comp, n), by comparing whole sets block by block."""
+    dealt = _dealt(members, ["family"], "comp", "n", join.block_shingles, ["tid", "comp"]).join(texts, "tid")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group[group["role"] == 1], group[group["role"] == 0]
-        ok = _alike(x["short"].to_numpy()[:, None], y["short"].to_numpy()[None, :]) if len(x) and len(y) else np.zeros((len(x), len(y)), bool)
-        i, j = np.nonzero(ok & (x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]))
-        a, b, ca, cb = x["tid"].to_numpy()[i], y["tid"].to_numpy()[j], x["comp"].to_numpy()[i], y["comp"].to_numpy()[j]
-        turn = a > b
-        return pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "ca": np.where(turn, cb, ca), "cb": np.where(turn, ca, cb)})
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        common, a_n, b_n = common_counts([lowered(t) for t in x["text"]], [lowered(t) for t in y["text"]], join.words)
+        common = common.astype(np.int64)
+        alike = 100 * common >= join.percent * (a_n[:, None] + b_n[None, :] - common)
+        alike &= x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]
+        return pd.DataFrame(spanning_links(x["comp"].to_numpy(), y["comp"].to_numpy(), alike), columns=["a", "b"], dtype=np.int64)
 
-    dealt = dealt.repartition(shuffle_parts(rows.sparkSession), "tree", "node", "probe", "block")
-    return dealt.groupBy("tree", "node", "probe", "block").applyInPandas(meet, "a long, b long, ca long, cb long").distinct()
+    keys = ["family", "probe", "block"]
+    dealt = dealt.repartition(shuffle_parts(members.sparkSession), *keys)
+    return materialize(dealt.groupBy(*keys).applyInPandas(meet, "a long, b long"), "path-family-links", TEXT_ROWS)
 
 
 def near_duplicate_components(docs: DataFrame, join: PathJoin = PathJoin(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,28 +354,30 @@ def near_duplicate_components(docs: DataFrame, join: PathJoin = PathJoin(), id_c
     """
     rows = signed_rows(docs, join, id_col, text_col)
     some = rows.where("key is not null")
-    sets = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins"))
+    sets = some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.max("n_shingles").alias("n"))
     sets = materialize(sets.withColumn("tid", F.monotonically_increasing_id()), "path-sets")
     small, crowded = _nodes(sets, join, join.depth(sets.count()))
     pairs = crowded.select(F.col("least").alias("a"), F.col("tid").alias("b")).unionByName(crowded.select(F.col("tid").alias("a"), F.col("largest").alias("b"))).where("a < b")
     for level in small:
         pairs = pairs.unionByName(_small_pairs(level, join))
     near = _near(pairs, sets, join, "path-near")
-    links = confirmed(near, _texts(docs, sets, near, join, id_col, text_col), join, "path-links")
+    ends = near.select(F.col("a").alias("tid")).unionByName(near.select(F.col("b").alias("tid")))
+    links = confirmed(near, _texts(docs, sets, ends, join, id_col, text_col), join, "path-links")
     comps = components(links, "path-components")
 
-    across = _near(_crossing(crowded, comps, join).select("a", "b"), sets, join, "path-across")
-    if across.limit(1).count():
-        across = materialize(across.join(near.select("a", "b"), ["a", "b"], "left_anti"), "path-untested")
-        texts = _texts(docs, sets, across, join, id_col, text_col)
-        for rest in (False, True):  # first the likeliest pair of each two components, then what they leave apart
-            parts = [comps.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab"]
-            apart = across.join(parts[0], "a", "left").join(parts[1], "b", "left").withColumns({f"c{c}": F.coalesce(f"c{c}", c) for c in "ab"}).where("ca <> cb")
-            if not rest:
-                best = F.max(F.struct("alike", "a", "b")).alias("best")
-                apart = apart.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(best).select("best.a", "best.b")
-            links = links.unionByName(confirmed(materialize(apart.select("a", "b"), "path-apart"), texts, join, "path-links"))
-            comps = components(links, "path-components")
+    # families: what sketches don't keep apart; in those with crowded nodes not all pairs have been confirmed or ruled out
+    families = components(near, "path-families")
+    across = materialize(_crossing(crowded, families, sets, join), "path-across")
+    families = components(near.select("a", "b").unionByName(across), "path-families")
+    families = families.select(F.col("id").alias("tid"), F.col("comp").alias("family"))
+    open_ones = families.join(crowded.select("tid").distinct(), "tid", "left_semi").select("family").distinct()
+    members = families.join(open_ones, "family").join(comps.withColumnRenamed("id", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
+    members = materialize(members.join(sets.select("tid", "n"), "tid"), "path-members")
+    mixed = members.groupBy("family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("family")
+    members = materialize(members.join(mixed, "family"), "path-mixed")
+    if members.limit(1).count():
+        more = _family_links(members, _texts(docs, sets, members, join, id_col, text_col), join)
+        comps = components(links.unionByName(more), "path-components")
 
     labelled = sets.join(comps.withColumnRenamed("id", "tid"), "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
     smallest = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"))
