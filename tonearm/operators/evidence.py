@@ -91,17 +91,18 @@ def planned_pool(arrivals: DataFrame, facts: DataFrame) -> DataFrame:
 def duration_fit(pairs: DataFrame, local: DataFrame, candidate: DataFrame) -> DataFrame:
     """album_id, candidate_id, mean_error, fit of pairs whose track counts agree and whose durations are all known.
 
-    local: (album_id, pos, seconds), candidate: (candidate_id, pos, seconds). Counts are compared
-    before tracks are, so only fitting pairs are joined by position.
+    local: (album_id, pos, seconds), candidate: (candidate_id, pos, seconds). Durations are compared in the order of pos, as one
+    array an album: each table is grouped once, and pairs are joined with arrays, never with tracks.
     """
-    count = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name), F.count("seconds").alias(f"{name}_known"))
-    even = (
-        pairs.join(count(local, "album_id", "a"), "album_id").join(count(candidate, "candidate_id", "b"), "candidate_id")
-        .where((F.col("a") == F.col("b")) & (F.col("a_known") == F.col("a")) & (F.col("b_known") == F.col("b"))).select("album_id", "candidate_id")
-    )
-    met = even.join(local.withColumnRenamed("seconds", "ours"), "album_id").join(candidate.withColumnRenamed("seconds", "theirs"), ["candidate_id", "pos"])
-    fit = met.groupBy("album_id", "candidate_id").agg(F.avg(F.abs(F.col("ours") - F.col("theirs"))).alias("mean_error"))
-    return fit.withColumn("fit", F.greatest(F.lit(0.0), 1 - F.col("mean_error") / (2 * TOLERANCE)))
+
+    def lists(df: DataFrame, key: str, name: str) -> DataFrame:
+        every = F.sort_array(F.collect_list(F.struct("pos", "seconds")))
+        known = df.groupBy(key).agg(every.alias("t"), F.bool_and(F.col("seconds").isNotNull()).alias("known")).where("known")
+        return known.select(key, F.transform("t", lambda t: t["seconds"]).alias(name), F.size("t").alias(f"{name}_n"))
+
+    met = pairs.join(lists(local, "album_id", "ours"), "album_id").join(lists(candidate, "candidate_id", "theirs"), "candidate_id").where("ours_n = theirs_n")
+    off = F.aggregate(F.zip_with("ours", "theirs", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda x, y: x + y) / F.col("ours_n")
+    return met.select("album_id", "candidate_id", off.alias("mean_error")).withColumn("fit", F.greatest(F.lit(0.0), 1 - F.col("mean_error") / (2 * TOLERANCE)))
 
 
 def format_flags(text: Column) -> dict[str, Column]:

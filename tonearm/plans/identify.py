@@ -101,11 +101,10 @@ def tracks(spark, d):
     return spark.sql(TRACKS, l=table(spark, d, "lineitem"))
 
 
-FITS = f"""tracks AS ({TRACKS.format(l='lineitem')}), n AS (SELECT id, count(*) AS n, count(seconds) AS known FROM tracks GROUP BY 1),
-pairs AS ({PAIRS.format(o='orders')}),
-fits AS (SELECT album_id, candidate_id, avg(abs(x.seconds - y.seconds)) AS mean_error, greatest(0, 1 - avg(abs(x.seconds - y.seconds)) / 8) AS fit
- FROM pairs JOIN n a ON a.id = album_id JOIN n b ON b.id = candidate_id JOIN tracks x ON x.id = album_id JOIN tracks y ON y.id = candidate_id AND y.pos = x.pos
- WHERE a.n = b.n AND a.known = a.n AND b.known = b.n GROUP BY 1, 2)"""
+FITS = f"""tracks AS MATERIALIZED ({TRACKS.format(l='lineitem')}), n AS MATERIALIZED (SELECT id, count(*) AS n, count(seconds) AS known, list(seconds ORDER BY pos) AS each FROM tracks GROUP BY 1),
+pairs AS MATERIALIZED ({PAIRS.format(o='orders')}),
+fits AS MATERIALIZED (SELECT album_id, candidate_id, list_avg(list_transform(list_zip(a.each, b.each), lambda x: abs(x[1] - x[2]))) AS mean_error, greatest(0, 1 - list_avg(list_transform(list_zip(a.each, b.each), lambda x: abs(x[1] - x[2]))) / 8) AS fit
+ FROM pairs JOIN n a ON a.id = album_id JOIN n b ON b.id = candidate_id WHERE a.n = b.n AND a.known = a.n AND b.known = b.n)"""
 
 
 def fits(spark, d):
