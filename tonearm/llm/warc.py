@@ -104,13 +104,14 @@ def write_archives(
     """Write a record of every row to gzipped WARC files in order of the id; the manifest: path, part, file, records, bytes.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest id is the
-    response and the others revisit it; rows that repeat that id and payload are all responses. Which
+    response and the others revisit it, those with a null id too; of rows that repeat that id and payload the first in the order of
+    urls is the response. Payloads that only rows with null ids have are responses all: there is no id to refer to. Which
     page a row revisits is found by a digest beforehand and meets the row in the range sort, so pages
     are shuffled once. The order is by id and digest and cut into ``parts`` (by default as many as shuffle partitions) at
     quantiles of a hash sample, so files have the same names and bytes however the rows are laid out. Tasks write
     under temporary names; when all have succeeded, the files that they listed get their names, and the manifest is
     written last: a failed or repeated task leaves no file with a final name. Null payloads are
-    empty; rows with a null id come first and are responses; a null URL
+    empty; rows with a null id come first; a null URL
     is about:blank. An empty table has an empty manifest.
     """
     spark = pages.sparkSession
@@ -122,7 +123,7 @@ def write_archives(
     shared = digests.where("shared")
     last = shared.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last", "n")
     last = materialize(last, "warc-last")
-    known = join_counted(shared.where("page_id is not null").select("page_id", "digest"), last, "digest", "n").where("page_id < last")
+    known = join_counted(shared.select("page_id", "digest"), last, "digest", "n").where("page_id < last or page_id is null")
     known = known.select("page_id", "digest", F.col("last").alias("refers_to")).distinct()
     both = rows.select("page_id", "url", "payload", digest.alias("digest"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         known.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
@@ -161,8 +162,9 @@ def write_archives(
                 if out is None:
                     n, size = 0, 0
                     out = fs.open_output_stream(f"{path}/{temporary()}", compression=None)
+                again = page if turn and to is None and len(payload) >= least_bytes else to  # a repeated row revisits the first
                 packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = packer.compress(record(page, url, bytes(payload), to, date, turn)) + packer.flush()
+                data = packer.compress(record(page, url, bytes(payload), again, date, turn)) + packer.flush()
                 turn += 1
                 out.write(data)
                 n, size = n + 1, size + len(data)
