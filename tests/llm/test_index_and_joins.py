@@ -173,7 +173,7 @@ def test_forest_shortens_by_what_the_sample_shows(spark):
         texts = rows.select("key", F.col("doc_id").alias("rep"), F.col("doc_id").alias("tid"))
         signed, names = jaccard._signed(rows, texts, jaccard.Forest())
         assert len(names) == 300 and all(set(r.met) >= {names.index(bytes(r.key))} for r in signed.collect())
-        lengths.append(jaccard.fit_prefix(signed, names, jaccard.Forest()))
+        lengths.append(jaccard.fit_prefix(signed, names, jaccard.Forest())[0])
     assert lengths[0] == 8 and lengths[1] < 8
 
 
@@ -268,3 +268,17 @@ def test_batches_without_a_word(spark):
     rows = [(1, ""), (2, None), (3, " \n"), (4, ""), (None, "a b")]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted((r.doc_id, r.class_id, r.links) for r in got) == [(1, 1, 1), (2, 2, 0), (3, 3, 0), (4, 1, 1)]
+
+
+def test_prefix_is_shortened_as_far_as_the_sample_asks(spark):
+    """Links that share one value only: no floor holds the length up, and what is reached is said."""
+    forest = jaccard.Forest(sample=4, trees=2, least_links=3)
+    names = [bytes([i]) for i in range(4)]
+    nodes = lambda i: [(7 << 56) + (i << 48), i << 57]
+    rows = [(names[i], nodes(i + 1), [0, 1, 2, 3]) for i in range(4)]
+    signed = spark.createDataFrame(rows, "key binary, nodes array<long>, met array<int>")
+    assert jaccard.fit_prefix(signed, names, forest) == (1, 1.0, 12)
+    lone = spark.createDataFrame([*rows[:3], (names[3], [-(1 << 62), 9 << 57], [0, 1, 2, 3])], signed.schema)
+    length, recall, links = jaccard.fit_prefix(lone, names, forest)
+    assert (length, links) == (1, 12) and recall == 0.5
+    assert jaccard.fit_prefix(signed.limit(0), names, forest)[0] == forest.shortest()

@@ -4,13 +4,14 @@ Each of several trees sorts the texts by a sequence of MinHash values, so texts
 its prefix trie stand next to each other and share the values on the path. The length at which
 neighbours are linked starts at the whole depth. Of a bounded sample of texts all true links are
 found exactly, in the pass that signs the texts, and with them the longest prefix by which any tree
-joins the two; the length is shortened until the sampled texts have the target share of their links,
-at most to where a pair at just the least similarity meets with the target probability. Texts that
+joins the two; the length is shortened until the sampled texts have the target share of their links, however
+short that is. Where the sample has too few links to judge by, the length is that by which a pair at just the least similarity meets with the target probability. Texts that
 are connected by common prefixes are then compared exactly, in blocks.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -258,8 +259,13 @@ def _signed(rows: DataFrame, texts: DataFrame, forest: Forest) -> tuple[DataFram
     return materialize(signed.join(texts.select("key", "tid"), "key"), "join-nodes", TEXT_ROWS), names
 
 
-def fit_prefix(signed: DataFrame, names: list[bytes], forest: Forest) -> int:
-    """The longest prefix at which the sampled texts, on average, meet the target share of their links in some tree."""
+def fit_prefix(signed: DataFrame, names: list[bytes], forest: Forest) -> tuple[int, float, int]:
+    """(length, recall, links): the longest prefix at which the sampled texts, on average, meet the target share of their links in some tree,
+    the share that they meet at that length, and by how many links it was measured.
+
+    No length is too short; a length of one value, where the target can't be met, comes with the recall that is.
+    With fewer than ``least_links`` links the length is ``shortest`` and the recall the probability for a pair at just the least similarity.
+    """
     shortest = forest.shortest()
     pairs = signed.where(F.size("met") > 0).select("key", "nodes", F.explode("met").alias("sampled"))
     place = F.row_number().over(Window.partitionBy("sampled").orderBy(F.xxhash64("key"), "key"))
@@ -271,12 +277,14 @@ def fit_prefix(signed: DataFrame, names: list[bytes], forest: Forest) -> int:
         name = names[r.sampled]
         if bytes(r.key) != name:
             longest.setdefault(r.sampled, []).append(int(common_prefix(np.array(r.nodes, np.int64), nodes[name], forest.depth).max()))
-    if sum(map(len, longest.values())) < forest.least_links:
-        return shortest
+    links = sum(map(len, longest.values()))
+    if links < forest.least_links:
+        return shortest, 1 - (1 - forest.similarity**shortest) ** forest.trees, links
+    reached = lambda length: float(np.mean([np.mean(np.array(n) >= length) for n in longest.values()]))
     length = forest.depth
-    while length > shortest and np.mean([np.mean(np.array(n) >= length) for n in longest.values()]) < forest.recall:
+    while length > 1 and reached(length) < forest.recall:
         length -= 1
-    return length
+    return length, reached(length), links
 
 
 def _neighbours(signed: DataFrame, length: int, forest: Forest) -> DataFrame:
@@ -340,7 +348,10 @@ def _neighbours(signed: DataFrame, length: int, forest: Forest) -> DataFrame:
 
 def _linked(rows: DataFrame, keyed: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     signed, names = _signed(rows, texts, forest)
-    stars = _neighbours(signed, fit_prefix(signed, names, forest), forest)
+    length, recall, sampled = fit_prefix(signed, names, forest)
+    if recall < forest.recall:
+        warnings.warn(f"prefixes of {length} meet {recall:.4f} of {sampled} sampled links", stacklevel=2)
+    stars = _neighbours(signed, length, forest)
     groups = components(stars, "join-groups")
     groups = materialize(groups.select("comp", F.col("id").alias("tid")).join(texts, "tid").select("comp", "tid", "key", F.col("rep").alias("doc_id"), "copies", "chars"), "join-members")
     sizes = groups.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / forest.block), F.ceil(F.sum("chars") / forest.block_chars)).cast("int").alias("blocks"))
