@@ -60,3 +60,50 @@ def test_containers(spark):
         own = sorted((r for r in got if r.path == name), key=lambda r: (r.ord is not None, r.ord))
         assert {r.container for r in own} == {kind} and [(r.field, r.value) for r in own] == (fields or [(None, None)])
     assert [(r.container, r.field) for r in got if r.path == "null"] == [("unknown", None)]
+
+
+def box(name: bytes, body: bytes, wide: bool = False) -> bytes:
+    return (b"\0\0\0\1" + name + struct.pack(">Q", len(body) + 16) if wide else struct.pack(">I", len(body) + 8) + name) + body
+
+
+def item(kind: int, body: bytes) -> bytes:
+    return box(b"data", struct.pack(">II", kind, 0) + body)
+
+
+def free(mean: bytes, name: bytes, body: bytes) -> bytes:
+    return box(b"----", box(b"mean", bytes(4) + mean) + box(b"name", bytes(4) + name) + body)
+
+
+def test_mp4_boxes():
+    items = [
+        box(b"\xa9nam", item(1, "Sóng\0two".encode())), box(b"\xa9gen", item(2, "Pöp".encode("utf-16-be"))), box(b"trkn", item(0, bytes([0, 0, 0, 3, 0, 12, 0, 0]))), box(b"disk", item(0, bytes([0, 0, 0, 0, 0, 2]))),
+        box(b"cpil", item(21, b"\1")), box(b"covr", item(13, b"picture")), free(b"com.apple.iTunes", b"ISRC", item(1, b"X")), free(b"else", b"ISRC", item(1, b"Y")), box(b"tmpo", item(21, b"\0\x78")), box(b"bad ", item(99, b"?")), box(b"\xa9day", b""),
+    ]
+    want = [("©nam", "Sóng"), ("©nam", "two"), ("©gen", "Pöp"), ("trkn", "3/12"), ("disk", "/2"), ("cpil", "1"), ("ISRC", "X"), ("tmpo", "120")]
+    for wide in (False, True):
+        ilst = box(b"ilst", b"".join(items), wide)
+        data = box(b"ftyp", b"M4A ") + box(b"mdat", bytes(50), wide) + box(b"moov", box(b"trak", bytes(9)) + box(b"udta", box(b"meta", bytes(4) + box(b"hdlr", b"x") + ilst), wide))
+        assert containers.tags_of(data) == ("mp4", want)
+        for cut in range(len(data)):  # a damaged box and what follows it are not read
+            kind, found = containers.tags_of(data[:cut])
+            assert found == want[: len(found)] and (kind == "mp4" or cut < 8)
+        last = data[: data.rindex(b"\xa9nam") - 4] + bytes(4) + b"\xa9nam" + data[data.rindex(b"\xa9nam") + 4 :]
+        assert containers.tags_of(last)[1][:1] == [("©nam", "Sóng")]  # size 0: up to the end of the list
+    assert containers.tags_of(box(b"ftyp", b"M4A ")) == ("mp4", [])
+
+
+def test_people_comments_and_identifiers():
+    tag = id3(4, (b"TIPL", b"\x03mix\0Ann\0DJ-mix\0Bo\0odd"), (b"UFID", b"http://musicbrainz.org\0abc"), (b"COMM", b"\x01eng" + "﻿\0﻿said".encode("utf-16-le")), (b"UFID", b"no end"))
+    assert containers.tags_of(tag)[1] == [("IPLS:mix", "Ann"), ("IPLS:DJ-mix", "Bo"), ("UFID:http://musicbrainz.org", "abc"), ("COMM", "said")]
+
+
+def test_mapped_fields_of_dates_and_numbers(spark):
+    from tonearm.operators import tags
+
+    rows = [
+        ("a", "id3", 0, "TDAT", "3105"), ("a", "id3", 1, "TYER", "1984"), ("b", "id3", 0, "TYER", "1984"), ("b", "id3", 1, "TDAT", "3105"), ("b", "id3", 2, "TDRC", "1990-02"), ("c", "id3", 0, "TRCK", "3"), ("c", "id3", 1, "TRCK", "4/9"),
+        ("d", "ape", 0, "TRACK", "7/8"), ("d", "ape", 1, "DISC", "1"), ("e", "flac", 0, "TRACKNUMBER", "3/12"), ("e", "flac", 1, "GENRE", " x "), ("e", "flac", 2, "GENRE", "x"), ("e", "flac", 3, "GENRE", " "), ("f", "unknown", None, None, None),
+    ]
+    got = tags.mapped_fields(spark.createDataFrame(rows, "path string, container string, ord int, field string, value string")).collect()
+    want = {("a", "DATE", "1984"), ("b", "DATE", "1990-02"), ("c", "TRACKNUMBER", "4"), ("c", "TRACKTOTAL", "9"), ("c", "TOTALTRACKS", "9"), ("d", "TRACKNUMBER", "7"), ("d", "TRACKTOTAL", "8"), ("d", "TOTALTRACKS", "8"), ("d", "DISCNUMBER", "1"), ("e", "TRACKNUMBER", "3/12"), ("e", "GENRE", "x")}
+    assert {(r.path, r.field, r.value) for r in got} == want and len(got) == len(want)

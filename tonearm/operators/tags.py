@@ -14,7 +14,7 @@ def merge_diff(existing: DataFrame, proposed: DataFrame, identity: list[str], lo
     """
     lock = (locked if locked is not None else existing.select("field").limit(0)).select("field", F.lit(True).alias("locked")).distinct()
     given = proposed.select("file").distinct().withColumn("given", F.lit(True))
-    both = existing.withColumnRenamed("value", "old").join(proposed.withColumnRenamed("value", "wanted"), ["file", "field"], "full").join(given, "file", "left").join(F.broadcast(lock), "field", "left")
+    both = existing.withColumnRenamed("value", "old").join(proposed.withColumnRenamed("value", "wanted"), ["file", "field"], "full").join(given, "file", "left").join(lock, "field", "left")
     keep = F.coalesce("locked", F.lit(False))
     drop = F.col("wanted").isNull() & F.coalesce("given", F.lit(False)) & F.col("field").isin(*identity) & ~keep
     new = F.when(keep, F.col("old")).when(F.col("wanted").isNotNull(), F.col("wanted")).when(~drop, F.col("old"))
@@ -52,10 +52,92 @@ def release_state(files: DataFrame) -> DataFrame:
     return files.groupBy("album_id").agg(F.bool_and(same).alias("already_tagged"), F.when(one, F.min(F.lower("release_id"))).alias("existing_key"))
 
 
-#: Frame names of containers for common fields.
-ID3_FIELDS = {"TITLE": "TIT2", "ARTIST": "TPE1", "ALBUM": "TALB", "ALBUMARTIST": "TPE2", "DATE": "TDRC", "GENRE": "TCON", "TRACKNUMBER": "TRCK", "DISCNUMBER": "TPOS", "COMPOSER": "TCOM", "ISRC": "TSRC", "LABEL": "TPUB"}
-APE_FIELDS = {"TITLE": "Title", "ARTIST": "Artist", "ALBUM": "Album", "ALBUMARTIST": "Album Artist", "DATE": "Year", "GENRE": "Genre", "TRACKNUMBER": "Track", "DISCNUMBER": "Disc", "COMPOSER": "Composer", "ISRC": "ISRC", "LABEL": "Label"}
-MP4_FIELDS = {"TITLE": "©nam", "ARTIST": "©ART", "ALBUM": "©alb", "ALBUMARTIST": "aART", "DATE": "©day", "GENRE": "©gen", "TRACKNUMBER": "trkn", "DISCNUMBER": "disk", "COMPOSER": "©wrt"}
+#: Fields of the containers' own names. Track and disc numbers, dates, people, comments and ids have rules of their own below.
+ID3_FRAMES = {
+    "TIT2": "TITLE", "TPE1": "ARTIST", "TPE2": "ALBUMARTIST", "TALB": "ALBUM", "TSOP": "ARTISTSORT", "TSOA": "ALBUMSORT", "TSO2": "ALBUMARTISTSORT", "TSOC": "COMPOSERSORT",
+    "TCOM": "COMPOSER", "TEXT": "LYRICIST", "TPE3": "CONDUCTOR", "TPE4": "REMIXER", "TPUB": "LABEL", "TMED": "MEDIA", "TSRC": "ISRC", "TCON": "GENRE", "TSST": "DISCSUBTITLE",
+    "TCMP": "COMPILATION", "TIT1": "GROUPING", "TIT3": "SUBTITLE", "TBPM": "BPM", "TLAN": "LANGUAGE", "TCOP": "COPYRIGHT", "TENC": "ENCODEDBY", "TMOO": "MOOD",
+    "TOPE": "ORIGINALARTIST", "TOAL": "ORIGINALALBUM", "TSSE": "ENCODERSETTINGS",
+}
+#: Descriptions of TXXX frames and names of free items of MP4 files, in any case; others are fields themselves.
+DESCRIPTIONS = {
+    "MusicBrainz Album Id": "MUSICBRAINZ_ALBUMID", "MusicBrainz Artist Id": "MUSICBRAINZ_ARTISTID", "MusicBrainz Album Artist Id": "MUSICBRAINZ_ALBUMARTISTID",
+    "MusicBrainz Release Group Id": "MUSICBRAINZ_RELEASEGROUPID", "MusicBrainz Release Track Id": "MUSICBRAINZ_RELEASETRACKID", "MusicBrainz Work Id": "MUSICBRAINZ_WORKID",
+    "MusicBrainz Disc Id": "MUSICBRAINZ_DISCID", "MusicBrainz Album Type": "RELEASETYPE", "MusicBrainz Album Status": "RELEASESTATUS",
+    "MusicBrainz Album Release Country": "RELEASECOUNTRY", "Acoustid Id": "ACOUSTID_ID", "Acoustid Fingerprint": "ACOUSTID_FINGERPRINT",
+}
+#: A free item of MP4 files that TXXX frames have no description for.
+MP4_NAMES = {"MusicBrainz Track Id": "MUSICBRAINZ_TRACKID"}
+#: Items of APE tags whose field is not their name in upper case.
+APE_ITEMS = {"ALBUM ARTIST": "ALBUMARTIST", "YEAR": "DATE", "ORIGINAL DATE": "ORIGINALDATE", "TRACK": "TRACKNUMBER", "DISC": "DISCNUMBER", "MIXARTIST": "REMIXER"}
+#: Atoms of MP4 files.
+MP4_ATOMS = {
+    "©nam": "TITLE", "©ART": "ARTIST", "aART": "ALBUMARTIST", "©alb": "ALBUM", "©day": "DATE", "©gen": "GENRE", "©wrt": "COMPOSER", "©cmt": "COMMENT", "©grp": "GROUPING", "©lyr": "LYRICS",
+    "soar": "ARTISTSORT", "soaa": "ALBUMARTISTSORT", "soal": "ALBUMSORT", "soco": "COMPOSERSORT", "sonm": "TITLESORT", "cpil": "COMPILATION", "trkn": "TRACKNUMBER", "disk": "DISCNUMBER",
+}
+#: Roles of people frames that have a field, as spelled there.
+PEOPLE = {"producer": "PRODUCER", "engineer": "ENGINEER", "mixer": "MIXER", "mix": "MIXER", "arranger": "ARRANGER", "DJ-mix": "REMIXER"}
+RECORDING_OWNER = "http://musicbrainz.org"
+ID3_FIELDS = {field: frame for frame, field in ID3_FRAMES.items()} | {"DATE": "TDRC", "TRACKNUMBER": "TRCK", "DISCNUMBER": "TPOS"}
+#: Containers whose names are frames; dates among these.
+_FRAMED, _DATES = ("id3", "wav", "aiff", "dff", "dsf"), ("TYER", "TDRC", "TDAT")
+#: Fields that the last of several values replaces.
+_REPLACED = ("TRACKNUMBER", "TRACKTOTAL", "TOTALTRACKS", "DISCNUMBER", "DISCTOTAL", "TOTALDISCS", "ORIGINALDATE", "MUSICBRAINZ_TRACKID", "DATE")
+
+
+def mapped_fields(rows: DataFrame, key: str = "path") -> DataFrame:
+    """key, field, ord, value of the rows of containers.tag_rows: the containers' own names as the fields that they mean.
+
+    "3/12" is a number and totals. Of dates the recording time wins over the first year, and a day and month (DDMM) after a year alone complete
+    it. Numbers, totals, dates and recording ids are what was said last; of other fields each value stands once, trimmed, in order; empty ones go.
+    Names that are unknown are fields. ``ord`` counts from 0 in each file and field.
+    """
+    name, framed = F.col("field"), F.col("container").isin(*_FRAMED)
+    known = lambda m, c=name: F.element_at(F.create_map(*[F.lit(x) for pair in m.items() for x in pair]), c)
+    described = {k.upper(): v for k, v in DESCRIPTIONS.items()}
+    free = described | {k.upper(): v for k, v in MP4_NAMES.items()}
+    role = F.substring(name, 6, 1 << 20)
+    person = F.coalesce(known(PEOPLE, role), F.lit("PERFORMER"))
+    plain = F.when((known(PEOPLE, role).isNotNull()) | F.lower(role).isin("", "performer"), F.col("value")).otherwise(F.concat("value", F.lit(" ("), role, F.lit(")")))
+    numbers = {"TRCK": "TRACKNUMBER", "TPOS": "DISCNUMBER"}
+    field = (
+        F.when(framed & name.startswith("IPLS:"), person)
+        .when(framed & (name == f"UFID:{RECORDING_OWNER}"), "MUSICBRAINZ_TRACKID")
+        .when(framed & name.isin("TORY", "TDOR"), "ORIGINALDATE")
+        .when(framed & (name == "COMM"), "COMMENT")
+        .when(framed, F.coalesce(known(ID3_FRAMES | numbers), known(described), name))
+        .when(F.col("container") == "ape", F.coalesce(known(APE_ITEMS), name))
+        .when(F.col("container") == "mp4", F.coalesce(known(MP4_ATOMS), known(free, F.upper(name)), F.upper(name)))
+        .otherwise(name)
+    )
+    value = F.when(framed & name.startswith("IPLS:"), plain).otherwise(F.col("value"))
+    some = rows.where("field is not null").where(~(framed & name.startswith("UFID:") & (name != f"UFID:{RECORDING_OWNER}")))
+    dated = framed & name.isin(*_DATES)
+    at = some.where(~dated).select(key, "ord", field.alias("field"), value.alias("value"), "container")
+
+    paired = F.col("field").isin("TRACKNUMBER", "DISCNUMBER") & (F.col("container") != "flac")
+    parts, disc = F.split("value", "/", 2), F.col("field") == "DISCNUMBER"
+    total = F.try_element_at(parts, F.lit(2))
+    one = lambda f, v: F.struct(f.alias("field"), v.alias("value"))
+    each = F.when(
+        paired,
+        F.filter(F.array(one(F.col("field"), parts[0]), one(F.when(disc, "DISCTOTAL").otherwise("TRACKTOTAL"), total), one(F.when(disc, "TOTALDISCS").otherwise("TOTALTRACKS"), total)), lambda x: x["value"].isNotNull()),
+    ).otherwise(F.array(one(F.col("field"), F.col("value"))))
+    fields = at.select(key, "ord", F.explode(each).alias("f")).select(key, "ord", "f.field", "f.value")
+
+    said = F.sort_array(F.collect_list(F.struct("ord", "field", "value")))
+
+    def next_date(d: Column, x: Column) -> Column:
+        year = (F.length(x["value"]) == 4) & (F.length(d) == 4)
+        whole = F.concat(d, F.lit("-"), F.substring(x["value"], 3, 2), F.lit("-"), F.substring(x["value"], 1, 2))
+        return F.when((x["field"] == "TDRC") | ((x["field"] == "TYER") & (d == "")), x["value"]).when((x["field"] == "TDAT") & year, whole).otherwise(d)
+
+    dates = some.where(dated).groupBy(key).agg(F.min("ord").alias("ord"), F.aggregate(said, F.lit(""), next_date).alias("value")).select(key, "ord", F.lit("DATE").alias("field"), "value")
+    fields = fields.unionByName(dates).withColumn("value", F.btrim("value", F.lit(" \t\r\n"))).where("value <> ''")
+    last = fields.where(F.col("field").isin(*_REPLACED)).groupBy(key, "field").agg(F.max("ord").alias("ord"), F.max_by("value", "ord").alias("value"))
+    first = fields.where(~F.col("field").isin(*_REPLACED)).groupBy(key, "field", "value").agg(F.min("ord").alias("ord"))
+    order = F.row_number().over(Window.partitionBy(key, "field").orderBy("ord", "value")) - 1
+    return last.unionByName(first).select(key, "field", order.alias("ord"), "value")
 
 
 def renamed(field: Column, names: dict[str, str]) -> Column:
@@ -76,16 +158,35 @@ def override_tags(stream: Column, container: Column) -> Column:
     return F.map_concat(F.map_filter(s, lambda k, _: ~F.map_contains_key(c, k)), c)
 
 
-#: Fields of roles.
-ROLE_FIELDS = {"composer": "COMPOSER", "lyricist": "LYRICIST", "conductor": "CONDUCTOR", "producer": "PRODUCER", "engineer": "ENGINEER", "mixer": "MIXER", "arranger": "ARRANGER"}
+#: Spellings of roles, by the field that they fill; "performer" fills PERFORMER with the bare name.
+ROLES = {
+    "COMPOSER": ("composer", "composed by", "music by"),
+    "LYRICIST": ("lyricist", "lyrics by", "words by", "librettist"),
+    "WRITER": ("writer", "written-by", "written by", "songwriter"),
+    "ARRANGER": ("arranger", "arranged by", "orchestrator", "orchestrated by"),
+    "CONDUCTOR": ("conductor", "conducted by"),
+    "PRODUCER": ("producer", "produced by", "co-producer", "executive producer", "executive-producer"),
+    "ENGINEER": ("engineer", "recorded by", "recording engineer", "recording", "mastered by", "mastering", "mastering engineer"),
+    "MIXER": ("mixer", "mixed by", "mix"),
+    "REMIXER": ("remixer", "remix", "remixed by"),
+    "PERFORMER": ("performer",),
+}
+ROLE_FIELDS = {role: field for field, roles in ROLES.items() for role in roles}
+
+
+def role_name(role: Column) -> Column:
+    """A role in lower case, "Guitar [Acoustic]" as "acoustic guitar"; what follows the bracket goes, and empty brackets too."""
+    role = F.btrim(F.lower(role), F.lit(" \t"))
+    bracket = "(?s)^([^\\[\\]]*)\\[([^\\]]*)\\].*$"
+    base, inside = (F.btrim(F.regexp_extract(role, bracket, n), F.lit(" \t")) for n in (1, 2))
+    return F.when(role.rlike(bracket), F.when(inside == "", base).otherwise(F.concat(inside, F.lit(" "), base))).otherwise(role)
 
 
 def credit_fields(credits: DataFrame) -> DataFrame:
-    """track_id, field, value of (track_id, role, name) rows: roles split at commas, "Guitar [Acoustic]" read as "acoustic guitar",
+    """track_id, field, value of (track_id, role, name) rows: roles split at commas and named by role_name,
     unknown roles as PERFORMER with the role in brackets; each value once."""
-    rows = credits.select("track_id", "name", F.explode(F.split("role", ",")).alias("role")).withColumn("role", F.lower(F.trim("role")))
-    plain = F.regexp_replace(F.col("role"), "^(.*?)\\s*\\[([^\\]]*)\\]\\s*$", "$2 $1")
-    rows = rows.withColumn("role", F.trim(plain)).where("role <> ''")
+    rows = credits.select("track_id", "name", F.explode(F.split("role", ",")).alias("role")).where(F.btrim("role", F.lit(" \t")) != "")
+    rows = rows.withColumn("role", role_name(F.col("role")))
     field = F.element_at(F.create_map(*[F.lit(x) for pair in ROLE_FIELDS.items() for x in pair]), F.col("role"))
     value = F.when(field.isNotNull(), F.col("name")).otherwise(F.concat("name", F.lit(" ("), "role", F.lit(")")))
     return rows.select("track_id", F.coalesce(field, F.lit("PERFORMER")).alias("field"), value.alias("value")).distinct()

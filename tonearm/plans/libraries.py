@@ -56,6 +56,28 @@ def release_sets(spark, d):
     return library.release_sets(spark.sql(_SETS, o=table(spark, d, "orders")))
 
 
+_TAGGED = """SELECT o_orderkey AS album_id, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE 'mb:' || o_custkey END AS key, CASE WHEN o_custkey % 4 = 0 OR o_orderkey % 37 <> 5 THEN o_orderkey % 29 END AS disc,
+ CASE o_custkey % 5 WHEN 0 THEN 'Sonatas Vol.' || (o_orderkey % 31) WHEN 1 THEN 'Same name' WHEN 2 THEN (o_orderkey % 97) || ' - Box 3x' || (o_orderkey % 2) WHEN 3 THEN 'Box (' || (o_orderkey % 53) || ' of 60) ' || (o_orderkey % 59) || '.' ELSE 'Vol. ' || (o_orderkey % 61) || '_' END AS name FROM {o}"""
+_OWN = """SELECT o_orderkey AS album_id, o_custkey AS key, CASE WHEN o_custkey % 7 < 2 THEN o_orderkey % 83 + 1 END AS disc, CAST(NULL AS BIGINT) AS declared FROM {o}"""
+
+
+@query(f"""WITH own AS ({_OWN.format(o='orders')}), k AS (SELECT key, count(*) AS n, count(DISTINCT disc) AS places, max(disc) AS top, min(album_id) AS set_id FROM own WHERE disc IS NOT NULL GROUP BY 1),
+folders AS (SELECT album_id, set_id, disc AS position, top AS total, NULL AS title FROM own JOIN k USING (key) WHERE disc IS NOT NULL AND n = places AND n > 1),
+free AS (SELECT *, TRY_CAST(nullif(regexp_extract(name, '(\\d+)\\D*$', 1), '') AS BIGINT) AS number, CASE WHEN regexp_matches(name, '\\d') THEN trim(regexp_replace(name, '\\d+(\\D*)$', '\\1'), ' .-_') ELSE name END AS base
+ FROM ({_TAGGED.format(o='orders')}) WHERE key IS NOT NULL AND album_id NOT IN (SELECT album_id FROM folders)),
+g AS (SELECT key, count(*) AS n, count(disc) = count(*) AND count(DISTINCT disc) = count(*) AS by_disc, count(number) = count(*) AND count(DISTINCT number) = count(*) AND count(DISTINCT base) = 1 AS by_name,
+ max(disc) AS top_disc, max(number) AS top_number, min(album_id) AS set_id, arg_min(base, album_id) AS title FROM free GROUP BY 1)
+SELECT album_id, set_id, position, total, title, 'folder' AS found FROM folders
+UNION ALL SELECT album_id, set_id, CASE WHEN by_disc THEN disc ELSE number END, greatest(n, CASE WHEN by_disc THEN top_disc ELSE top_number END), title, CASE WHEN by_disc THEN 'disc' ELSE 'name' END FROM free JOIN g USING (key) WHERE n > 1 AND (by_disc OR by_name)""")
+def tagged_sets(spark, d):
+    """Sets by folders first; of the albums left, those whose files name one release, by tagged discs or else by the numbers in their names."""
+    orders = table(spark, d, "orders")
+    folders = library.release_sets(spark.sql(_OWN, o=orders))
+    found = library.tagged_sets(spark.sql(_TAGGED, o=orders), folders)
+    first = folders.select("album_id", "set_id", "position", "total", F.lit(None).cast("string").alias("title"), F.lit("folder").alias("found"))
+    return first.unionByName(found.select("album_id", "set_id", "position", "total", "title", "found"))
+
+
 @query(f"""WITH a AS ({_SETS.format(o='orders')}), p AS (SELECT key, list(DISTINCT disc) AS present, max(disc) AS top FROM a WHERE key IS NOT NULL AND disc IS NOT NULL GROUP BY 1)
 SELECT key, array_to_string(list_filter(range(1, top + 1), lambda i: NOT list_contains(present, i)), ',') AS missing FROM p""")
 def missing_discs(spark, d):

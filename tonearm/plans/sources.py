@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import library, lookups, loudness, prints, subprints
+from ..operators import library, lookups, loudness, prints, subprints, tags
 from ..sources import catalogue, containers, cue, folders, images
 from .registry import query, table
 
@@ -172,6 +172,51 @@ def frame_tags(spark, d):
     return containers.tag_rows(table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.when(k == 0, tag).when(k == 1, wav).otherwise(aiff).alias("content")))
 
 
+_LONG = lambda fields: " UNION ALL ".join(f"SELECT p_partkey AS path, '{f}' AS field, {o} AS ord, {v} AS value FROM part" for f, o, v in fields)
+
+
+@query(_LONG([
+    ("TITLE", 0, "p_name"), ("TRACKNUMBER", 0, "(p_partkey % 20)::VARCHAR"), ("TRACKTOTAL", 0, "'20'"), ("TOTALTRACKS", 0, "'20'"), ("DISCNUMBER", 0, "'2'"), ("DATE", 0, "CASE WHEN p_partkey % 2 = 0 THEN '1984-05-31' ELSE '1984' END"),
+    ("MUSICBRAINZ_TRACKID", 0, "p_brand"), ("MUSICBRAINZ_ALBUMID", 0, "p_type"), ("PRODUCER", 0, "p_type"), ("PERFORMER", 0, "p_brand || ' (bass)'"), ("PERFORMER", 1, "p_type"), ("COMMENT", 0, "'said'"), ("STYLE", 0, "'x'"),
+]))
+def mapped_frames(spark, d):
+    """Fields of tags with numbers, dates in two frames, people, comments and identifiers."""
+    part, text = table(spark, d, "part"), lambda *v: F.concat_ws("\x00", *v)
+    k, owner = F.col("p_partkey"), F.lit("http://musicbrainz.org")
+    frames = [
+        (b"TIT2", b"\x03", F.col("p_name")), (b"TRCK", b"\x03", F.concat((k % 20).cast("string"), F.lit("/20"))), (b"TPOS", b"\x03", F.lit("2")), (b"TYER", b"\x03", F.lit("1984")),
+        (b"TDAT", b"\x03", F.when(k % 2 == 0, "3105").otherwise("odd")), (b"TYER", b"\x03", F.lit("1999")), (b"UFID", b"", text(owner, F.col("p_brand"))), (b"UFID", b"", text(F.lit("http://elsewhere"), F.col("p_name"))),
+        (b"TXXX", b"\x03", text(F.lit("MusicBrainz Album Id"), F.col("p_type"))), (b"IPLS", b"\x03", text(F.lit("producer"), F.col("p_type"), F.lit("bass"), F.col("p_brand"), F.lit(""), F.col("p_type"))),
+        (b"COMM", b"\x03eng", text(F.lit(""), F.lit("said"))), (b"TXXX", b"\x03", text(F.lit("Style"), F.lit("x"), F.lit("x"))),
+    ]
+    body = F.concat(*[F.concat(F.lit(name), _be(F.octet_length(_utf8(v)) + len(head), 4), F.lit(b"\x00\x00" + head), _utf8(v)) for name, head, v in frames], F.lit(bytes(16)))
+    n = F.octet_length(body)
+    content = F.concat(F.lit(b"ID3\x03\x00\x00\x00\x00"), _be(F.shiftright(n, 7).bitwiseAND(127), 1), _be(n.bitwiseAND(127), 1), body)
+    return tags.mapped_fields(containers.tag_rows(part.select(k.alias("path"), content.alias("content"))))
+
+
+@query(_LONG([
+    ("TITLE", 0, "p_name"), ("ARTIST", 0, "p_brand"), ("ARTIST", 1, "p_type"), ("TRACKNUMBER", 0, "(p_partkey % 9 + 1)::VARCHAR"), ("TRACKTOTAL", 0, "'9'"), ("TOTALTRACKS", 0, "'9'"), ("DISCTOTAL", 0, "'3'"), ("TOTALDISCS", 0, "'3'"),
+    ("COMPILATION", 0, "'1'"), ("MUSICBRAINZ_TRACKID", 0, "p_type"), ("BPM", 0, "p_size::VARCHAR"), ("GENRE", 0, "'é'"),
+]))
+def atom_tags(spark, d):
+    """Items of MP4 files: texts of either encoding, numbers, pairs, free items of two owners, a picture, and boxes of both size forms."""
+    box = lambda name, *body: F.concat(_be(F.octet_length(F.concat(*body)) + 8, 4), F.lit(name), *body)
+    wide = lambda name, body: F.concat(_be(F.lit(1), 4), F.lit(name), _be(F.octet_length(body) + 16, 8), body)
+    data = lambda kind, body: box(b"data", _be(F.lit(kind), 4), F.lit(bytes(4)), body)
+    named = lambda mean, name, body: box(b"----", box(b"mean", F.lit(bytes(4) + mean)), box(b"name", F.lit(bytes(4) + name)), body)
+    k, itunes = F.col("p_partkey"), b"com.apple.iTunes"
+    items = [
+        box(b"\xa9nam", data(1, _utf8(F.col("p_name")))), box(b"\xa9ART", data(1, _utf8(F.col("p_brand"))), data(1, _utf8(F.col("p_type")))), box(b"trkn", data(0, F.concat(F.lit(b"\0\0"), _be(k % 9 + 1, 2), F.lit(b"\0\x09\0\0")))),
+        box(b"disk", data(0, F.lit(b"\0\0\0\0\0\3"))), box(b"cpil", data(21, F.lit(b"\1"))), box(b"covr", data(13, F.lit(bytes(300)))), named(itunes, b"MusicBrainz Track Id", data(1, _utf8(F.col("p_type")))),
+        named(b"org.else", b"LABEL", data(1, F.lit(b"x"))), named(itunes, b"bpm", data(21, _be(F.col("p_size"), 4))), box(b"\xa9gen", data(2, F.encode(F.lit("é"), "UTF-16BE"))),
+    ]
+    meta = box(b"meta", F.lit(bytes(4)), box(b"hdlr", F.lit(bytes(25))), wide(b"ilst", F.concat(*items)))
+    moov = box(b"moov", box(b"mvhd", F.lit(bytes(100))), box(b"udta", meta))
+    content = F.concat(box(b"ftyp", F.lit(b"M4A \0\0\0\0")), F.when(k % 2 == 0, wide(b"mdat", F.lit(bytes(64)))).otherwise(box(b"free", F.lit(bytes(8)))), moov)
+    return tags.mapped_fields(containers.tag_rows(table(spark, d, "part").select(k.alias("path"), content.alias("content"))))
+
+
 @query("SELECT p_partkey AS path, 'ape' AS container, 0 AS ord, 'TITLE' AS field, p_name AS value FROM part")
 def item_tags(spark, d):
     """Items of tags at the end of files, some with an older tag behind them; binary items are no tags."""

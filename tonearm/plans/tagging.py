@@ -85,3 +85,48 @@ def tag_overrides_and_artists(spark, d):
     stream, container = F.create_map(F.lit("title"), "c_name"), F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("Title"), "c_mktsegment")).otherwise(F.create_map(F.lit("Genre"), F.lit("x")))
     credits = F.array(F.struct(F.col("c_name").alias("name"), F.lit(" feat. ").alias("join")), F.struct(F.col("c_mktsegment").alias("name"), F.lit(None).cast("string").alias("join")))
     return c.select(F.col("c_custkey").alias("id"), F.element_at(tags.override_tags(stream, container), "TITLE").alias("title"), tags.joined_artist(credits).alias("artist"))
+
+
+#: Roles as credits spell them, with the field and, for performers of a kind, what stands in brackets.
+_SPELLED = """('composer', 'COMPOSER', NULL), ('Composed By', 'COMPOSER', NULL), ('Music By', 'COMPOSER', NULL), ('lyricist', 'LYRICIST', NULL), ('Lyrics By', 'LYRICIST', NULL), ('Words By', 'LYRICIST', NULL),
+('librettist', 'LYRICIST', NULL), ('writer', 'WRITER', NULL), ('Written-By', 'WRITER', NULL), ('written by', 'WRITER', NULL), ('Songwriter', 'WRITER', NULL), ('arranger', 'ARRANGER', NULL), ('Arranged By', 'ARRANGER', NULL),
+('Orchestrator', 'ARRANGER', NULL), ('orchestrated by', 'ARRANGER', NULL), ('Conductor', 'CONDUCTOR', NULL), ('conducted by', 'CONDUCTOR', NULL), ('Producer', 'PRODUCER', NULL), ('produced by', 'PRODUCER', NULL), ('Co-producer', 'PRODUCER', NULL),
+('executive producer', 'PRODUCER', NULL), ('Executive-Producer', 'PRODUCER', NULL), ('engineer', 'ENGINEER', NULL), ('Recorded By', 'ENGINEER', NULL), ('recording engineer', 'ENGINEER', NULL), ('recording', 'ENGINEER', NULL),
+('Mastered By', 'ENGINEER', NULL), ('mastering', 'ENGINEER', NULL), ('Mastering Engineer', 'ENGINEER', NULL), ('mixer', 'MIXER', NULL), ('Mixed By', 'MIXER', NULL), ('mix', 'MIXER', NULL), ('remixer', 'REMIXER', NULL), ('Remix', 'REMIXER', NULL),
+('remixed by', 'REMIXER', NULL), ('Performer', 'PERFORMER', NULL), ('Vocals', 'PERFORMER', 'vocals'), ('Guitar [Acoustic]', 'PERFORMER', 'acoustic guitar'), ('Drums [ ]', 'PERFORMER', 'drums'), ('Bass ] [Fretless] solo', 'PERFORMER', 'bass ] [fretless] solo'),
+('Engineer [Assistant]', 'PERFORMER', 'assistant engineer'), ('  Mix [] ', 'MIXER', NULL)"""
+_ROLE_ROWS = "SELECT o_orderkey AS track_id, o_orderpriority AS name, o_orderkey % 41 AS a, o_custkey % 41 AS b FROM {o}"
+
+
+@query(f"""WITH v AS (SELECT *, row_number() OVER () - 1 AS i FROM (VALUES {_SPELLED}) t(role, field, kind)), o AS ({_ROLE_ROWS.format(o='orders')})
+SELECT DISTINCT track_id, field, CASE WHEN kind IS NULL THEN name ELSE name || ' (' || kind || ')' END AS value FROM o JOIN v ON v.i = o.a OR v.i = o.b""")
+def credit_roles(spark, d):
+    """Two of all spellings of roles in each credit."""
+    spelled = spark.sql(f"SELECT collect_list(role) AS roles FROM (VALUES {_SPELLED}) t(role, field, kind)")
+    rows = spark.sql(_ROLE_ROWS, o=table(spark, d, "orders")).crossJoin(F.broadcast(spelled))  # one row of names
+    role = F.concat(F.element_at("roles", (F.col("a") + 1).cast("int")), F.lit(", "), F.element_at("roles", (F.col("b") + 1).cast("int")))
+    return tags.credit_fields(rows.select("track_id", role.alias("role"), "name"))
+
+
+#: Names that containers have for fields.
+_NAMES = """('id3', 'TIT2', 'TITLE'), ('id3', 'TPE1', 'ARTIST'), ('id3', 'TPE2', 'ALBUMARTIST'), ('id3', 'TALB', 'ALBUM'), ('id3', 'TSOP', 'ARTISTSORT'), ('id3', 'TSOA', 'ALBUMSORT'), ('id3', 'TSO2', 'ALBUMARTISTSORT'), ('id3', 'TSOC', 'COMPOSERSORT'),
+('wav', 'TCOM', 'COMPOSER'), ('wav', 'TEXT', 'LYRICIST'), ('wav', 'TPE3', 'CONDUCTOR'), ('wav', 'TPE4', 'REMIXER'), ('wav', 'TPUB', 'LABEL'), ('wav', 'TMED', 'MEDIA'), ('aiff', 'TSRC', 'ISRC'), ('aiff', 'TCON', 'GENRE'), ('aiff', 'TSST', 'DISCSUBTITLE'),
+('dff', 'TCMP', 'COMPILATION'), ('dff', 'TIT1', 'GROUPING'), ('dff', 'TIT3', 'SUBTITLE'), ('dff', 'TBPM', 'BPM'), ('dff', 'TLAN', 'LANGUAGE'), ('dsf', 'TCOP', 'COPYRIGHT'), ('dsf', 'TENC', 'ENCODEDBY'), ('dsf', 'TMOO', 'MOOD'), ('dsf', 'TOPE', 'ORIGINALARTIST'),
+('dsf', 'TOAL', 'ORIGINALALBUM'), ('dsf', 'TSSE', 'ENCODERSETTINGS'), ('id3', 'MUSICBRAINZ ALBUM ID', 'MUSICBRAINZ_ALBUMID'), ('id3', 'MUSICBRAINZ ARTIST ID', 'MUSICBRAINZ_ARTISTID'), ('id3', 'MUSICBRAINZ ALBUM ARTIST ID', 'MUSICBRAINZ_ALBUMARTISTID'),
+('id3', 'MUSICBRAINZ RELEASE GROUP ID', 'MUSICBRAINZ_RELEASEGROUPID'), ('id3', 'MUSICBRAINZ RELEASE TRACK ID', 'MUSICBRAINZ_RELEASETRACKID'), ('id3', 'MUSICBRAINZ WORK ID', 'MUSICBRAINZ_WORKID'), ('id3', 'MUSICBRAINZ DISC ID', 'MUSICBRAINZ_DISCID'),
+('id3', 'MUSICBRAINZ ALBUM TYPE', 'RELEASETYPE'), ('id3', 'MUSICBRAINZ ALBUM STATUS', 'RELEASESTATUS'), ('id3', 'MUSICBRAINZ ALBUM RELEASE COUNTRY', 'RELEASECOUNTRY'), ('id3', 'ACOUSTID ID', 'ACOUSTID_ID'), ('id3', 'ACOUSTID FINGERPRINT', 'ACOUSTID_FINGERPRINT'),
+('id3', 'CATALOGNUMBER', 'CATALOGNUMBER'), ('id3', 'BARCODE', 'BARCODE'), ('id3', 'SCRIPT', 'SCRIPT'), ('id3', 'ARTISTS', 'ARTISTS'), ('id3', 'WORK', 'WORK'), ('id3', 'WRITER', 'WRITER'), ('id3', 'ORIGINALYEAR', 'ORIGINALYEAR'), ('id3', 'DISCID', 'DISCID'),
+('id3', 'STYLE', 'STYLE'), ('id3', 'OTHER NAME', 'OTHER NAME'), ('id3', 'UFID:http://elsewhere', NULL), ('id3', 'COMM', 'COMMENT'), ('id3', 'TDOR', 'ORIGINALDATE'), ('id3', 'TORY', 'ORIGINALDATE'), ('id3', 'TDRC', 'DATE'),
+('ape', 'ALBUM ARTIST', 'ALBUMARTIST'), ('ape', 'YEAR', 'DATE'), ('ape', 'ORIGINAL DATE', 'ORIGINALDATE'), ('ape', 'MIXARTIST', 'REMIXER'), ('ape', 'TITLE', 'TITLE'), ('ape', 'CATALOGNUMBER', 'CATALOGNUMBER'), ('ape', 'DISCSUBTITLE', 'DISCSUBTITLE'), ('ape', 'ODD', 'ODD'),
+('mp4', '©nam', 'TITLE'), ('mp4', '©ART', 'ARTIST'), ('mp4', 'aART', 'ALBUMARTIST'), ('mp4', '©alb', 'ALBUM'), ('mp4', '©day', 'DATE'), ('mp4', '©gen', 'GENRE'), ('mp4', '©wrt', 'COMPOSER'), ('mp4', '©cmt', 'COMMENT'), ('mp4', '©grp', 'GROUPING'), ('mp4', '©lyr', 'LYRICS'),
+('mp4', 'soar', 'ARTISTSORT'), ('mp4', 'soaa', 'ALBUMARTISTSORT'), ('mp4', 'soal', 'ALBUMSORT'), ('mp4', 'soco', 'COMPOSERSORT'), ('mp4', 'sonm', 'TITLESORT'), ('mp4', 'MUSICBRAINZ TRACK ID', 'MUSICBRAINZ_TRACKID'), ('mp4', 'LABEL', 'LABEL'), ('flac', 'TIT2', 'TIT2')"""
+
+
+@query(f"""WITH v AS (SELECT *, row_number() OVER () - 1 AS i, count(*) OVER () AS n FROM (VALUES {_NAMES}) t(container, name, field))
+SELECT p_partkey AS path, field, 0 AS ord, p_name AS value FROM part JOIN v ON v.i = p_partkey % v.n WHERE field IS NOT NULL""")
+def field_names(spark, d):
+    """Every name of a container in turn, as a file with that name alone."""
+    names = spark.sql(f"SELECT collect_list(struct(container, name)) AS names FROM (VALUES {_NAMES}) t(container, name, field)")
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("path"), F.col("p_name").alias("value")).crossJoin(F.broadcast(names))  # one row of names
+    own = F.element_at("names", (F.col("path") % F.size("names") + 1).cast("int"))
+    return tags.mapped_fields(rows.select("path", own["container"].alias("container"), F.lit(0).alias("ord"), own["name"].alias("field"), "value"))

@@ -1,4 +1,4 @@
-"""Tags of audio files as rows, from the bytes that hold them: FLAC and Vorbis comments, ID3v2, APEv2, and chunks of IFF and RIFF files.
+"""Tags of audio files as rows, from the bytes that hold them: FLAC and Vorbis comments, ID3v2, APEv2, MP4 boxes, and chunks of IFF and RIFF files.
 
 Files come as ``binaryFile`` rows or any table with a column of bytes; only a file's tag bytes are looked at, and pictures
 are stepped over. A reader yields what it finds before the first damaged place.
@@ -64,7 +64,10 @@ def id3_size(data: bytes, at: int = 0) -> int:
 
 
 def id3_frames(data: bytes, at: int = 0) -> Pairs:
-    """Text frames of an ID3v2.3 or 2.4 tag: the frame's name, or the description of a TXXX frame in upper case; several values are several fields."""
+    """Text frames of an ID3v2.3 or 2.4 tag: the frame's name, or the description of a TXXX frame in upper case; several values are several fields.
+
+    A person is a field ``IPLS:role``, a comment COMM, an identifier ``UFID:owner``.
+    """
     end = at + id3_size(data, at)
     if end == at or end > len(data) or data[at + 3] not in (3, 4):
         return
@@ -79,6 +82,19 @@ def id3_frames(data: bytes, at: int = 0) -> Pairs:
         if at + 10 + n > end:
             return
         at += 10 + n
+        if name == "UFID":
+            owner, zero, value = body.partition(b"\0")
+            if zero:
+                yield f"UFID:{owner.decode('latin-1')}", value.decode("utf-8", "replace")
+            continue
+        if name == "COMM" and len(body) > 4 and body[0] in ID3_TEXT:
+            said = body[4:].decode(ID3_TEXT[body[0]], "replace").split("\x00")
+            yield name, said[-1].lstrip("\ufeff")
+            continue
+        if name in ("IPLS", "TIPL", "TMCL") and body and body[0] in ID3_TEXT:
+            said = [v.lstrip("\ufeff") for v in body[1:].decode(ID3_TEXT[body[0]], "replace").split("\x00")]
+            yield from ((f"IPLS:{role}", person) for role, person in zip(said[0::2], said[1::2], strict=False))
+            continue
         if name[0] != "T" or not body or body[0] not in ID3_TEXT:
             continue
         values = body[1:].decode(ID3_TEXT[body[0]], "replace").split("\x00")
@@ -120,12 +136,71 @@ def chunks(data: bytes) -> Iterator[tuple[str, int, int]]:
         at += head + n + (n & 1)
 
 
+def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(type, start of the content, end) of the boxes of an MP4 file between two places, up to the first damaged one."""
+    while at + 8 <= end:
+        n, head = int.from_bytes(data[at : at + 4], "big"), 8
+        kind = data[at + 4 : at + 8].decode("latin-1")
+        if n == 1:
+            if at + 16 > end:
+                return
+            n, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif n == 0:
+            n = end - at
+        if n < head or at + n > end:
+            return
+        yield kind, at + head, at + n
+        at += n
+
+
+def _mp4_text(body: bytes) -> str | None:
+    kind, body = int.from_bytes(body[1:4], "big"), body[8:]
+    if kind == 1:
+        return body.decode("utf-8", "replace")
+    if kind == 2:
+        return body.decode("utf-16-be", "replace")
+    return str(int.from_bytes(body, "big")) if kind in (0, 21, 22) and len(body) <= 8 else None
+
+
+def mp4_items(data: bytes) -> Pairs:
+    """Items of moov/udta/meta/ilst: an atom's name or a free item's name in upper case; pictures, and free items of other owners, are none.
+
+    Track and disc numbers are "number/total", without what is 0; a compilation's mark is 1 or nothing.
+    """
+    at, end = 0, len(data)
+    for kind, skip in (("moov", 0), ("udta", 0), ("meta", 0), ("ilst", 4)):  # the list lies behind four bytes of meta
+        found = next(((s, e) for k, s, e in boxes(data, at + skip, end) if k == kind), None)
+        if not found:
+            return
+        at, end = found
+    for name, s, e in boxes(data, at, end):
+        inside = [(k, data[x:y]) for k, x, y in boxes(data, s, e)]
+        values = [b for k, b in inside if k == "data" and len(b) >= 8]
+        if name in ("trkn", "disk"):
+            if values and len(values[0]) >= 14:
+                number, total = (int.from_bytes(values[0][i : i + 2], "big") for i in (10, 12))
+                if number or total:
+                    yield name, (str(number) if number else "") + (f"/{total}" if total else "")
+        elif name == "cpil":
+            if values and len(values[0]) >= 9 and values[0][8]:
+                yield name, "1"
+        elif name != "covr":
+            own = {k: b[4:].decode("utf-8", "replace") for k, b in reversed(inside) if k in ("name", "mean")}
+            if name == "----" and own.get("mean") != "com.apple.iTunes":
+                continue
+            called = own.get("name", "").upper() if name == "----" else name
+            for text in map(_mp4_text, values):
+                yield from ((called, v) for v in (text or "").split("\x00") if v)
+
+
 def tags_of(data: bytes) -> tuple[str, list[tuple[str, str]]]:
     """The container and the fields of a file's bytes, in their order; an unknown container has no field."""
     if any(True for _ in flac_blocks(data)):
         return "flac", [p for kind, at, n in flac_blocks(data) if kind == 4 for p in vorbis_comments(data[at : at + n])]
     if data[:4] == b"DSD " and _fits(data, 20, 8):
         return "dsf", list(id3_frames(data, int.from_bytes(data[20:28], "little")))
+    if data[4:8] == b"ftyp":
+        return "mp4", list(mp4_items(data))
     found = {b"RIFF": "wav", b"FORM": "aiff", b"FRM8": "dff"}.get(data[:4])
     if found:
         return found, [p for name, at, _ in chunks(data) if name.strip().upper() == "ID3" for p in id3_frames(data, at)]
