@@ -107,3 +107,43 @@ def test_mapped_fields_of_dates_and_numbers(spark):
     got = tags.mapped_fields(spark.createDataFrame(rows, "path string, container string, ord int, field string, value string")).collect()
     want = {("a", "DATE", "1984"), ("b", "DATE", "1990-02"), ("c", "TRACKNUMBER", "4"), ("c", "TRACKTOTAL", "9"), ("c", "TOTALTRACKS", "9"), ("d", "TRACKNUMBER", "7"), ("d", "TRACKTOTAL", "8"), ("d", "TOTALTRACKS", "8"), ("d", "DISCNUMBER", "1"), ("e", "TRACKNUMBER", "3/12"), ("e", "GENRE", "x")}
     assert {(r.path, r.field, r.value) for r in got} == want and len(got) == len(want)
+
+
+def picture(kind: int, mime: bytes, data: bytes) -> bytes:
+    return struct.pack(">II", kind, len(mime)) + mime + struct.pack(">I", 4) + b"desc" + bytes(16) + struct.pack(">I", len(data)) + data
+
+
+def test_headers_are_read_in_ranges(spark, tmp_path):
+    """Tags of large files for few bytes; pictures stay unread unless asked for; other containers as from whole files."""
+    from tonearm.sources import headers
+
+    art, sound = bytes(range(256)) * 2000, bytes(3_000_000)
+    big = flac((0, bytes(34)), (1, bytes(40_000)), (6, picture(3, b"image/png", art)), (4, vorbis("title=x", "ARTIST=é"))) + sound
+    ilst = box(b"ilst", box(b"covr", item(13, art)) + box(b"\xa9nam", item(1, b"Song")))
+    movie = box(b"ftyp", b"M4A ") + box(b"mdat", sound, True) + box(b"moov", box(b"udta", box(b"meta", bytes(4) + ilst)))
+    whole = {
+        "id3.mp3": TAG + sound, "wav.wav": b"RIFF\0\0\0\0WAVEdata" + struct.pack("<I", len(sound)) + sound + b"id3 " + struct.pack("<I", len(TAG)) + TAG, "dff.dff": b"FRM8" + bytes(8) + b"DSD " + b"ID3 " + struct.pack(">Q", len(TAG)) + TAG,
+        "dsf.dsf": b"DSD " + struct.pack("<QQQ", 28, 0, 28) + TAG, "ape.ape": sound + ape((b"Year", b"1984", 0)) + b"TAG" + bytes(125), "none.txt": b"plain", "empty": b"", "cut.flac": big[:60_000], "head.flac": TAG + flac((4, vorbis("A=b"))),
+    }
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, data in (whole | {"deep/big.flac": big, "movie.m4a": movie}).items():
+        (tmp_path / "in" / name).write_bytes(data)
+    spark.dataSource.register(headers.MediaHeaders)
+    read = lambda **o: spark.read.format("media_headers").options(filesPerPartition="3", **o).load(f"file://{tmp_path}/in")
+    rows = read().collect()
+    by = lambda name: [r for r in rows if r.path.endswith(name)]
+    for name, data in whole.items():
+        kind, fields = containers.tags_of(data)
+        own = by(f"/{name}")
+        assert {r.container for r in own} == {kind if name != "cut.flac" else "flac"} and [(r.field, r.value) for r in own if r.kind == "tag"] == fields
+    for name, tags in (("big.flac", [("TITLE", "x"), ("ARTIST", "é")]), ("movie.m4a", [("©nam", "Song")])):
+        own = by(name)
+        assert [(r.field, r.value) for r in own if r.kind == "tag"] == tags and max(r.bytes_read for r in own) < 16_384
+        shown = next(r for r in own if r.kind == "picture")
+        data = (tmp_path / "in" / ("deep/" + name if name == "big.flac" else name)).read_bytes()
+        assert shown.data is None and data[shown.offset : shown.offset + shown.length] == art
+    asked = [r for r in read(pictures="true").collect() if r.kind == "picture"]
+    assert len(asked) == 2 and all(bytes(r.data) == art for r in asked)
+    assert max(r.bytes_read for r in by(".wav")) < 4096
+    (tmp_path / "nothing").mkdir()
+    assert spark.read.format("media_headers").load(f"file://{tmp_path}/nothing").collect() == []
