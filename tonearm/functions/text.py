@@ -262,3 +262,18 @@ def form_value(query: Column, name: str) -> Column:
     """A decoded value of a query string: ``+`` is a blank, %xx a byte."""
     raw = F.element_at(F.str_to_map(query, F.lit("&"), F.lit("=")), F.lit(name))
     return F.try_url_decode(raw)
+
+
+#: Lengths of what wildcard_prefix gives.
+WILDCARD_LENGTHS = range(4, 18)
+
+
+def glued(code: Column) -> Column:
+    """A code in upper case without anything but A to Z and digits."""
+    return F.regexp_replace(F.upper(code), "[^A-Z0-9]", "")
+
+
+def wildcard_prefix(code: Column) -> Column:
+    """The letters and the first digits of a catalogue number, as a search by prefix takes them ("CAPP 139" finds CAPP139SA): two to
+    ten letters and two to seven digits of the code without anything else; null if it doesn't begin so."""
+    return F.nullif(F.regexp_extract(glued(code), "^([A-Z]{2,10}[0-9]{2,7})", 1), F.lit(""))

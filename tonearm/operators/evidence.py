@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import codes_match, similar
+from ..functions.text import WILDCARD_LENGTHS, codes_match, glued, similar, wildcard_prefix
 
 #: Match confidence from least to most.
 CONFIDENCE = ("unlikely", "possible", "likely", "confident")
@@ -294,3 +294,17 @@ def toc_matches(discs: DataFrame, tolerance: int) -> DataFrame:
     b = discs.select(F.col("disc_id").alias("other_id"), "tracks", F.col("offsets").alias("others"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     close = F.forall(F.zip_with("offsets", "others", lambda x, y: F.abs(x - y) <= tolerance), lambda ok: ok)
     return a.join(b, ["tracks", "band"]).where((F.col("disc_id") < F.col("other_id")) & close).select("disc_id", "other_id")
+
+
+def wildcard_code_join(local: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """album_id, candidate_id, prefix: catalogue numbers that begin with the wildcard prefix of a local one; (album_id, code) and (candidate_id, key) rows.
+
+    A prefix has 4 to 17 characters, so each key has at most 14 beginnings that can be one: an equi-join with
+    them, of distinct keys and prefixes, and then with their rows. Rows with null codes, or codes without such a prefix, find nothing.
+    """
+    ours = local.select("album_id", wildcard_prefix(F.col("code")).alias("prefix")).where("prefix is not null")
+    keys = catalogue.select("candidate_id", glued(F.col("key")).alias("key")).where("key <> ''")
+    low, high = WILDCARD_LENGTHS[0], WILDCARD_LENGTHS[-1]
+    begins = F.transform(F.sequence(F.lit(low), F.least(F.length("key"), F.lit(high))), lambda n: F.substring(F.col("key"), F.lit(1), n))
+    met = keys.select("key").distinct().where(F.length("key") >= low).select("key", F.explode(begins).alias("prefix")).join(ours.select("prefix").distinct(), "prefix")
+    return met.join(ours, "prefix").join(keys, "key").select("album_id", "candidate_id", "prefix")

@@ -235,7 +235,20 @@ def catalogue_suffix_join(spark, d):
     return evidence.suffix_code_counts(local, part.select(F.col("p_partkey").alias("candidate_id"), key.alias("key")))
 
 
-TOCS = """SELECT o_orderkey AS disc_id, o_custkey % 40 AS tracks, (o_custkey % 40) * 1000 + o_orderkey % 300 AS last, o_orderkey % 50 AS first FROM {o} WHERE o_custkey % 40 > 1"""
+_CODES = """SELECT o_orderkey AS album_id, CASE o_custkey % 5 WHEN 0 THEN 'CAPP ' || (10 + o_orderkey % 190) WHEN 1 THEN 'capp-' || (10 + o_orderkey % 19) || ' SA' WHEN 2 THEN 'A ' || o_orderkey WHEN 3 THEN NULL ELSE (o_orderkey % 7) || 'CAPP' END AS code FROM {o}"""
+_KEYS = "SELECT c_custkey AS candidate_id, CASE c_custkey % 4 WHEN 0 THEN 'CAPP' || c_custkey || 'SA' WHEN 1 THEN 'Capp ' || c_custkey WHEN 2 THEN 'CAPPS' || c_custkey ELSE NULL END AS key FROM {c}"
+
+
+@query(f"""WITH l AS (SELECT nullif(regexp_extract(regexp_replace(upper(code), '[^A-Z0-9]', '', 'g'), '^([A-Z]{{2,10}}[0-9]{{2,7}})', 1), '') AS prefix, count(*) AS n FROM ({_CODES.format(o='orders')}) GROUP BY 1),
+k AS (SELECT candidate_id, regexp_replace(upper(key), '[^A-Z0-9]', '', 'g') AS key FROM ({_KEYS.format(c='customer')}))
+SELECT prefix, candidate_id, n AS albums FROM l JOIN k ON starts_with(k.key, l.prefix)""")
+def wildcard_codes(spark, d):
+    """Catalogue numbers that begin with letters and first digits of local ones, counted by prefix and candidate."""
+    found = evidence.wildcard_code_join(spark.sql(_CODES, o=table(spark, d, "orders")), spark.sql(_KEYS, c=table(spark, d, "customer")))
+    return found.groupBy("prefix", "candidate_id").agg(F.count("*").alias("albums"))
+
+
+TOCS = """SELECT o_orderkey AS disc_id, o_custkey % 40 AS tracks, (o_custkey % 40) * 1000 + o_orderkey % 300 AS last, o_orderkey % 50 AS first FROM {o}"""
 
 
 @query(f"WITH t AS ({TOCS.format(o='orders')}) SELECT a.disc_id, b.disc_id AS other_id FROM t a JOIN t b ON a.tracks = b.tracks AND a.disc_id < b.disc_id WHERE abs(a.first - b.first) <= 2 AND abs(a.last - b.last) <= 2")

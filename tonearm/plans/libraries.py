@@ -174,7 +174,7 @@ def cddb_rank(spark, d):
     return r.select("req_id", "medium_id", "error", "rank", batch.response_code(F.col("matches"), F.lit(True)).alias("code"))
 
 
-_QUEUE = "SELECT user_id AS path, ts, event_id AS ord, CASE event_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'readyToFinish' WHEN 2 THEN 'done' WHEN 3 THEN 'review' WHEN 4 THEN 'failed' ELSE 'working' END AS status FROM {e} WHERE event_id % 3 <> user_id % 3"
+_QUEUE = "SELECT user_id AS path, ts, event_id AS ord, CASE event_id % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'readyToFinish' WHEN 2 THEN 'done' WHEN 3 THEN 'review' WHEN 4 THEN 'failed' ELSE 'working' END AS status FROM {e}"
 
 
 @query(f"""WITH q AS ({_QUEUE.format(e='events')}), l AS (SELECT path, last(status ORDER BY ts, ord) AS status, bool_or(status = 'readyToFinish') AS ready FROM q GROUP BY 1)
@@ -214,10 +214,9 @@ def extraction_state(spark, d):
     return batch.extraction_state(spark.sql(_EXTRACT, l=table(spark, d, "lineitem")))
 
 
-@query("SELECT user_id AS album_id, coalesce(CAST(sum(CAST(value AS DECIMAL(18,6))) FILTER (event_id % 3 = 0) AS DOUBLE) / count(value) FILTER (event_id % 3 = 0), 0) AS confidence FROM events GROUP BY 1")
+@query("SELECT user_id AS album_id, coalesce(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value), 0) AS confidence FROM events GROUP BY 1")
 def mean_confidence(spark, d):
-    lines = table(spark, d, "events").select(F.col("user_id").alias("album_id"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("confidence"))
-    return batch.mean_confidence(lines)
+    return batch.mean_confidence(table(spark, d, "events").select(F.col("user_id").alias("album_id"), F.col("value").alias("confidence")))
 
 
 @query("SELECT o_orderkey AS album_id, CASE WHEN o_custkey % 5 = 0 THEN 'done' WHEN o_orderkey % 3 = 0 THEN 'readyToFinish' ELSE 'pending' END AS status FROM orders")

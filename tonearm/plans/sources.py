@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import library, lookups, loudness, prints, subprints, tags
+from ..operators import checksums, library, lookups, loudness, prints, subprints, tags
 from ..sources import catalogue, containers, cue, folders, images
 from .registry import query, table
 
@@ -276,6 +276,27 @@ def digests(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.md5("p_name").alias("md5"), F.sha2("p_name", 256).alias("sha256"))
 
 
+#: CRC-32 of a text of ASCII letters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split({c}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)), 4294967295)"""
+
+
+@query(f"""WITH t AS (SELECT p_partkey // 5 AS disc_id, string_agg(p_name, '' ORDER BY p_partkey) AS t FROM part GROUP BY 1),
+r AS (SELECT disc_id, 'disc' AS range_id, substr(t, 5, length(t) - 12) AS r FROM t UNION ALL SELECT disc_id, 'all', t FROM t UNION ALL SELECT disc_id, 'track', substr(t, 21, 20) FROM t)
+SELECT disc_id, range_id, {_CRC.format(c='r')} AS crc, length(r)::BIGINT AS bytes FROM r WHERE length(r) > 0""")
+def range_checksums(spark, d):
+    """Discs whose bytes are the names of five parts, a chunk each: the whole, the disc without its trims, and a track from the middle."""
+    part = table(spark, d, "part").select((F.expr("p_partkey DIV 5")).alias("disc_id"), "p_partkey", _utf8(F.col("p_name")).alias("pcm"))
+    before = F.sum(F.octet_length("pcm")).over(Window.partitionBy("disc_id").orderBy("p_partkey"))
+    chunks = part.select("disc_id", (before - F.octet_length("pcm")).alias("at"), "pcm")
+    size = part.groupBy("disc_id").agg(F.sum(F.octet_length("pcm")).alias("size"))
+    low, high = checksums.disc_range(F.lit(0), F.col("size") / checksums.SAMPLE_BYTES, 1)  # a trim of one sample, another from the end
+    span = lambda name, low, high: F.struct(F.lit(name).alias("range_id"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+    spans = F.array(span("all", F.lit(0), F.col("size")), span("disc", low, high - checksums.SAMPLE_BYTES), span("track", F.lit(20), F.least(F.lit(40), F.col("size"))))
+    ranges = size.select("disc_id", F.explode(spans).alias("r")).select("disc_id", "r.*")
+    return checksums.range_crcs(chunks, ranges)
+
+
 _CELLS = "SELECT user_id % 20 AS track_id, CAST(event_id % 60 AS INT) AS frame, CAST(event_id % 12 AS INT) AS bin, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM {e} GROUP BY 1, 2, 3"
 #: Every frame and bin of a track has a cell.
 _GRID = "SELECT g.track_id, g.frame, g.bin, coalesce(c.value, 0) AS value FROM (SELECT t.track_id, f.frame, b.bin FROM (SELECT DISTINCT user_id % 20 AS track_id FROM {e}) t CROSS JOIN (SELECT DISTINCT CAST(event_id % 60 AS INT) AS frame FROM {e}) f CROSS JOIN (SELECT DISTINCT CAST(event_id % 12 AS INT) AS bin FROM {e}) b) g LEFT JOIN (" + _CELLS + ") c USING (track_id, frame, bin)"
