@@ -258,6 +258,44 @@ def disc_images(spark, d):
     return found.join(images.areas(rows, found), "disc_id").select("disc_id", "set_size", "set_place", "disc_catalogue", "disc_date", "album_title", "multichannel", "tracks", "format", "seconds", "first_sector")
 
 
+_GENRE = "CASE WHEN {c} BETWEEN 2 AND 5 THEN ['Adult Contemporary', 'Alternative Rock', 'Children''s Music', 'Classical'][({c} - 1)::BIGINT] END"
+
+
+@query(f"""WITH t AS (SELECT s_suppkey AS disc_id, unnest(range(0, s_suppkey % 20)) AS i, s_name, s_suppkey % 5 = 0 AS multichannel FROM supplier WHERE s_suppkey % 11 <> 0)
+SELECT disc_id, multichannel, (i + 1)::INT AS number, disc_id + 600 + i * 7 AS start_sector, 7::BIGINT AS sectors, (i * 60 + 9) * 75 + i AS start_frames, (60 + i) * 75 + 74 AS frames, CASE WHEN i % 3 <> 0 THEN 'JPX' || lpad((disc_id * 100 + i)::VARCHAR, 9, '0') END AS isrc,
+ coalesce({_GENRE.format(c='(i % 6)')}, {_GENRE.format(c='(disc_id % 6)')}) AS genre, 'Track ' || (i + 1) AS title, CASE WHEN i % 2 = 0 THEN s_name END AS performer FROM t""")
+def disc_tracks(spark, d):
+    """Tracks of super audio discs from tables composed over several sectors: lists, codes over two, texts over as many as the tracks fill."""
+    k, i = F.col("s_suppkey"), F.col("i")
+    s = table(spark, d, "supplier")
+    fill = lambda c, n: F.unhex(F.rpad(F.hex(c), 2 * n, "0"))
+    each = s.withColumn("i", F.explode(F.sequence(F.lit(0), (k % 20).cast("int")))).where(i < k % 20)
+    text = lambda kind, t, n: fill(F.concat(F.lit(bytes([kind, 0])), _utf8(t)), n)
+    isrc = F.when(i % 3 == 0, F.lit(bytes(12))).otherwise(_utf8(F.concat(F.lit("JPX"), F.lpad((k * 100 + i).cast("string"), 9, "0"))))
+    parts = {
+        "starts": _be(k + 600 + i * 7, 4), "lengths": _be(F.lit(7), 4), "times": F.concat(_be(i, 1), F.lit(b"\x09"), _be(i, 1), F.lit(b"\x00")), "frames": F.concat(F.lit(b"\x01"), _be(i, 1), F.lit(bytes([74, 0]))), "isrcs": isrc,
+        "genres": F.concat(F.lit(b"\x01\x00"), _be(i % 6, 2)), "places": _be(1900 + i * 84, 2), "texts": F.concat(_be(1 + (i + 1) % 2, 1), F.lit(bytes(3)), text(1, F.concat(F.lit("Track "), (i + 1).cast("string")), 12), text(2, F.col("s_name"), 68)),
+    }
+    run = lambda c: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.hex(c).alias("h")))), lambda x: x["h"]), ""))
+    per = s.join(each.groupBy("s_suppkey").agg(*[run(c).alias(n) for n, c in parts.items()]), "s_suppkey", "left")
+    c = lambda n: F.coalesce(F.col(n), F.lit(b""))
+    multi = k % 5 == 0
+    toc = lambda own: F.when(own, _be(F.lit(520), 4)).otherwise(_be(F.lit(0), 4))
+    mark = F.when(k % 11 == 0, F.lit(b"NOTADISC")).otherwise(F.lit(b"SACDMTOC"))
+    master = F.concat(fill(mark, 64), toc(~multi), F.lit(bytes(4)), toc(multi), F.lit(bytes(28)), F.lit(b"\x01\x00"), _be(k % 6, 2), F.lit(bytes(30)), F.lit(b"\x02"))
+    area = F.concat(F.when(multi, F.lit(b"MULCHTOC")).otherwise(F.lit(b"TWOCHTOC")), F.lit(bytes(2)), _be(F.lit(8), 2), F.lit(bytes(9)), F.lit(b"\x02"), F.lit(bytes(47)), _be(k % 20, 1))
+    two = lambda mark, a, b: F.concat(F.lit(mark), fill(c(a), 1020), c(b))
+    codes = fill(F.concat(F.lit(b"SACD_IGL"), fill(c("isrcs"), 3060), c("genres")), 4096)
+    words = fill(F.concat(fill(F.concat(F.lit(b"SACDTTxt"), c("places")), 1900), c("texts")), 6144)
+    piece = lambda block, n: block.substr(F.lit(n * images.SECTOR + 1), F.lit(images.SECTOR))
+    held = {510: master, 520: area, 521: two(b"SACDTRL1", "starts", "lengths"), 522: two(b"SACDTRL2", "times", "frames"), 523: piece(codes, 0), 524: piece(codes, 1), 525: piece(words, 0), 526: piece(words, 1), 527: piece(words, 2)}
+    sector = lambda n, body: F.struct(F.lit(n).cast("long").alias("sector"), fill(body, images.SECTOR).alias("content"))
+    rows = per.select(k.alias("disc_id"), F.explode(F.array(*[sector(n, b) for n, b in held.items()])).alias("s")).select("disc_id", "s.sector", "s.content")
+    found = images.masters(rows)
+    tracks = images.track_tables(rows, found, images.areas(rows, found))
+    return tracks.select("disc_id", "multichannel", "number", "start_sector", "sectors", "start_frames", "frames", "isrc", "genre", "title", "performer")
+
+
 @query("SELECT o_orderkey AS id, 4096 AS max_block, o_custkey AS max_frame, CASE o_orderkey % 2 WHEN 0 THEN 44100 ELSE 96000 END AS sample_rate, (o_orderkey % 8 + 1)::INT AS channels, 24 AS bits, o_orderkey * 588 AS samples FROM orders")
 def stream_headers(spark, d):
     """Bit fields of stream headers composed of their values."""
