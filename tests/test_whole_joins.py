@@ -46,6 +46,39 @@ def test_nearest_media_by_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_nearest_media_compares_few(spark):
+    """Unknown durations on both sides, copies, crowded and empty cells: brute force's answers from a small share of all pairs."""
+    rng = random.Random(9)
+    album = [[rng.randint(100, 400) for _ in range(8)] for _ in range(500)]
+    near = [[x + rng.randint(-2, 2) for x in rng.choice(album[:40])] for _ in range(1200)]
+    media = [(i, 8, d) for i, d in enumerate(album + near + [album[3]] * 200)]
+    media += [(5000 + i, 8, [None if rng.random() < 0.1 else x for x in rng.choice(album)]) for i in range(20)] + [(6000, 1, [None]), (6001, 1, [7]), (6002, 2, [])]
+    asks = [(i, t, d) for i, t, d in media if i % 9 == 0 or i >= 5000] + [(9000, 8, [1] * 8), (9001, 8, [9999] * 8), (9002, 3, [1, 2, 3])]
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} long, tracks int, durations array<long>")
+    got = batch.nearest_media(frame(asks, "req_id"), frame(media, "medium_id"), 6, block=16, counted=True).collect()
+    off = lambda x, y: sum(0 if a is None or b is None else abs(a - b) for a, b in zip(x, y))  # noqa: B905, E731
+    want = []
+    for q, t, x in asks:
+        met = sorted((off(x, y), m) for m, u, y in media if t == u)
+        want += [(q, m, e, k, len(met)) for k, (e, m) in enumerate(met[:6], 1)]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    compared = {r.req_id: r.compared for r in got if 500 <= r.req_id < 1700}  # those with close answers; others can't meet few
+    assert len(compared) > 100 and sum(compared.values()) < 0.15 * len(compared) * len(media)
+    assert batch.nearest_media(frame(asks, "req_id"), frame([], "medium_id"), 6).count() == 0
+
+
+def test_places_by_ranges(spark):
+    from tonearm.operators.ordering import numbered
+
+    rng = random.Random(3)
+    values = [(rng.choice([None, "a", "a", "b"]), i) for i in range(3000)]
+    frame = spark.createDataFrame(values, "name string, id long").repartition(7)
+    got = numbered(frame, [frame["name"], frame["id"]], parts=23)
+    order = sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
+    assert {r.id: r.place for r in got.collect()} == {v[1]: n for n, v in enumerate(order, 1)}
+    assert numbered(frame.limit(0), [frame["id"]]).count() == 0
+
+
 def test_every_order_is_a_request_and_a_wanted_album(spark):
     orders = [(r.o_orderkey, r.o_custkey) for r in spark.read.parquet(f"{SF}/orders.parquet").collect()]
     ranked = entry_module.queries()["cddb_rank"](spark, SF)

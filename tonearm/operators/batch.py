@@ -78,22 +78,64 @@ def best_medium(queries: DataFrame, media: DataFrame) -> DataFrame:
     return met.withColumn("rank", rank).select("req_id", "medium_id", "error", "rank")
 
 
-def nearest_media(queries: DataFrame, media: DataFrame, most: int, block: int = 256) -> DataFrame:
-    """req_id, medium_id, error, rank, matches: the first ranks of best_medium, and how many media a request has.
+def _known(durations: Column) -> Column:
+    return F.transform(durations, lambda x: x.isNotNull())
 
-    Media with equally many tracks are dealt into blocks of about ``block``; a request keeps its best of each
-    block and then the best of these, so pairs are never written, and a common number of tracks is many keys.
+
+def _total(durations: Column, known: Column) -> Column:
+    """The sum of the durations that are known, of those that another pattern knows too."""
+    return F.aggregate(F.zip_with(durations, known, lambda x, k: F.when(k, x)), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)).cast("long"))
+
+
+def nearest_media(queries: DataFrame, media: DataFrame, most: int, block: int = 256, cells: int = 4096, counted: bool = False) -> DataFrame:
+    """req_id, medium_id, error, rank, matches: the first ranks of best_medium, and how many media a request has; whole seconds.
+
+    Totals of durations differ by no more than the durations do in sum. So media of equally many tracks lie in cells by their total,
+    as many as ``block`` asks for and ``cells`` at most; an unknown duration counts on neither side, so there are totals for each pair of patterns of known
+    durations. A sample of about ``block`` media, its own cell and the two beside it give a request a reach, its worst rank among these, and it is
+    compared with the cells within that reach only: all that can be among its best. Crowded cells are dealt into blocks of about ``block``, of each of which
+    a request keeps its best, so pairs are never written. Of media with equal durations the smallest ids stand for all. With fewer than ``most``
+    media in these all cells are compared; a request without close media has a long reach and meets most of them too. ``counted`` adds ``compared``, the media that a request met in the last step.
     """
     c = F.col
     off = lambda m: F.aggregate(F.zip_with(c("durations"), m["durations"], lambda a, b: F.coalesce(F.abs(a - b), F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    counts = media.groupBy("tracks").agg(F.count("*").alias("matches")).withColumn("blocks", F.ceil(c("matches") / block).cast("int"))
-    dealt = media.join(counts, "tracks").withColumn("block", F.pmod(F.xxhash64("medium_id"), c("blocks")).cast("int"))
-    held = dealt.groupBy("tracks", "block").agg(F.collect_list(F.struct("medium_id", "durations")).alias("media"))
-    asked = queries.join(counts, "tracks").withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1)))
-    best = F.slice(F.array_sort(F.transform("media", lambda m: F.struct(off(m).alias("error"), m["medium_id"].alias("medium_id")))), 1, most)
-    met = asked.join(held, ["tracks", "block"]).select("req_id", "matches", F.explode(best).alias("b")).select("req_id", "matches", "b.error", "b.medium_id")
+    best = lambda of: F.slice(F.array_sort(F.transform(of, lambda m: F.struct(off(m).alias("error"), m["medium_id"].alias("medium_id")))), 1, most)
+    held = lambda rows, *key: rows.groupBy(*key).agg(F.collect_list(F.struct("medium_id", "durations")).alias("media"))
+
+    counts = media.groupBy("tracks").agg(F.count("*").alias("matches"))
+    copy = F.row_number().over(Window.partitionBy("tracks", "durations").orderBy("medium_id"))
+    kept = media.select("medium_id", "tracks", "durations", _known(c("durations")).alias("m_known"), copy.alias("copy")).where(c("copy") <= most).drop("copy")
+    asks = queries.select("req_id", "tracks", "durations", _known(c("durations")).alias("q_known")).join(counts, "tracks")
+    patterns = asks.select("tracks", "q_known").distinct().join(kept.select("tracks", "m_known").distinct(), "tracks")
+
+    key = ["tracks", "q_known", "m_known"]
+    entries = kept.join(patterns, ["tracks", "m_known"]).withColumn("total", _total(c("durations"), c("q_known")))
+    spans = entries.groupBy(*key).agg(F.count("*").alias("n"), F.min("total").alias("low"), F.max("total").alias("high"))
+    parts = F.least(F.ceil(c("n") / block), F.lit(cells))
+    spans = spans.select(*key, "low", F.greatest(F.lit(1), F.ceil((c("high") - c("low") + 1) / parts)).cast("long").alias("width"), F.floor((c("high") - c("low")) / F.greatest(F.lit(1), F.ceil((c("high") - c("low") + 1) / parts))).alias("top"))
+    cell = lambda total: F.floor((total - c("low")) / c("width")).cast("long")
+    entries = entries.join(spans, key).withColumn("cell", cell(c("total")))
+    crowd = entries.groupBy(*key, "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = F.pmod(F.xxhash64("medium_id"), c("blocks")).cast("int")
+    boxes = held(entries.join(crowd, [*key, "cell"]).withColumn("block", dealt), *key, "cell", "block")
+
+    asked = asks.join(spans, ["tracks", "q_known"]).withColumn("total", _total(c("durations"), c("m_known")))
+    at = F.least(F.greatest(cell(c("total")), F.lit(0)), c("top"))
+    deal = lambda rows, first, last: rows.withColumn("cell", F.explode(F.sequence(first, last))).join(crowd, [*key, "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), c("blocks") - 1))).join(boxes, [*key, "cell", "block"])
+    near = deal(asked, F.greatest(at - 1, F.lit(0)), F.least(at + 1, c("top"))).select("req_id", best(c("media")).alias("found"))
+    share = F.pmod(F.xxhash64("medium_id", F.lit(1)), F.ceil(c("matches") / block)) == 0
+    few = held(kept.join(counts, "tracks").where(share), "tracks")
+    near = near.unionByName(asks.join(few, "tracks").select("req_id", best(c("media")).alias("found")))
+    reach = near.groupBy("req_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("f")).select("req_id", F.try_element_at("f", F.lit(most))["error"].alias("reach"))
+
+    first = F.when(c("reach").isNull(), 0).otherwise(F.greatest(cell(c("total") - c("reach")), F.lit(0)))
+    last = F.when(c("reach").isNull(), c("top")).otherwise(F.least(cell(c("total") + c("reach")), c("top")))
+    wide = asked.join(reach, "req_id", "left").withColumns({"first": first, "last": last}).where(c("first") <= c("last"))
+    met = deal(wide, c("first"), c("last")).select("req_id", "matches", F.size("media").alias("size"), best(c("media")).alias("found"))
     rank = F.row_number().over(Window.partitionBy("req_id").orderBy("error", "medium_id"))
-    return met.withColumn("rank", rank).where(c("rank") <= most).select("req_id", "medium_id", "error", "rank", "matches")
+    ranked = met.select("req_id", "matches", F.explode("found").alias("b")).select("req_id", "matches", "b.error", "b.medium_id").withColumn("rank", rank).where(c("rank") <= most)
+    ranked = ranked.select("req_id", "medium_id", "error", "rank", "matches")
+    return ranked.join(met.groupBy("req_id").agg(F.sum("size").alias("compared")), "req_id") if counted else ranked
 
 
 def response_code(matches: Column, valid: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import form_value
-from .batch import best_medium, response_code
+from .batch import nearest_media, response_code
 
 #: One category names each match of an answer.
 CATEGORIES = ("rock", "misc", "jazz", "classical", "folk", "blues")
@@ -54,7 +54,7 @@ def answers(requests: DataFrame, media: DataFrame) -> DataFrame:
     Media with equally many tracks are listed by how far their durations are off, six at most.
     """
     asks = requests.where("verb = 'query'")
-    ranked = best_medium(asks.where("valid").select("req_id", F.size("durations").alias("tracks"), "durations"), media.select("medium_id", "tracks", "durations")).where(F.col("rank") <= len(CATEGORIES))
+    ranked = nearest_media(asks.where("valid").select("req_id", F.size("durations").alias("tracks"), "durations"), media.select("medium_id", "tracks", "durations"), len(CATEGORIES)).drop("matches")
     names = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("rank"))
     about = ranked.join(media.drop("tracks", "durations"), "medium_id").join(asks.select("req_id", "disc"), "req_id")
     title = F.concat_ws(" ", names, "disc", display_title(F.col("artist"), F.col("title")))
