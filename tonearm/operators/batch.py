@@ -87,7 +87,7 @@ def _total(durations: Column, known: Column) -> Column:
     return F.aggregate(F.zip_with(durations, known, lambda x, k: F.when(k, x)), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)).cast("long"))
 
 
-def nearest_media(queries: DataFrame, media: DataFrame, most: int, block: int = 256, cells: int = 4096, counted: bool = False) -> DataFrame:
+def nearest_media(queries: DataFrame, media: DataFrame, most: int, block: int = 32, cells: int = 1 << 16, counted: bool = False) -> DataFrame:
     """req_id, medium_id, error, rank, matches: the first ranks of best_medium, and how many media a request has; whole seconds.
 
     Totals of durations differ by no more than the durations do in sum. So media of equally many tracks lie in cells by their total,
