@@ -58,3 +58,21 @@ def test_mixing_stage_keeps_texts_of_one_id_and_size_apart(spark):
     assert set(got) <= set(texts) and len(got) == len([1 for r in mixed if r.copies])
     for k in {(r.doc_id, r.source) for r in mixed}:
         assert sorted(r.copies for r in mixed if (r.doc_id, r.source) == k and r.copies) == sorted(n for (d, _, s), n in got.items() if (d, s) == k)
+
+
+def test_mixing_stage_takes_what_the_mix_takes_of_many_rows_without_id(spark):
+    import corpus_pipeline
+
+    rows = [(None, f"w{i % 7} " * 3, "s" if i % 3 else None) for i in range(120)] + [(None, None, "s"), (None, "", "t"), (1, "x y", "t"), (1, "x y", "t")] + [(i, "p q r", "t") for i in range(30)]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], SCHEMA)
+    for parts in (1, 4):
+        shuffled = docs.repartition(parts)
+        want = Counter()
+        for r in mixing.mix(shuffled).collect():
+            want[r.doc_id, r.source, r.size, r.text_key] += r.copies
+        out = corpus_pipeline.mixing_stage(spark, shuffled, "")
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        keyed = out.selectExpr("doc_id", "source", "text", "xxhash64(text) AS text_key").collect()
+        got = Counter((r.doc_id, r.source, len((r.text or "").split()), r.text_key) for r in keyed)
+        assert got == +want
+    assert corpus_pipeline.mixing_stage(spark, docs.limit(0), "").count() == 0

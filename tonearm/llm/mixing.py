@@ -94,7 +94,7 @@ def _cut(rows: DataFrame, bucket: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", buckets: int = BUCKETS, tilt: float = TILT, seed: int = 5) -> DataFrame:
-    """doc_id, size, source, source_size, target, odds, copies, taken: of every document how often the mix takes it.
+    """doc_id, size, source, source_size, target, odds, copies, taken, text_key: of every document how often the mix takes it.
 
     A source's target is so many whole passes over it, which every document gets, and a remainder. For
     that, each document has its odds of inclusion by size (see inclusion), and documents are taken in
@@ -103,10 +103,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut is found from sums over ``buckets`` ranges of the order, then over as many within that range, and
     exactly in the one narrow range that holds it, so
     that no source is ever gathered in a task. Null texts have size 0; null sources are one source;
-    rows that repeat an id are ranked by id and size, equal rows in any order. An empty table gives
+    rows that repeat an id are ranked by a hash of id, size and text too, equal rows in any order, so ids shared by very many
+    rows (null may be) lie all over the order. ``text_key`` tells rows of one id apart by their texts. An empty table gives
     no rows. Other columns are ignored, whatever their names.
     """
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    text = F.col(text_col)
+    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"))
     sizes = materialize(sizes.withColumn("class", size_class(F.col("size"))), "mix-sizes")
     passes = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = source_targets(sizes).withColumn("whole", F.floor(passes).cast("int"))
@@ -114,12 +116,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = materialize(targets, "mix-targets")
     odds = materialize(inclusion(sizes, targets, tilt).join(targets, F.col("i_source").eqNullSafe(F.col("t_source"))).drop("t_source"), "mix-odds")
     rows = sizes.join(odds, sizes["source"].eqNullSafe(odds["i_source"]) & (sizes["class"] == odds["i_class"])).drop("i_source", "i_class")
-    order = pareto_order(F.col("odds"), seed, F.col("doc_id"), F.col("size"))
+    order = pareto_order(F.col("odds"), seed, F.col("doc_id"), F.col("size"), F.col("text_key"))
     rows = rows.withColumn("order", order).withColumn("wide", F.least(F.floor(F.col("order") * buckets), F.lit(buckets - 1)).cast("int"))
     rows = rows.withColumn("narrow", F.floor((F.col("order") * buckets - F.col("wide")) * buckets).cast("int"))
     cut = materialize(_cut(rows.withColumn("so_far", F.lit(0)), "wide"), "mix-cut")
     rows = rows.join(cut, rows["source"].eqNullSafe(cut["c_source"]), "left").drop("c_source")
-    keep = ("doc_id", "source", "size", "source_size", "target", "odds", "whole")
+    keep = ("doc_id", "source", "size", "text_key", "source_size", "target", "odds", "whole")
     inside = F.coalesce(F.col("wide") == F.col("at"), F.lit(False))
     # without a cut the source's words never reach its rest, so all are taken
     clear = rows.where(~inside).select(*keep, (F.coalesce(F.col("wide") < F.col("at"), F.lit(True)) & (F.col("rest") > 0)).alias("more"))
@@ -127,10 +129,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fine = materialize(_cut(near, "narrow").withColumnRenamed("before", "f_before"), "mix-fine")
     near = near.join(fine, near["source"].eqNullSafe(fine["c_source"])).drop("c_source")
     beside = near.where(F.col("narrow") != F.col("at")).select(*keep, ((F.col("narrow") < F.col("at")) & (F.col("rest") > 0)).alias("more"))
-    line = Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source").orderBy("order", "doc_id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     edge = near.where(F.col("narrow") == F.col("at")).withColumn("upto", F.col("f_before") + F.coalesce(F.sum("size").over(line), F.lit(0)))
     edge = edge.select(*keep, ((F.col("rest") - F.col("upto")) * 2 > F.col("size")).alias("more"))
     copies = F.col("whole") + F.when(F.col("more") & (F.col("whole") < MOST_COPIES), 1).otherwise(0)
     return clear.unionByName(beside).unionByName(edge).select(
-        "doc_id", "size", "source", "source_size", "target", "odds", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
+        "doc_id", "size", "source", "source_size", "target", "odds", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "text_key"
     )
