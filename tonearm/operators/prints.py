@@ -6,10 +6,11 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import chroma, frame_features
+
 
 def simhash(items: DataFrame, key: str) -> DataFrame:
     """key, hash: bit by bit the majority of 32-bit items; a tie or no item gives 0."""
@@ -123,28 +124,9 @@ GRAY = (0, 1, 3, 2)
 
 
 def chroma_features(pcm: DataFrame, rate: int = 11025, frame: int = 4096) -> DataFrame:
-    """track_id, frame, chroma: 12 energies of each Hamming-windowed frame, a third of a frame apart, unit length or zero, of (track_id, samples) rows."""
-    window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(frame) / (frame - 1))
-    freq = np.arange(frame // 2 + 1) * rate / frame
-    ok = (freq >= 28) & (freq < 3520)
-    octave = np.log2(freq[ok] / 27.5)
-    note = np.floor(12 * (octave - np.floor(octave))).astype(int)
-
-    def run(batches):
-        for b in batches:
-            for track, samples in zip(b["track_id"], b["samples"], strict=True):
-                x = np.asarray(samples, np.float64)
-                if len(x) < frame:
-                    continue
-                frames = np.lib.stride_tricks.sliding_window_view(x, frame)[:: frame // 3]
-                energy = np.abs(np.fft.rfft(frames * window)) ** 2
-                chroma = np.zeros((len(frames), 12))
-                np.add.at(chroma.T, note, energy[:, ok].T)
-                norm = np.sqrt((chroma**2).sum(axis=1, keepdims=True))
-                chroma = np.where(norm < 0.01, 0.0, chroma / np.maximum(norm, 1e-12))
-                yield pd.DataFrame({"track_id": track, "frame": np.arange(len(frames)), "chroma": list(chroma)})
-
-    return pcm.mapInPandas(run, "track_id string, frame int, chroma array<double>")
+    """track_id, frame, chroma: 12 energies of each Hamming-windowed frame, a third of a frame apart, unit length or zero, of (track_id, samples) rows; see frames for tracks in chunks."""
+    found = frame_features(pcm.select(F.col("track_id").cast("string").alias("track_id"), F.lit(0).alias("at"), "samples"), chroma(rate, frame), frame)
+    return found.select("track_id", F.col("frame").cast("int").alias("frame"), F.col("feature").alias("chroma"))
 
 
 def pack_items(items: np.ndarray) -> bytes:

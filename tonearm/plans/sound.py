@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import loudness, prints
+from ..operators import frames, loudness, prints
 from .registry import query, table
 
 _L = "CASE WHEN {p} > 0 THEN -0.691 + 10 * log10({p}) END"
@@ -138,3 +138,26 @@ def cover_distance_tiers(spark, d):
     b = e.select((F.col("vec_id") - 10).alias("vec_id"), "label", F.col("vec_id").alias("right_id"), F.col("embedding").alias("other"))
     p = prints.distance_tiers(e.join(b, ["vec_id", "label"]), "embedding", "other").withColumn("distance", F.round("distance", 5))
     return p.select(F.col("vec_id").alias("left_id"), "right_id", "distance", cover_points(F.col("distance")).alias("points"), (F.col("distance") >= 0.95).alias("differs"))
+
+
+def _bark(f: str) -> str:
+    z = f"(26.81 * ({f}) / (1960 + ({f})) - 0.53)"
+    return f"(CASE WHEN {z} < 2 THEN {z} + 0.15 * (2 - {z}) WHEN {z} > 20.1 THEN {z} + 0.22 * ({z} - 20.1) ELSE {z} END)::DOUBLE"
+
+
+@query(f"""WITH RECURSIVE walk(i, since, b) AS (SELECT 0, {_bark('200')}, 0 UNION ALL
+SELECT i + 1, CASE WHEN {_bark('(i + 1) * 250')} - since > ({_bark('3500')} - {_bark('200')}) / 4 THEN {_bark('(i + 1) * 250')} ELSE since END, CASE WHEN {_bark('(i + 1) * 250')} - since > ({_bark('3500')} - {_bark('200')}) / 4 THEN b + 1 ELSE b END FROM walk WHERE i < 15),
+bins AS (SELECT i AS k, b AS band FROM walk WHERE i BETWEEN 1 AND 15 AND b < 4), s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS v FROM events),
+f AS (SELECT user_id, unnest(range(0, (max(pos) - 31) // 10 + 1)) AS frame FROM s GROUP BY 1 HAVING max(pos) >= 31),
+x AS (SELECT f.user_id, frame, pos - 10 * frame AS n, v * (0.54 - 0.46 * cos(2 * pi() * (pos - 10 * frame) / 31)) AS v FROM f JOIN s ON s.user_id = f.user_id AND pos BETWEEN 10 * frame AND 10 * frame + 31),
+p AS (SELECT user_id, frame, band, k, pow(sum(v * cos(2 * pi() * k * n / 32)), 2) + pow(sum(v * sin(2 * pi() * k * n / 32)), 2) AS power FROM x CROSS JOIN bins GROUP BY ALL)
+SELECT user_id, frame, band, round(avg(power), 2) AS energy FROM p GROUP BY ALL""")
+def bark_bands(spark, d):
+    """Frames of 32 values of a user's events, which come in chunks of 10, by the energies of four Bark bands."""
+    from pyspark.sql import Window
+
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    e = table(spark, d, "events").select(F.col("user_id").alias("track_id"), pos.alias("pos"), "value")
+    chunks = e.groupBy("track_id", F.floor(F.col("pos") / 10).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("samples"))
+    found = frames.frame_features(chunks.withColumn("at", F.col("chunk") * 10), frames.bark_bands(4, 200, 3500, 8000, 32), 32, 10, block=3)
+    return found.select(F.col("track_id").alias("user_id"), "frame", F.posexplode("feature").alias("band", "e")).select("user_id", "frame", "band", F.round("e", 2).alias("energy"))
