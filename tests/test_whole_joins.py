@@ -97,3 +97,12 @@ def test_similar_names_by_force(spark):
     parts = [r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
     want = Counter((x, y.split(" ")[0]) for x in parts for y in parts if alike(x, y.split(" ")[0]))
     assert {(r.name, r.other): r.pairs for r in entry_module.queries()["similar_name_pairs"](spark, SF).collect()} == want
+def test_toc_matches_by_force(spark):
+    """Copies are joined as discs, but compared once; each pair stands once."""
+    rng = random.Random(12)
+    discs = [(i, rng.choice([None, 2, 3]), [rng.randint(0, 5), 100 + rng.randint(0, 5)]) for i in range(150)] + [(0, 2, [0, 100])]
+    met = evidence.toc_matches(spark.createDataFrame(discs, "disc_id long, tracks int, offsets array<long>"), 2)
+    want = [(a, b) for a, t, x in discs for b, u, y in discs if t is not None and t == u and a < b and all(abs(p - q) <= 2 for p, q in zip(x, y, strict=True))]
+    assert sorted(map(tuple, met.collect())) == sorted(want)
+    joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "lambda" not in joins[0] and "lambda" not in joins[1]  # discs meet by equal keys; only tables are compared
