@@ -106,3 +106,16 @@ def test_toc_matches_by_force(spark):
     assert sorted(map(tuple, met.collect())) == sorted(want)
     joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert "lambda" not in joins[0] and "lambda" not in joins[1]  # discs meet by equal keys; only tables are compared
+def test_owned_duplicates_with_several_rows(spark):
+    """Folders and albums of several ids and codes are found once; pairs of lone rows pass no exchange after their join."""
+    from tonearm.operators import library
+
+    rng = random.Random(13)
+    some = lambda n: rng.choice([None, *range(n)])
+    wanted = [(rng.randint(0, 60), rng.randint(0, 9), some(4), some(3), some(3)) for _ in range(70)]
+    index = [(rng.randint(0, 60), some(4), some(3), some(3)) for _ in range(70)]
+    got = library.owned_duplicates(spark.createDataFrame(wanted, "album_id long, own_folder long, release_key long, barcode long, code long"), spark.createDataFrame(index, "folder long, release_id long, barcode long, code long"))
+    known = lambda x, y: x is not None and x == y
+    want = {(a, f) for a, o, r, b, c in wanted for f, s, x, y in index if f != o and (known(r, s) or ((r is None or s is None) and known(b, x) and known(c, y)))}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
