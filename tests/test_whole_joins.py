@@ -119,3 +119,10 @@ def test_owned_duplicates_with_several_rows(spark):
     want = {(a, f) for a, o, r, b, c in wanted for f, s, x, y in index if f != o and (known(r, s) or ((r is None or s is None) and known(b, x) and known(c, y)))}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+def test_collision_suffix_of_many(spark):
+    from tonearm.operators import library
+
+    paths = [(i, "A/x.flac" if i % 2 else "a/x.flac") for i in range(1100)] + [(2000, "b")]
+    got = {r.ord: r.final for r in library.collision_suffix(spark.createDataFrame(paths, "ord long, path string")).collect()}
+    assert got == {i: p.removesuffix(".flac") + "".join(f".{k}" for k in range(2, i + 2)) + ".flac" for i, p in paths[:1100]} | {2000: "b"}
+    assert library.collision_suffix(spark.createDataFrame([], "ord long, path string")).count() == 0
