@@ -126,3 +126,10 @@ def test_collision_suffix_of_many(spark):
     got = {r.ord: r.final for r in library.collision_suffix(spark.createDataFrame(paths, "ord long, path string")).collect()}
     assert got == {i: p.removesuffix(".flac") + "".join(f".{k}" for k in range(2, i + 2)) + ".flac" for i, p in paths[:1100]} | {2000: "b"}
     assert library.collision_suffix(spark.createDataFrame([], "ord long, path string")).count() == 0
+def test_wildcard_code_counts(spark):
+    """Counts of the join's rows, from albums counted before it."""
+    local = spark.createDataFrame([(i, c) for i, c in enumerate(["CAPP 10", "capp-10 SA", "CAPP 101", None, "A 1", "x"] * 3)], "album_id long, code string")
+    keys = spark.createDataFrame([(1, "CAPP1012"), (1, "capp 10"), (2, "Capp 10"), (3, None), (4, "CAP")], "candidate_id long, key string")
+    want = Counter((r.prefix, r.candidate_id) for r in evidence.wildcard_code_join(local, keys).collect())
+    counts = evidence.wildcard_code_counts(local, keys)
+    assert {(r.prefix, r.candidate_id): r.albums for r in counts.collect()} == want and want["CAPP10", 1] == 12
