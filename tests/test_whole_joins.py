@@ -97,6 +97,18 @@ def test_similar_names_by_force(spark):
     parts = [r.p_name for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
     want = Counter((x, y.split(" ")[0]) for x in parts for y in parts if alike(x, y.split(" ")[0]))
     assert {(r.name, r.other): r.pairs for r in entry_module.queries()["similar_name_pairs"](spark, SF).collect()} == want
+
+
+def test_nearest_media_answers_equal_requests_once(spark):
+    """Crowds of equal requests and media: brute force's answers, and no more entries met than there are different media."""
+    media = [(i, 1, [i % 3, 5]) for i in range(400)]
+    frame = spark.createDataFrame(media, "id long, tracks int, durations array<long>")
+    got = batch.nearest_media(frame.withColumnRenamed("id", "req_id"), frame.withColumnRenamed("id", "medium_id"), 6, block=8, counted=True).collect()
+    want = [(q, m, 0, k, 400) for q, _, (d, _) in media for k, m in enumerate(range(d, 18, 3), 1)]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    assert max(r.compared for r in got) <= 3
+
+
 def test_toc_matches_by_force(spark):
     """Copies are joined as discs, but compared once; each pair stands once."""
     rng = random.Random(12)
@@ -106,6 +118,8 @@ def test_toc_matches_by_force(spark):
     assert sorted(map(tuple, met.collect())) == sorted(want)
     joins = [line for line in met._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert "lambda" not in joins[0] and "lambda" not in joins[1]  # discs meet by equal keys; only tables are compared
+
+
 def test_owned_duplicates_with_several_rows(spark):
     """Folders and albums of several ids and codes are found once; pairs of lone rows pass no exchange after their join."""
     from tonearm.operators import library
@@ -119,6 +133,8 @@ def test_owned_duplicates_with_several_rows(spark):
     want = {(a, f) for a, o, r, b, c in wanted for f, s, x, y in index if f != o and (known(r, s) or ((r is None or s is None) and known(b, x) and known(c, y)))}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+
+
 def test_collision_suffix_of_many(spark):
     from tonearm.operators import library
 
@@ -126,6 +142,8 @@ def test_collision_suffix_of_many(spark):
     got = {r.ord: r.final for r in library.collision_suffix(spark.createDataFrame(paths, "ord long, path string")).collect()}
     assert got == {i: p.removesuffix(".flac") + "".join(f".{k}" for k in range(2, i + 2)) + ".flac" for i, p in paths[:1100]} | {2000: "b"}
     assert library.collision_suffix(spark.createDataFrame([], "ord long, path string")).count() == 0
+
+
 def test_wildcard_code_counts(spark):
     """Counts of the join's rows, from albums counted before it."""
     local = spark.createDataFrame([(i, c) for i, c in enumerate(["CAPP 10", "capp-10 SA", "CAPP 101", None, "A 1", "x"] * 3)], "album_id long, code string")
