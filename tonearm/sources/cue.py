@@ -19,8 +19,10 @@ def commands(sheets: DataFrame) -> DataFrame:
     file_ord counts FILE lines so far and track_ord TRACK lines; own_track is whether a TRACK came
     since the last FILE, so lines before it describe the album.
     """
-    lines = sheets.select("album_id", F.posexplode(F.split(F.regexp_replace("text", "^\\x{FEFF}", ""), "\\r\\n|\\n")).alias("line", "raw")).withColumn("raw", F.trim(F.regexp_replace("raw", "[\\s\\x00]+", " ")))
-    rows = lines.where("raw <> ''").select("album_id", "line", F.upper(F.regexp_extract("raw", "^(\\S+)", 1)).alias("command"), F.trim(F.regexp_replace("raw", "^\\S+\\s*", "")).alias("rest"))
+    lines = sheets.select("album_id", F.posexplode(F.split(F.regexp_replace("text", "^\\x{FEFF}", ""), "\\r\\n|\\n")).alias("line", "raw")).where(F.col("raw").rlike("[^\\s\\x00]"))
+    lines = lines.withColumn("raw", F.trim(F.regexp_replace("raw", "[\\s\\x00]+", " ")))
+    word = F.substring_index("raw", " ", 1)  # blanks are single by now
+    rows = lines.select("album_id", "line", F.upper(word).alias("command"), F.substring(F.col("raw"), F.length(word) + 2, F.length("raw")).alias("rest"))
     so_far = Window.partitionBy("album_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     mark = lambda c: F.last(F.when(F.col("command") == c, F.col("line")), ignorenulls=True).over(so_far)
     return rows.withColumns({
@@ -39,24 +41,22 @@ def files(cmds: DataFrame) -> DataFrame:
 
 def tracks(cmds: DataFrame) -> DataFrame:
     """album_id, track_ord, file_ord, number, type, title, performer, isrc, pregap."""
-    t = cmds.where("command = 'TRACK' and file_ord > 0").select(
-        "album_id", "track_ord", "file_ord", F.coalesce(F.regexp_extract("rest", "^(\\S+)", 1).try_cast("int"), F.col("track_ord")).alias("number"),
-        F.upper(F.coalesce(F.nullif(F.regexp_extract("rest", "^\\S+\\s+(\\S+)", 1), F.lit("")), F.lit("AUDIO"))).alias("type"),
-    )
-    own = cmds.where("own_track")
+    # a track's own lines begin with its TRACK line, so one grouping gives it and what it says
     last = lambda c, v: F.max_by(F.when(F.col("command") == c, v), F.when(F.col("command") == c, F.col("line")))
-    about = own.groupBy("album_id", "track_ord").agg(
-        last("TITLE", _unquoted(F.col("rest"))).alias("title"), last("PERFORMER", _unquoted(F.col("rest"))).alias("performer"), last("ISRC", _unquoted(F.col("rest"))).alias("isrc"), last("PREGAP", parse_msf(F.col("rest"))).alias("pregap")
-    )
-    return t.join(about, ["album_id", "track_ord"], "left")
+    words = lambda pattern: F.regexp_extract("rest", pattern, 1)
+    per = cmds.where("own_track and file_ord > 0").groupBy("album_id", "track_ord").agg(
+        last("TRACK", F.struct("file_ord", F.coalesce(words("^(\\S+)").try_cast("int"), F.col("track_ord")).alias("number"), F.upper(F.coalesce(F.nullif(words("^\\S+\\s+(\\S+)"), F.lit("")), F.lit("AUDIO"))).alias("type"))).alias("t"),
+        last("TITLE", _unquoted(F.col("rest"))).alias("title"), last("PERFORMER", _unquoted(F.col("rest"))).alias("performer"), last("ISRC", _unquoted(F.col("rest"))).alias("isrc"), last("PREGAP", parse_msf(F.col("rest"))).alias("pregap"),
+    )
+    return per.select("album_id", "track_ord", "t.file_ord", "t.number", "t.type", "title", "performer", "isrc", "pregap")
 
 
 def indexes(cmds: DataFrame) -> DataFrame:
     """album_id, track_ord, number, frames, file_offset: an INDEX between a FILE and its first TRACK belongs to the
     track before, measured in the later file."""
-    i = cmds.where("command = 'INDEX' and track_ord > 0")
-    began = cmds.where("command = 'TRACK'").select("album_id", "track_ord", F.col("file_ord").alias("began"))
-    rows = i.join(began, ["album_id", "track_ord"]).select(
+    so_far = Window.partitionBy("album_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    began = F.last(F.when(F.col("command") == "TRACK", F.col("file_ord")), ignorenulls=True).over(so_far)
+    rows = cmds.withColumn("began", began).where("command = 'INDEX' and track_ord > 0").select(
         "album_id", "track_ord", F.regexp_extract("rest", "^(\\S+)", 1).try_cast("int").alias("number"), parse_msf(F.regexp_extract("rest", "^\\S+\\s+(\\S+)", 1)).alias("frames"), (F.col("file_ord") - F.col("began")).alias("file_offset")
     )
     return rows.where("number is not null and frames is not null")
