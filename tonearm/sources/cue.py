@@ -64,13 +64,15 @@ def indexes(cmds: DataFrame) -> DataFrame:
 
 def albums(cmds: DataFrame) -> DataFrame:
     """album_id, title, performer, catalog, barcode, catalogue_numbers, problem: what a sheet says of the album; problem is set for broken sheets."""
-    album = cmds.where(~F.col("own_track"))
-    last = lambda c: F.max_by(F.when(F.col("command") == c, _unquoted(F.col("rest"))), F.when(F.col("command") == c, F.col("line")))
+    about = lambda c: ~F.col("own_track") & (F.col("command") == c)
+    last = lambda c: F.max_by(F.when(about(c), _unquoted(F.col("rest"))), F.when(about(c), F.col("line")))
     key = F.upper(F.regexp_extract("rest", "^(\\S+)", 1))
     value = _unquoted(F.regexp_replace("rest", "^\\S+\\s*", ""))
-    rem = F.when(F.col("command") == "REM", F.struct("line", key.alias("key"), value.alias("value")))
-    per = album.groupBy("album_id").agg(last("TITLE").alias("title"), last("PERFORMER").alias("performer"), last("CATALOG").alias("catalog"), F.sort_array(F.collect_list(rem)).alias("rems"))
-    early = cmds.groupBy("album_id").agg(F.max("file_ord").alias("files"), F.count_if((F.col("command") == "TRACK") & (F.col("file_ord") == 0)).alias("early"))
+    rem = F.when(about("REM"), F.struct("line", key.alias("key"), value.alias("value")))
+    rems = F.when(F.count_if(~F.col("own_track")) > 0, F.sort_array(F.collect_list(rem)))
+    per = cmds.groupBy("album_id").agg(
+        last("TITLE").alias("title"), last("PERFORMER").alias("performer"), last("CATALOG").alias("catalog"), rems.alias("rems"), F.max("file_ord").alias("files"), F.count_if((F.col("command") == "TRACK") & (F.col("file_ord") == 0)).alias("early")
+    )
     named = F.filter("rems", lambda r: r["key"].isin("COMMENT", "BARCODE"))
     codes = F.transform(named, lambda r: F.coalesce(
         F.nullif(F.replace(F.regexp_extract(r["value"], "(?i)barcode\\s*[:=]?\\s*([0-9][0-9 ]{7,}[0-9])", 1), F.lit(" ")), F.lit("")),
@@ -80,7 +82,7 @@ def albums(cmds: DataFrame) -> DataFrame:
     numbers = F.flatten(F.transform(F.filter("rems", lambda r: r["key"].isin("COMMENT", "CATALOGNUMBER", "CATNO")), lambda r: F.transform(
         F.arrays_zip(F.regexp_extract_all(r["value"], F.lit(_HINT), F.lit(1)).alias("a"), F.regexp_extract_all(r["value"], F.lit(_HINT), F.lit(2)).alias("b")), lambda x: F.concat_ws("-", x["a"], x["b"]))))
     problem = F.when(F.col("early") > 0, "track outside file").when(F.col("files") == 0, "no files")
-    return early.join(per, "album_id", "left").select("album_id", "title", "performer", "catalog", F.coalesce(own, F.try_element_at(F.array_compact(codes), F.lit(1))).alias("barcode"), F.array_distinct(numbers).alias("catalogue_numbers"), problem.alias("problem"))
+    return per.select("album_id", "title", "performer", "catalog", F.coalesce(own, F.try_element_at(F.array_compact(codes), F.lit(1))).alias("barcode"), F.array_distinct(numbers).alias("catalogue_numbers"), problem.alias("problem"))
 
 
 #: Fixed value: a catalogue number in a comment.
