@@ -26,3 +26,8 @@ def test_cue_albums_need_no_join(spark):
     found = cue.albums(cue.commands(spark.createDataFrame(sheets, "album_id long, text string")))
     assert "Join" not in plan(found)
     assert sorted(map(tuple, found.select("album_id", "title", "catalogue_numbers", "problem").collect())) == [(1, None, [], "track outside file"), (2, "T", ["ABC-1234"], None), (3, None, [], "track outside file")]
+def test_disc_ids_visit_their_own_offsets(spark):
+    rows = spark.createDataFrame([(1, [150]), (2, None), (3, [150, None]), (4, list(range(120)))], "n int, offsets array<long>")
+    made = rows.select(discs.musicbrainz_id(F.lit(1), F.col("n"), F.lit(9000), F.col("offsets")).alias("id"))
+    assert "sequence(1, 99" not in plan(made)
+    assert [len(r.id) for r in made.collect()] == [28] * 4

@@ -36,8 +36,8 @@ def lead_out(total: Column, data_track: Column) -> Column:
 def musicbrainz_id(first: Column, last: Column, lead: Column, offsets: Column) -> Column:
     """SHA-1 of the hexadecimal table of contents (99 offsets, zeros for missing), in base64 with ``._-``."""
     hexed = lambda n, width: F.lpad(F.hex(n.cast("long")), width, "0")
-    slots = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: hexed(F.coalesce(F.try_element_at(offsets, i), F.lit(0)), 8))
-    return F.translate(F.base64(F.unhex(F.sha1(F.concat(hexed(first, 2), hexed(last, 2), hexed(lead, 8), F.array_join(slots, ""))))), "+/=", "._-")
+    slots = F.array_join(F.transform(F.slice(offsets, 1, 99), lambda o: hexed(F.coalesce(o, F.lit(0)), 8)), "")  # only the offsets there are; the rest is zeros
+    return F.translate(F.base64(F.unhex(F.sha1(F.concat(hexed(first, 2), hexed(last, 2), hexed(lead, 8), F.rpad(F.coalesce(slots, F.lit("")), 8 * 99, "0"))))), "+/=", "._-")
 
 
 def _digit_sum(n: Column) -> Column:
