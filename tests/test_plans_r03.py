@@ -31,3 +31,6 @@ def test_disc_ids_visit_their_own_offsets(spark):
     made = rows.select(discs.musicbrainz_id(F.lit(1), F.col("n"), F.lit(9000), F.col("offsets")).alias("id"))
     assert "sequence(1, 99" not in plan(made)
     assert [len(r.id) for r in made.collect()] == [28] * 4
+def test_evidence_terms_are_summed_as_an_array(spark):
+    assert "aggregate(array(" in plan(entry_module.queries()["evidence_score"](spark, SF))
+    assert "aggregate(array(" in plan(entry_module.queries()["runner_up_margin"](spark, SF))
