@@ -21,16 +21,27 @@ def test_cue_tracks_and_indexes_need_no_join(spark):
     assert "Join" not in plan(cue.tracks(cmds)) + plan(cue.indexes(cmds))
     assert sorted(map(tuple, cue.tracks(cmds).select("track_ord", "file_ord", "number", "type", "title").collect())) == [(1, 1, 1, "AUDIO", "One two"), (2, 2, 2, "AUDIO", None)]
     assert sorted(map(tuple, cue.indexes(cmds).select("track_ord", "number", "frames", "file_offset").collect())) == [(1, 1, 75, 0), (1, 2, 1, 1), (2, 1, 0, 0)]
+
+
 def test_cue_albums_need_no_join(spark):
     sheets = [(1, "TRACK 01 AUDIO\nREM COMMENT x"), (2, 'REM COMMENT "ABC-1234"\nTITLE "T"\nFILE a WAVE'), (3, "TRACK 01 AUDIO")]
     found = cue.albums(cue.commands(spark.createDataFrame(sheets, "album_id long, text string")))
     assert "Join" not in plan(found)
     assert sorted(map(tuple, found.select("album_id", "title", "catalogue_numbers", "problem").collect())) == [(1, None, [], "track outside file"), (2, "T", ["ABC-1234"], None), (3, None, [], "track outside file")]
+
+
 def test_disc_ids_visit_their_own_offsets(spark):
     rows = spark.createDataFrame([(1, [150]), (2, None), (3, [150, None]), (4, list(range(120)))], "n int, offsets array<long>")
     made = rows.select(discs.musicbrainz_id(F.lit(1), F.col("n"), F.lit(9000), F.col("offsets")).alias("id"))
     assert "sequence(1, 99" not in plan(made)
     assert [len(r.id) for r in made.collect()] == [28] * 4
+
+
+def test_evidence_is_scored_once(spark):
+    query = entry_module.queries()["decision_flags"](spark, SF)
+    assert plan(query).count("LeftOuter") == 1
+
+
 def test_evidence_terms_are_summed_as_an_array(spark):
     assert "aggregate(array(" in plan(entry_module.queries()["evidence_score"](spark, SF))
     assert "aggregate(array(" in plan(entry_module.queries()["runner_up_margin"](spark, SF))
