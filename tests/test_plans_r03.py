@@ -45,3 +45,22 @@ def test_evidence_is_scored_once(spark):
 def test_evidence_terms_are_summed_as_an_array(spark):
     assert "aggregate(array(" in plan(entry_module.queries()["evidence_score"](spark, SF))
     assert "aggregate(array(" in plan(entry_module.queries()["runner_up_margin"](spark, SF))
+
+
+def test_wrapped_fields_of_plain_and_other_letters(spark):
+    """Plain values are cut by places, others by bytes; both as characters one by one."""
+    from tonearm.operators import lookups
+
+    def lines(key: str, value: str) -> str:
+        done, now = [], ""
+        for c in value.replace("\n", " "):
+            if len((now + c).encode()) > 249 - len(key.encode()):
+                done.append(now)
+                now = ""
+            now += c
+        return "\n".join(f"{key}={x}" for x in [*done, now])
+
+    rows = [(k, v) for k in ("T", "TTITLE10", "é" * 100, "x" * 248) for v in ("", "a", "a\nb" * 100, "ab" * 124, "x" * 248, "x" * 249, "é" + "y" * 600, "日本" * 90)]
+    got = spark.createDataFrame(rows, "k string, v string").select("k", "v", lookups.wrapped_field(F.col("k"), F.col("v")).alias("lines"))
+    assert "substring" in plan(got)
+    assert [(r.k, r.v, r.lines) for r in got.collect()] == [(k, v, lines(k, v)) for k, v in rows]

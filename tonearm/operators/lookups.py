@@ -77,7 +77,11 @@ def wrapped_field(key: Column, value: Column) -> Column:
         fits = F.octet_length(s["now"]) + F.octet_length(c) <= room
         return F.when(fits, F.struct(s["done"].alias("done"), F.concat(s["now"], c).alias("now"))).otherwise(F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), c.alias("now")))
 
-    parts = F.aggregate(F.filter(F.split(clean, ""), lambda c: c != ""), start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    each = F.aggregate(F.filter(F.split(clean, ""), lambda c: c != ""), start, step, lambda s: F.concat(s["done"], F.array(s["now"])))
+    # characters of one byte each are cut by their places
+    cuts = F.sequence(F.lit(0), F.greatest(F.length(clean) - 1, F.lit(0)), F.greatest(room, F.lit(1)))
+    plain = (F.octet_length(clean) == F.length(clean)) & (room > 0)
+    parts = F.when(plain, F.transform(cuts, lambda i: F.substring(clean, i + 1, room))).otherwise(each)
     return F.array_join(F.transform(parts, lambda p: F.concat(key, F.lit("="), p)), "\n")
 
 
