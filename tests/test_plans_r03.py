@@ -64,3 +64,15 @@ def test_wrapped_fields_of_plain_and_other_letters(spark):
     got = spark.createDataFrame(rows, "k string, v string").select("k", "v", lookups.wrapped_field(F.col("k"), F.col("v")).alias("lines"))
     assert "substring" in plan(got)
     assert [(r.k, r.v, r.lines) for r in got.collect()] == [(k, v, lines(k, v)) for k, v in rows]
+
+
+def test_prefix_of_near_duplicates_is_no_matter_of_the_sample(spark, monkeypatch):
+    """Whatever a sample would have, prefixes are as short as the least similarity asks."""
+    from tonearm.llm import jaccard
+
+    used, walk = [], jaccard._neighbours
+    monkeypatch.setattr(jaccard, "_neighbours", lambda signed, length, forest: (used.append(length), walk(signed, length, forest))[1])
+    monkeypatch.setattr(jaccard, "fit_prefix", lambda *_: (8, 1.0, 1000))
+    docs = spark.createDataFrame([(i, "a b c d e f g h" if i < 3 else f"x{i} y z") for i in range(6)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in jaccard.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    assert used == [jaccard.Forest().shortest()]

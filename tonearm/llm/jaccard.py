@@ -2,10 +2,9 @@
 
 Each of several trees sorts the texts by a sequence of MinHash values, so texts below one node of
 its prefix trie stand next to each other and share the values on the path. The length at which
-neighbours are linked starts at the whole depth. Of a bounded sample of texts all true links are
-found exactly, in the pass that signs the texts, and with them the longest prefix by which any tree
-joins the two; the length is shortened until the sampled texts have the target share of their links, however
-short that is. Where the sample has too few links to judge by, the length is that by which a pair at just the least similarity meets with the target probability. Texts that
+neighbours are linked is that by which a pair at just the least similarity meets in some tree with the target
+probability; it follows from the number of trees, whatever the table. A bounded sample only tells how that went: all true links of its texts are
+found exactly, in the pass that signs the texts, and where it would ask for shorter prefixes, that is said. Texts that
 are connected by common prefixes are then compared exactly, in blocks.
 """
 
@@ -348,9 +347,10 @@ def _neighbours(signed: DataFrame, length: int, forest: Forest) -> DataFrame:
 
 def _linked(rows: DataFrame, keyed: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     signed, names = _signed(rows, texts, forest)
-    length, recall, sampled = fit_prefix(signed, names, forest)
-    if recall < forest.recall:
-        warnings.warn(f"prefixes of {length} meet {recall:.4f} of {sampled} sampled links", stacklevel=2)
+    length = forest.shortest()
+    asked, recall, sampled = fit_prefix(signed, names, forest)  # a check: it decides nothing
+    if asked < length or recall < forest.recall:
+        warnings.warn(f"prefixes of {length} are used; by {sampled} sampled links {asked} would meet {recall:.4f}", stacklevel=2)
     stars = _neighbours(signed, length, forest)
     groups = components(stars, "join-groups")
     groups = materialize(groups.select("comp", F.col("id").alias("tid")).join(texts, "tid").select("comp", "tid", "key", F.col("rep").alias("doc_id"), "copies", "chars"), "join-members")
