@@ -76,3 +76,14 @@ def test_prefix_of_near_duplicates_is_no_matter_of_the_sample(spark, monkeypatch
     docs = spark.createDataFrame([(i, "a b c d e f g h" if i < 3 else f"x{i} y z") for i in range(6)], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in jaccard.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
     assert used == [jaccard.Forest().shortest()]
+
+
+def test_tracks_are_measured_once(spark):
+    from tonearm.operators import loudness
+
+    rows = [("short", 480, 0, 1, [0.5] * 48), (None, 480, 0, 1, [0.25] * 240)] + [("t", 480, c, 2, [0.5 / (c + 1)] * 240) for c in (0, 1)]
+    got = loudness.measure_tracks(spark.createDataFrame(rows, "track_id string, sample_rate int, channel int, channels int, samples array<double>"))
+    assert plan(got).count("MapInPandas") == 1
+    found = sorted((str(r.track_id), r.block) for r in got.collect())
+    assert found == [("None", None), ("short", None), ("t", 0), ("t", 1)]
+    assert entry_module.queries()["measured_tracks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1

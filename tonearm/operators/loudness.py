@@ -201,6 +201,10 @@ def measure_tracks(pcm: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"track_id": r.track_id, "channel": r.channel, "channels": r.channels, "block": np.append(np.arange(len(mean)), -1), "power": np.append(mean, np.nan), "peak_db": peak})
 
     per = pcm.mapInPandas(run, "track_id string, channel int, channels int, block int, power double, peak_db double")
-    peaks = per.groupBy("track_id").agg(F.max("peak_db").alias("peak_db"))
-    blocks = per.where("block >= 0").groupBy("track_id", "block").agg(F.sum(channel_weight(F.col("channel"), F.col("channels")) * F.col("power")).alias("power"))
-    return peaks.join(blocks, "track_id", "left").select("track_id", "block", "power", "peak_db")
+    power = F.when(F.col("block") >= 0, channel_weight(F.col("channel"), F.col("channels")) * F.col("power"))
+    blocks = per.groupBy("track_id", "block").agg(F.sum(power).alias("power"), F.max("peak_db").alias("peak_db"))
+    # every channel has a row without a block, with its peak: it stays where a track is too short for a block
+    track = Window.partitionBy("track_id")
+    blocks = blocks.withColumns({"peak_db": F.max("peak_db").over(track), "last": F.max(F.when(F.col("track_id").isNotNull(), F.col("block"))).over(track)})
+    kept = blocks.where("block between 0 and last or (block < 0 and coalesce(last, -1) < 0)")
+    return kept.select("track_id", F.when(F.col("block") >= 0, F.col("block")).alias("block"), "power", "peak_db")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checksums, library, lookups, loudness, prints, subprints, tags
 from ..sources import catalogue, containers, cue, folders, images
-from .registry import query, table
+from .registry import dealt, query, table
 
 _MSF = "printf('%02d:%02d:%02d', {f} DIV 4500, {f} DIV 75 % 60, {f} % 75)"
 _LINES = "SELECT DISTINCT l_orderkey AS album_id, CAST(l_linenumber AS INT) AS number, CAST(l_linenumber * 5000 + l_orderkey % 75 AS BIGINT) AS frames FROM {l}"
@@ -382,8 +382,9 @@ def matching_segments(spark, d):
 def measured_tracks(spark, d):
     """K-weighted block powers and true peaks of tones of a second, one a supplier."""
     seconds = F.sequence(F.lit(0), F.lit(47999))
-    tone = F.transform(seconds, lambda i: F.sin(i * (F.col("s_suppkey") % 40 + 1) * 0.02) * 0.5)
-    pcm = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("track_id"), F.lit(48000).alias("sample_rate"), F.lit(0).alias("channel"), F.lit(1).alias("channels"), tone.alias("samples"))
+    tone = F.transform(seconds, lambda i: F.sin(i * F.col("step") * 0.02) * 0.5)
+    suppliers = dealt(table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 40 + 1).alias("step")), "s_suppkey")
+    pcm = suppliers.select(F.col("s_suppkey").cast("string").alias("track_id"), F.lit(48000).alias("sample_rate"), F.lit(0).alias("channel"), F.lit(1).alias("channels"), tone.alias("samples"))
     return loudness.measure_tracks(pcm)
 
 
