@@ -87,3 +87,15 @@ def test_tracks_are_measured_once(spark):
     found = sorted((str(r.track_id), r.block) for r in got.collect())
     assert found == [("None", None), ("short", None), ("t", 0), ("t", 1)]
     assert entry_module.queries()["measured_tracks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_tag_bytes_are_read_once(spark):
+    assert plan(entry_module.queries()["mapped_frames"](spark, SF)).count("ArrowEvalPython") == 1
+
+
+def test_fields_of_null_and_dated_files(spark):
+    from tonearm.operators import tags
+
+    rows = [("a", "id3", 0, "TDAT", "3105"), ("a", "id3", 1, "TYER", " 1984"), ("b", "id3", 0, "TYER", "1984"), ("b", "id3", 1, "TDAT", "0102"), ("b", "id3", 2, "TRCK", "3/9"), ("c", "unknown", None, None, None), ("d", "flac", 0, "DATE", " ")]
+    got = tags.mapped_fields(spark.createDataFrame(rows, "path string, container string, ord int, field string, value string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "DATE", 0, "1984"), ("b", "DATE", 0, "1984-02-01"), ("b", "TOTALTRACKS", 0, "9"), ("b", "TRACKNUMBER", 0, "3"), ("b", "TRACKTOTAL", 0, "9")]

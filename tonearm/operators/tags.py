@@ -113,9 +113,10 @@ def mapped_fields(rows: DataFrame, key: str = "path") -> DataFrame:
     value = F.when(framed & name.startswith("IPLS:"), plain).otherwise(F.col("value"))
     some = rows.where("field is not null").where(~(framed & name.startswith("UFID:") & (name != f"UFID:{RECORDING_OWNER}")))
     dated = framed & name.isin(*_DATES)
-    at = some.where(~dated).select(key, "ord", field.alias("field"), value.alias("value"), "container")
+    # dates keep their frame's name until a file's are put together
+    at = some.select(key, "ord", F.when(dated, name).otherwise(field).alias("field"), F.when(dated, F.col("value")).otherwise(value).alias("value"), "container", dated.alias("dated"))
 
-    paired = F.col("field").isin("TRACKNUMBER", "DISCNUMBER") & (F.col("container") != "flac")
+    paired = ~F.col("dated") & F.col("field").isin("TRACKNUMBER", "DISCNUMBER") & (F.col("container") != "flac")
     parts, disc = F.split("value", "/", 2), F.col("field") == "DISCNUMBER"
     total = F.try_element_at(parts, F.lit(2))
     one = lambda f, v: F.struct(f.alias("field"), v.alias("value"))
@@ -123,21 +124,25 @@ def mapped_fields(rows: DataFrame, key: str = "path") -> DataFrame:
         paired,
         F.filter(F.array(one(F.col("field"), parts[0]), one(F.when(disc, "DISCTOTAL").otherwise("TRACKTOTAL"), total), one(F.when(disc, "TOTALDISCS").otherwise("TOTALTRACKS"), total)), lambda x: x["value"].isNotNull()),
     ).otherwise(F.array(one(F.col("field"), F.col("value"))))
-    fields = at.select(key, "ord", F.explode(each).alias("f")).select(key, "ord", "f.field", "f.value")
-
-    said = F.sort_array(F.collect_list(F.struct("ord", "field", "value")))
+    each = F.transform(each, lambda x: F.struct("ord", x["field"].alias("field"), x["value"].alias("value"), "dated"))
+    # a file's fields meet once: all steps after work on what they become together
+    every = at.groupBy(key).agg(F.flatten(F.collect_list(each)).alias("every"))
+    said = F.sort_array(F.filter("every", lambda x: x["dated"]))
 
     def next_date(d: Column, x: Column) -> Column:
         year = (F.length(x["value"]) == 4) & (F.length(d) == 4)
         whole = F.concat(d, F.lit("-"), F.substring(x["value"], 3, 2), F.lit("-"), F.substring(x["value"], 1, 2))
         return F.when((x["field"] == "TDRC") | ((x["field"] == "TYER") & (d == "")), x["value"]).when((x["field"] == "TDAT") & year, whole).otherwise(d)
 
-    dates = some.where(dated).groupBy(key).agg(F.min("ord").alias("ord"), F.aggregate(said, F.lit(""), next_date).alias("value")).select(key, "ord", F.lit("DATE").alias("field"), "value")
-    fields = fields.unionByName(dates).withColumn("value", F.btrim("value", F.lit(" \t\r\n"))).where("value <> ''")
-    last = fields.where(F.col("field").isin(*_REPLACED)).groupBy(key, "field").agg(F.max("ord").alias("ord"), F.max_by("value", "ord").alias("value"))
-    first = fields.where(~F.col("field").isin(*_REPLACED)).groupBy(key, "field", "value").agg(F.min("ord").alias("ord"))
+    date = F.struct(said[0]["ord"].alias("ord"), F.lit("DATE").alias("field"), F.aggregate(said, F.lit(""), next_date).alias("value"), F.lit(True).alias("dated"))
+    fields = every.select(key, F.explode(F.concat(F.filter("every", lambda x: ~x["dated"]), F.when(F.size(said) > 0, F.array(date)).otherwise(F.array()))).alias("f"))
+    fields = fields.select(key, "f.ord", "f.field", F.btrim("f.value", F.lit(" \t\r\n")).alias("value")).where("value <> ''")
+    replaced = F.col("field").isin(*_REPLACED)
+    fields = fields.withColumn("own", F.when(~replaced, F.col("value")))
+    fields = fields.groupBy(key, "field", "own").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.max_by("value", "ord").alias("value"))
+    fields = fields.select(key, "field", F.when(replaced, F.col("last")).otherwise(F.col("first")).alias("ord"), F.when(replaced, F.col("value")).otherwise(F.col("own")).alias("value"))
     order = F.row_number().over(Window.partitionBy(key, "field").orderBy("ord", "value")) - 1
-    return last.unionByName(first).select(key, "field", order.alias("ord"), "value")
+    return fields.select(key, "field", order.alias("ord"), "value")
 
 
 def renamed(field: Column, names: dict[str, str]) -> Column:

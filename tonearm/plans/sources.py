@@ -181,7 +181,7 @@ _LONG = lambda fields: " UNION ALL ".join(f"SELECT p_partkey AS path, '{f}' AS f
 ]))
 def mapped_frames(spark, d):
     """Fields of tags with numbers, dates in two frames, people, comments and identifiers."""
-    part, text = table(spark, d, "part"), lambda *v: F.concat_ws("\x00", *v)
+    part, text = dealt(table(spark, d, "part"), "p_partkey"), lambda *v: F.concat_ws("\x00", *v)
     k, owner = F.col("p_partkey"), F.lit("http://musicbrainz.org")
     frames = [
         (b"TIT2", b"\x03", F.col("p_name")), (b"TRCK", b"\x03", F.concat((k % 20).cast("string"), F.lit("/20"))), (b"TPOS", b"\x03", F.lit("2")), (b"TYER", b"\x03", F.lit("1984")),
