@@ -99,3 +99,8 @@ def test_fields_of_null_and_dated_files(spark):
     rows = [("a", "id3", 0, "TDAT", "3105"), ("a", "id3", 1, "TYER", " 1984"), ("b", "id3", 0, "TYER", "1984"), ("b", "id3", 1, "TDAT", "0102"), ("b", "id3", 2, "TRCK", "3/9"), ("c", "unknown", None, None, None), ("d", "flac", 0, "DATE", " ")]
     got = tags.mapped_fields(spark.createDataFrame(rows, "path string, container string, ord int, field string, value string"))
     assert sorted(map(tuple, got.collect())) == [("a", "DATE", 0, "1984"), ("b", "DATE", 0, "1984-02-01"), ("b", "TOTALTRACKS", 0, "9"), ("b", "TRACKNUMBER", 0, "3"), ("b", "TRACKTOTAL", 0, "9")]
+
+
+def test_items_are_read_once_by_all_tasks(spark):
+    made = plan(entry_module.queries()["atom_tags"](spark, SF))
+    assert made.count("ArrowEvalPython") == 1 and "RepartitionByExpression [p_partkey" in made

@@ -214,7 +214,7 @@ def atom_tags(spark, d):
     meta = box(b"meta", F.lit(bytes(4)), box(b"hdlr", F.lit(bytes(25))), wide(b"ilst", F.concat(*items)))
     moov = box(b"moov", box(b"mvhd", F.lit(bytes(100))), box(b"udta", meta))
     content = F.concat(box(b"ftyp", F.lit(b"M4A \0\0\0\0")), F.when(k % 2 == 0, wide(b"mdat", F.lit(bytes(64)))).otherwise(box(b"free", F.lit(bytes(8)))), moov)
-    return tags.mapped_fields(containers.tag_rows(table(spark, d, "part").select(k.alias("path"), content.alias("content"))))
+    return tags.mapped_fields(containers.tag_rows(dealt(table(spark, d, "part"), "p_partkey").select(k.alias("path"), content.alias("content"))))
 
 
 @query("SELECT p_partkey AS path, 'ape' AS container, 0 AS ord, 'TITLE' AS field, p_name AS value FROM part")
