@@ -104,3 +104,7 @@ def test_fields_of_null_and_dated_files(spark):
 def test_items_are_read_once_by_all_tasks(spark):
     made = plan(entry_module.queries()["atom_tags"](spark, SF))
     assert made.count("ArrowEvalPython") == 1 and "RepartitionByExpression [p_partkey" in made
+
+
+def test_names_are_parsed_by_all_tasks(spark):
+    assert entry_module.queries()["folder_names"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

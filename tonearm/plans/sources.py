@@ -140,7 +140,7 @@ _FOLDER = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN (1950 + p_pa
  CASE p_partkey % 5 WHEN 0 THEN 'vinyl' WHEN 1 THEN 'sacd' END AS source, CASE WHEN p_partkey % 3 = 1 THEN 'JP' WHEN p_partkey % 5 = 1 THEN 'US' END AS country FROM part""")
 def folder_names(spark, d):
     """Names with the year at several places, editions, media and countries; a year before an edition's words is the title's."""
-    return folders.parse_folders(spark.sql(_FOLDER, p=table(spark, d, "part"))).select("id", "artist", "title", "year", "edition", "edition_year", "source", "country")
+    return folders.parse_folders(spark.sql(_FOLDER, p=dealt(table(spark, d, "part"), "p_partkey"))).select("id", "artist", "title", "year", "edition", "edition_year", "source", "country")
 
 
 @query("SELECT p_partkey AS path, 'flac' AS container, n AS ord, CASE n WHEN 0 THEN 'TITLE' ELSE 'ARTIST' END AS field, CASE n WHEN 0 THEN p_name ELSE p_brand || ' é' END AS value FROM part, (SELECT unnest([0, 1])::INT AS n)")
