@@ -108,3 +108,12 @@ def test_items_are_read_once_by_all_tasks(spark):
 
 def test_names_are_parsed_by_all_tasks(spark):
     assert entry_module.queries()["folder_names"](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_split_plan_reads_lines_once(spark):
+    from tonearm.plans.registry import dealt
+
+    made = plan(entry_module.queries()["split_plan"](spark, SF))
+    assert made.count("Relation") == 1 and "Union" not in made
+    assert dealt(spark.range(1000), "id", task_rows=100).rdd.getNumPartitions() == 10
+    assert dealt(spark.range(10), "id", task_rows=100).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

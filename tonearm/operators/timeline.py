@@ -12,6 +12,14 @@ def starts(rows: DataFrame, key: str, pos: str, length: str) -> DataFrame:
     return rows.withColumn("start", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
 
 
+def laid_out(rows: DataFrame, key: str, order: list[str], length: str) -> DataFrame:
+    """Rows with ``pos``, ``start`` and ``total``: their place, the lengths before them and of all of the key, by one ordering."""
+    by = Window.partitionBy(key).orderBy(*order)
+    before = F.coalesce(F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    total = F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumns({"pos": F.row_number().over(by), "start": before, "total": total})
+
+
 def ends(rows: DataFrame, key: str, total: Column) -> DataFrame:
     """Rows of (key, start) with ``end``: the next start, or the total."""
     return rows.withColumn("end", F.coalesce(F.lead("start").over(Window.partitionBy(key).orderBy("start", "pos")), total))
@@ -23,9 +31,16 @@ def split_plan(tracks: DataFrame, threshold: int = 150) -> DataFrame:
     Audio before the first index becomes track 0 if it is longer than ``threshold`` frames, else it
     is dropped. Albums that break a guard have none: see ``toc_guards``.
     """
-    plan = ends(tracks.withColumn("start", F.col("index01")), "album_id", F.col("total")).select("album_id", F.col("pos").alias("track"), "start", "end")
-    hidden = tracks.groupBy("album_id").agg(F.min("index01").alias("end")).where(F.col("end") > threshold)
-    return plan.unionByName(hidden.select("album_id", F.lit(0).cast("int").alias("track"), F.lit(0).cast("long").alias("start"), F.col("end").cast("long").alias("end")))
+    plan = ends(tracks.withColumn("start", F.col("index01")), "album_id", F.col("total"))
+    album = Window.partitionBy("album_id").orderBy("start", "pos")
+    first = F.min("start").over(album.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    plan = plan.withColumns({"first": first, "place": F.row_number().over(album)})
+    interval = lambda track, start, end: F.struct(track.alias("track"), start.cast("long").alias("start"), end.cast("long").alias("end"))
+    own = interval(F.col("pos"), F.col("start"), F.col("end"))
+    hidden = interval(F.lit(0).cast("int"), F.lit(0), F.col("first"))
+    # an album's first row brings its lead-in along
+    rows = F.when((F.col("place") == 1) & (F.col("first") > threshold), F.array(hidden, own)).otherwise(F.array(own))
+    return plan.select("album_id", F.inline(rows))
 
 
 def toc_guards(tracks: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import discs
 from ..operators import timeline
-from .registry import query, table
+from .registry import dealt, query, table
 
+#: Lines that a task sorts at a time, or so.
+TASK_ROWS = 1 << 18
 LINES = """SELECT l_orderkey AS album_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_tax, l_discount) AS INT) AS pos, CAST(l_quantity AS BIGINT) * 750 + l_partkey % 75 AS frames FROM {l}"""
 TOC = f"""lines AS ({LINES.format(l='lineitem')}), starts AS (SELECT *, coalesce(sum(frames) OVER (PARTITION BY album_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, (sum(frames) OVER (PARTITION BY album_id))::BIGINT AS total FROM lines),
 toc AS (SELECT album_id, count(*) AS n, list(start + 150 ORDER BY pos) AS offsets, max(total) + 150 AS lead FROM starts GROUP BY 1)"""
@@ -36,8 +38,10 @@ def toc_layout(spark, d):
 SELECT album_id, pos AS track, index01::BIGINT AS start, lead(index01, 1, total) OVER (PARTITION BY album_id ORDER BY index01, pos)::BIGINT AS "end" FROM i UNION ALL SELECT album_id, 0 AS track, 0 AS start, min(index01)::BIGINT AS "end" FROM i GROUP BY 1 HAVING min(index01) > 150""")
 def split_plan(spark, d):
     """Track intervals with a lead-in of up to 399 frames; a long one is track 0."""
-    s = timeline.starts(lines(spark, d), "album_id", "pos", "frames")
-    rows = s.select("album_id", "pos", (F.col("start") + F.col("album_id") % 400).alias("index01"), (F.sum("frames").over(Window.partitionBy("album_id")) + F.col("album_id") % 400).alias("total"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_tax", "l_discount"]
+    raw = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("album_id"), *order, (F.col("l_quantity").cast("long") * 750 + F.col("l_partkey") % 75).alias("frames"))
+    s = timeline.laid_out(dealt(raw, "album_id", task_rows=TASK_ROWS), "album_id", order, "frames")
+    rows = s.select("album_id", "pos", (F.col("start") + F.col("album_id") % 400).alias("index01"), (F.col("total") + F.col("album_id") % 400).alias("total"))
     return timeline.split_plan(rows).select("album_id", "track", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
