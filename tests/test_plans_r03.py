@@ -117,3 +117,25 @@ def test_split_plan_reads_lines_once(spark):
     assert made.count("Relation") == 1 and "Union" not in made
     assert dealt(spark.range(1000), "id", task_rows=100).rdd.getNumPartitions() == 10
     assert dealt(spark.range(10), "id", task_rows=100).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def largest_part(spark, change) -> int:
+    """Rows of the largest partition of 400 albums without a set after a change."""
+    from tonearm.plans.albums import _SET
+
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("x").alias("o_orderpriority"))
+    rows = spark.sql(_SET, o=orders).withColumn("set_id", F.lit(None).cast("long"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = change(rows).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(got) == 400
+    return max(sum(r.part == p for r in got) for p in range(4))
+
+
+def test_albums_without_a_set_join_in_many_tasks(spark):
+    from tonearm.operators import albums
+
+    assert largest_part(spark, lambda a: albums.join_set(a, a.where("album_id < 0").select("album_id", F.lit(1).cast("long").alias("to_set")))) < 200

@@ -155,6 +155,11 @@ def ungroup_albums(albums: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.withColumn("set_id", F.when(~gone, F.col("set_id"))).select(albums.columns)
 
 
+def _members():
+    """A window over the members of a set; an album without a set is alone, so that these don't meet in one task."""
+    return Window.partitionBy("set_id", F.when(F.col("set_id").isNull(), F.col("album_id")))
+
+
 def reposition(albums: DataFrame, moves: DataFrame) -> DataFrame:
     """Albums after some got another position, of 1 at least: (album_id, to) rows; a set's total is the largest position, and never falls."""
     rows = albums.join(moves.where("to >= 1"), "album_id", "left").withColumn("position", F.coalesce("to", "position"))
@@ -166,7 +171,7 @@ def reposition(albums: DataFrame, moves: DataFrame) -> DataFrame:
 def join_set(albums: DataFrame, late: DataFrame) -> DataFrame:
     """Albums after late ones joined a set: (album_id, to_set) rows, one for a set. A late disc has the position that it names, else the one after the last."""
     rows = albums.join(late, "album_id", "left").withColumn("set_id", F.coalesce("to_set", "set_id"))
-    w = Window.partitionBy("set_id")
+    w = _members()
     came = F.col("to_set").isNotNull()
     top = F.coalesce(F.max(F.when(~came, F.col("position"))).over(w), F.lit(0))
     rows = rows.withColumn("position", F.when(came, F.coalesce("disc", top + 1)).otherwise(F.col("position")))
