@@ -139,3 +139,14 @@ def test_albums_without_a_set_join_in_many_tasks(spark):
     from tonearm.operators import albums
 
     assert largest_part(spark, lambda a: albums.join_set(a, a.where("album_id < 0").select("album_id", F.lit(1).cast("long").alias("to_set")))) < 200
+
+
+def test_durations_join_albums_before_pairs(spark):
+    from tonearm.operators import evidence
+
+    assert "each_n" in plan(entry_module.queries()["duration_fit"](spark, SF)).split("Join Inner")[1].splitlines()[0]  # the pairing join knows the track counts
+
+    members = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (None, 10), (2, 13)], "group long, album_id long")
+    tracks = spark.createDataFrame([(10, 1, 5), (10, 2, 7), (11, 1, 9), (11, 2, 7), (12, 1, 5), (12, 2, None), (13, 1, 1)], "album_id long, pos int, seconds long")
+    got = evidence.group_duration_fit(members, tracks)
+    assert sorted(map(tuple, got.collect())) == [(10, 11, 2.0, 0.75), (11, 10, 2.0, 0.75)]
