@@ -150,3 +150,18 @@ def test_durations_join_albums_before_pairs(spark):
     tracks = spark.createDataFrame([(10, 1, 5), (10, 2, 7), (11, 1, 9), (11, 2, 7), (12, 1, 5), (12, 2, None), (13, 1, 1)], "album_id long, pos int, seconds long")
     got = evidence.group_duration_fit(members, tracks)
     assert sorted(map(tuple, got.collect())) == [(10, 11, 2.0, 0.75), (11, 10, 2.0, 0.75)]
+
+
+def test_groups_of_frames_are_measured_together(spark):
+    made = plan(entry_module.queries()["bark_bands"](spark, SF))
+    assert "FlatMapGroupsInPandas" not in made and made.count("MapInArrow") == 1
+
+
+def test_frames_keep_large_and_null_ids(spark):
+    import numpy as np
+
+    from tonearm.operators import frames
+
+    chunks = spark.createDataFrame([(2**60 + 1, 0, [1.0] * 9), (None, 0, [2.0, None, float("nan"), 2.0])], "track_id long, at long, samples array<double>").coalesce(1)
+    got = frames.frame_features(chunks, lambda x: np.asarray(x.sum(axis=1, keepdims=True)), 4, 2, block=2)
+    assert sorted(((r.track_id or 0), r.frame, list(r.feature)) for r in got.collect()) == [(0, 0, [4.0]), (2**60 + 1, 0, [4.0]), (2**60 + 1, 1, [4.0]), (2**60 + 1, 2, [4.0])]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Feature = Callable[[np.ndarray], np.ndarray]
+#: Samples of frames that a task measures at a time, or so.
+VALUES = 1 << 20
 
 
 def hamming_power(frames: np.ndarray) -> np.ndarray:
@@ -90,14 +93,26 @@ def frame_features(chunks: DataFrame, feature: Feature, frame: int = 4096, hop:
 
     sent = held.select("track_id", F.explode(F.transform(groups, piece)).alias("p")).select("track_id", "p.*")
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x, there = np.zeros(reach), np.zeros(reach, bool)
-        for place, part in zip(group["place"], group["part"], strict=True):
-            x[place : place + len(part)] = np.nan_to_num(np.asarray(part, np.float64))
-            there[place : place + len(part)] = True
-        whole = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(there, frame)[::hop].all(axis=1))
-        found = feature(np.lib.stride_tricks.sliding_window_view(x, frame)[::hop][whole]) if len(whole) else []
-        return pd.DataFrame({"track_id": pd.Series([key[0]] * len(whole), dtype=group["track_id"].dtype), "frame": key[1] * block + whole, "feature": pd.Series(list(found), dtype=object)})
-
+    parts = sent.groupBy("track_id", "block").agg(F.collect_list(F.struct("place", "part")).alias("p"))
+    parts = parts.select("track_id", "block", F.col("p.place").alias("places"), F.transform("p.part", lambda x: F.size(x)).alias("sizes"), F.flatten("p.part").alias("samples"))
+    most = max(1, VALUES // (block * frame))
     kind = chunks.schema["track_id"].dataType.simpleString()
-    return sent.groupBy("track_id", "block").applyInPandas(run, f"track_id {kind}, frame long, feature array<double>")
+    numbers = lambda c, t: c.flatten().to_numpy(zero_copy_only=False).astype(t)
+
+    def run(batches):
+        for every in batches:
+            for low in range(0, every.num_rows, most):  # groups side by side, as rows of one matrix
+                b = every.slice(low, most)
+                places, sizes = numbers(b["places"], np.int64), numbers(b["sizes"], np.int64)
+                group = np.repeat(np.arange(b.num_rows), pc.list_value_length(b["places"]).to_numpy(zero_copy_only=False))
+                at = np.repeat(group * reach + places - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                x, there = np.zeros((b.num_rows, reach)), np.zeros((b.num_rows, reach), bool)
+                x.ravel()[at], there.ravel()[at] = np.nan_to_num(numbers(b["samples"], np.float64)), True
+                row, place = np.nonzero(np.lib.stride_tricks.sliding_window_view(there, frame, axis=1)[:, ::hop].all(axis=2))
+                if len(row):
+                    found = np.asarray(feature(np.lib.stride_tricks.sliding_window_view(x, frame, axis=1)[:, ::hop][row, place]), np.float64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+                    number = b["block"].to_numpy(zero_copy_only=False)[row] * block + place
+                    yield pa.RecordBatch.from_arrays([b["track_id"].take(pa.array(row)), pa.array(number, pa.int64()), lists], ["track_id", "frame", "feature"])
+
+    return parts.mapInArrow(run, f"track_id {kind}, frame long, feature array<double>")
