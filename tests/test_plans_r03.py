@@ -165,3 +165,13 @@ def test_frames_keep_large_and_null_ids(spark):
     chunks = spark.createDataFrame([(2**60 + 1, 0, [1.0] * 9), (None, 0, [2.0, None, float("nan"), 2.0])], "track_id long, at long, samples array<double>").coalesce(1)
     got = frames.frame_features(chunks, lambda x: np.asarray(x.sum(axis=1, keepdims=True)), 4, 2, block=2)
     assert sorted(((r.track_id or 0), r.frame, list(r.feature)) for r in got.collect()) == [(0, 0, [4.0]), (2**60 + 1, 0, [4.0]), (2**60 + 1, 1, [4.0]), (2**60 + 1, 2, [4.0])]
+
+
+def test_checksums_need_no_join(spark):
+    from tonearm.operators import batch
+
+    assert "Join" not in plan(entry_module.queries()["ctdb_verify"](spark, SF))
+    local = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (None, 1, 5), (2, None, 5)], "disc_id long, pos long, crc long")
+    entries = spark.createDataFrame([(1, 1, 3, 1, 5), (1, 2, 3, 1, 9), (1, 2, 3, None, None), (None, 1, 9, 1, 5), (2, 4, 7, None, 5)], "disc_id long, entry_id long, confidence long, pos long, crc long")
+    got = sorted(((r.disc_id or 0, r.pos or 0), r.confidence, r.total, r.in_best) for r in batch.verify_checksums(local, entries).collect())
+    assert got == [((0, 1), 0, 0, False), ((1, 1), 3, 6, True), ((1, 2), 0, 6, False), ((2, 0), 0, 7, False)]
