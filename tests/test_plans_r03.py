@@ -175,3 +175,9 @@ def test_checksums_need_no_join(spark):
     entries = spark.createDataFrame([(1, 1, 3, 1, 5), (1, 2, 3, 1, 9), (1, 2, 3, None, None), (None, 1, 9, 1, 5), (2, 4, 7, None, 5)], "disc_id long, entry_id long, confidence long, pos long, crc long")
     got = sorted(((r.disc_id or 0, r.pos or 0), r.confidence, r.total, r.in_best) for r in batch.verify_checksums(local, entries).collect())
     assert got == [((0, 1), 0, 0, False), ((1, 1), 3, 6, True), ((1, 2), 0, 6, False), ((2, 0), 0, 7, False)]
+
+
+def test_albums_without_a_set_move_in_many_tasks(spark):
+    from tonearm.operators import albums
+
+    assert largest_part(spark, lambda a: albums.reposition(a, a.where("album_id % 7 = 0").select("album_id", F.lit(2).alias("to")))) < 200

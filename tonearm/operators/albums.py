@@ -163,7 +163,7 @@ def _members():
 def reposition(albums: DataFrame, moves: DataFrame) -> DataFrame:
     """Albums after some got another position, of 1 at least: (album_id, to) rows; a set's total is the largest position, and never falls."""
     rows = albums.join(moves.where("to >= 1"), "album_id", "left").withColumn("position", F.coalesce("to", "position"))
-    w = Window.partitionBy("set_id")
+    w = _members()
     moved = F.max(F.col("to").isNotNull()).over(w) & F.col("set_id").isNotNull()
     return rows.withColumn("total", F.when(moved, F.greatest(F.max("position").over(w), F.coalesce("total", F.lit(0)))).otherwise(F.col("total"))).select(albums.columns)
 
