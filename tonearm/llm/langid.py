@@ -141,13 +141,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(df)
         yield pd.DataFrame({"bucket": np.append(some, -1), "n": np.append(df[some], n)})
 
-    out, total = np.zeros(1 << BITS, np.int64), 0
-    for r in docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        if r.bucket < 0:
-            total = r.n
-        else:
-            out[r.bucket] = r.n
-    return out, total
+    out = np.zeros(1 << BITS, np.int64)
+    found = docs.select("text").mapInPandas(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    out[bucket[bucket >= 0]] = n[bucket >= 0]
+    return out, int(n[bucket < 0].sum())
 
 
 def train_languages(docs: DataFrame, learn: Column, t: Training = Training()) -> LanguageModel | None:
@@ -167,15 +165,15 @@ def train_languages(docs: DataFrame, learn: Column, t: Training = Training()) ->
     place = F.xxhash64("doc_id", "text", F.lit("sample"))
     part = F.pmod(place, F.lit(1 << 30)) < rate * (1 << 30)
 
-    @F.pandas_udf("struct<found: array<int>, count: array<int>>")
+    @F.pandas_udf("struct<found: binary, count: binary>")  # 32-bit little-endian: lists of numbers would be ten times as large in the driver
     def grams(text: pd.Series) -> pd.DataFrame:
-        rows = list(gram_counts(text.tolist()))
-        return pd.DataFrame({"found": [f.astype(np.int32) for f, _ in rows], "count": [c.astype(np.int32) for _, c in rows]})
+        rows = [(f.astype("<i4").tobytes(), c.astype("<i4").tobytes()) for f, c in gram_counts(text.tolist())]
+        return pd.DataFrame(rows, columns=["found", "count"], dtype="object")
 
     sample = known.where(part).select("doc_id", "lang", place.alias("place"), grams("text").alias("g")).orderBy("place", "doc_id", "lang", "g").limit(4 * t.per_language * len(languages))
     rows = sorted(sample.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.lang, r.place))
-    found = [np.array(r.g.found, np.int64) for r in rows]
-    return fit([(f, tfidf(f, np.array(r.g["count"], np.int64), idf)) for f, r in zip(found, rows, strict=True)], np.array([languages.index(r.lang) for r in rows]), languages, idf, t)
+    found = [np.frombuffer(r.g.found, "<i4") for r in rows]
+    return fit([(f, tfidf(f, np.frombuffer(r.g["count"], "<i4"), idf)) for f, r in zip(found, rows, strict=True)], np.array([languages.index(r.lang) for r in rows]), languages, idf, t)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
