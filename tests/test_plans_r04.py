@@ -42,3 +42,16 @@ def test_facts_of_a_group(spark):
     assert all((r[5] is None) == (r[6] is None) for r in got)
     alone = [tuple(r) for r in evidence.group_facts(members, tracks, 1000, alone=True).where("candidate_id is null").collect()]
     assert alone == [("h", 5, None, 1, None, None, None)]
+
+
+def test_rivals_are_found_where_pairs_are(unbroadcast):
+    keys = dealt_by(entry_module.queries()["runner_up_margin"](unbroadcast, SF))
+    assert keys and not [k for k in keys if "twin_key" in k or "candidate_id" in k]
+
+
+def test_rivals_within_a_group(spark):
+    rows = [("g", 1, 2, 9.0, 3, 0), ("g", 1, 3, 8.0, 3, 0), ("g", 1, 4, 7.0, 2, 1), ("g", 2, 1, 5.0, 1, None), ("g", 2, 3, 5.0, 1, None), ("h", 5, None, 1.0, 0, None)]
+    scored = spark.createDataFrame(rows, "group string, album_id long, candidate_id long, score double, confidence_rank int, twin_key long")
+    for within in (None, ["group"]):
+        got = evidence.runner_up(scored, within=within).select("album_id", "candidate_id", "rival_id", "margin").collect()
+        assert sorted(map(tuple, got)) == [(1, 2, 4, 2.0), (2, 1, 3, 0.0)]
