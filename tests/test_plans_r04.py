@@ -55,3 +55,8 @@ def test_rivals_within_a_group(spark):
     for within in (None, ["group"]):
         got = evidence.runner_up(scored, within=within).select("album_id", "candidate_id", "rival_id", "margin").collect()
         assert sorted(map(tuple, got)) == [(1, 2, 4, 2.0), (2, 1, 3, 0.0)]
+
+
+def test_decisions_shuffle_no_pair(unbroadcast):
+    keys = dealt_by(entry_module.queries()["decision_flags"](unbroadcast, SF))
+    assert keys and not [k for k in keys if "twin_key" in k or "candidate_id" in k]
