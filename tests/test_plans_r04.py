@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 
 import __spark_entry__ as entry_module
 from tonearm.operators import evidence
+from tonearm.sources import cue
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,25 @@ def test_rivals_within_a_group(spark):
 def test_decisions_shuffle_no_pair(unbroadcast):
     keys = dealt_by(entry_module.queries()["decision_flags"](unbroadcast, SF))
     assert keys and not [k for k in keys if "twin_key" in k or "candidate_id" in k]
+
+
+def test_cue_sheets_are_cut_once_within_their_rows(spark):
+    frame = entry_module.queries()["cue_tracks"](spark, SF)
+    made = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in made and "Join" not in made
+    assert made.count("[\\s\\x00]+") == 1
+    assert len(dealt_by(frame)) == 1
+
+
+def test_starts_are_what_tracks_indexes_and_albums_say(spark):
+    pieces = ['FILE "a b.wav" WAVE', "file c", "TRACK 01 AUDIO", "\ttrack 07  DATA", "TRACK x", 'TITLE "One"', "TITLE", "title  two \x00 words", "TITLE a\rb", 'ISRC "Q" ', "INDEX 00 00:00:00", "INDEX 01 00:01:02", "INDEX 1 00:02:00", "INDEX 01 00:99:00", "INDEX 01", " \x00 ", ""]
+    deal = random.Random(4)
+    texts = [("\ufeff" if i % 9 == 0 else "") + ("FILE f WAVE\n" if i % 4 else "") + ("\n", "\r\n")[i % 2].join(deal.choices(pieces, k=deal.randrange(16))) for i in range(500)]
+    sheets = spark.createDataFrame([*enumerate(texts), (500, None)], "album_id long, text string")
+    cmds = cue.commands(sheets)
+    first = cue.indexes(cmds).where("number = 1").select("album_id", "track_ord", "frames")
+    whole = cue.albums(cmds).where("problem is null").select("album_id")
+    want = cue.tracks(cmds).join(first, ["album_id", "track_ord"]).join(whole, "album_id", "left_semi").select("album_id", "track_ord", "number", "title", "isrc", "frames")
+    got = cue.starts(sheets)
+    assert got.dtypes == want.dtypes and got.count() > 100
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

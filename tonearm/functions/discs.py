@@ -13,10 +13,14 @@ DATA_GAP = 11400
 
 def parse_msf(text: Column) -> Column:
     """mm:ss:ff as frames; null unless 0 <= ss < 60 and 0 <= ff < 75."""
-    p = F.transform(F.split(text, ":"), lambda x: F.trim(x).try_cast("int"))
-    m, s, f = (F.try_element_at(p, F.lit(i)) for i in (1, 2, 3))
-    ok = (F.size(p) == 3) & (m >= 0) & (s >= 0) & (s < 60) & (f >= 0) & (f < FRAMES_PER_SECOND)
-    return F.when(ok, (m * 60 + s) * FRAMES_PER_SECOND + f)
+    parts = F.transform(F.split(text, ":"), lambda x: F.trim(x).try_cast("int"))
+
+    def frames(p: Column) -> Column:
+        m, s, f = (F.try_element_at(p, F.lit(i)) for i in (1, 2, 3))
+        ok = (F.size(p) == 3) & (m >= 0) & (s >= 0) & (s < 60) & (f >= 0) & (f < FRAMES_PER_SECOND)
+        return F.when(ok, (m * 60 + s) * FRAMES_PER_SECOND + f)
+
+    return F.get(F.transform(F.array(parts), frames), 0)  # in an array of one, the parts are cut once and not for each use
 
 
 def format_msf(frames: Column) -> Column:

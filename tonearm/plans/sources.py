@@ -32,13 +32,23 @@ def _utf8(c: Column) -> Column:
     return F.encode(c, "UTF-8")
 
 
+#: Lines a task that makes sheets of them.
+SHEET_LINES = 500_000
+
+
 def sheets(spark, d) -> DataFrame:
     """A cue sheet an order: two files, a track a line."""
-    rows = spark.sql(_LINES, l=table(spark, d, "lineitem"))
-    msf = F.format_string("%02d:%02d:%02d", F.floor(F.col("frames") / 4500), F.floor(F.col("frames") / 75) % 60, F.col("frames") % 75)
-    file = F.when(F.col("number") == 1, F.concat(F.lit('FILE "disc '), "album_id", F.lit('.wav" WAVE\n'))).when(F.col("number") == 4, "FILE second.wav WAVE\n").otherwise("")
-    line = F.concat(file, F.format_string("  TRACK %02d AUDIO\n", "number"), F.lit('    TITLE "Song '), "number", F.lit('"\n    ISRC AB'), "album_id", F.lit("\n    INDEX 00 00:00:00\n    INDEX 01 "), msf, F.lit("\n"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("t")))), lambda x: x["t"]), "")
+    # made distinct in their sheets, by the one grouping
+    rows = dealt(spark.sql(_LINES.replace("DISTINCT ", ""), l=table(spark, d, "lineitem")), "album_id", task_rows=SHEET_LINES)
+
+    def line(x: Column) -> Column:
+        two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+        number, frames = x["number"], x["frames"]
+        file = F.when(number == 1, F.concat(F.lit('FILE "disc '), "album_id", F.lit('.wav" WAVE\n'))).when(number == 4, "FILE second.wav WAVE\n").otherwise("")
+        msf = F.concat(two(F.floor(frames / 4500)), F.lit(":"), two(F.floor(frames / 75) % 60), F.lit(":"), two(frames % 75))
+        return F.concat(file, F.lit("  TRACK "), two(number), F.lit(' AUDIO\n    TITLE "Song '), number, F.lit('"\n    ISRC AB'), "album_id", F.lit("\n    INDEX 00 00:00:00\n    INDEX 01 "), msf, F.lit("\n"))
+
+    text = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("number", "frames"))), line), "")
     head = F.concat(F.lit('REM COMMENT "Barcode: 4988 0061'), F.lpad((F.col("album_id") % 10000).cast("string"), 4, "0"), F.lit('"\nPERFORMER "Band '), (F.col("album_id") % 9).cast("string"), F.lit('"\nTITLE "Album '), "album_id", F.lit('"\n'))
     return rows.groupBy("album_id").agg(text.alias("body")).select("album_id", F.concat(head, "body").alias("text"))
 
@@ -46,10 +56,7 @@ def sheets(spark, d) -> DataFrame:
 @query(f"WITH l AS ({_LINES.format(l='lineitem')}), f AS (SELECT album_id, min(number) AS first FROM l GROUP BY 1) SELECT l.album_id, l.number::BIGINT AS number, 'Song ' || l.number AS title, 'AB' || l.album_id AS isrc, l.frames FROM l JOIN f USING (album_id) WHERE f.first = 1 OR f.first = 4")
 def cue_tracks(spark, d):
     """Tracks of cue sheets with the start of each; sheets whose first line is no file are broken, and left out."""
-    cmds = cue.commands(sheets(spark, d))
-    starts = cue.indexes(cmds).where("number = 1").select("album_id", "track_ord", F.col("frames").cast("long").alias("frames"))
-    whole = cue.albums(cmds).where("problem is null").select("album_id")
-    return cue.tracks(cmds).join(starts, ["album_id", "track_ord"]).join(whole, "album_id", "left_semi").select("album_id", "number", "title", "isrc", "frames")
+    return cue.starts(sheets(spark, d)).select("album_id", "number", "title", "isrc", F.col("frames").cast("long").alias("frames"))
 
 
 @query(f"WITH l AS ({_LINES.format(l='lineitem')}), f AS (SELECT album_id, min(number) AS first FROM l GROUP BY 1) SELECT album_id, CASE WHEN first IN (1, 4) THEN 'Album ' || album_id END AS title, 'Band ' || (album_id % 9) AS performer, '49880061' || lpad((album_id % 10000)::VARCHAR, 4, '0') AS barcode, CASE WHEN first <> 1 AND first <> 4 THEN 'track outside file' END AS problem FROM f")

@@ -13,14 +13,24 @@ def _unquoted(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), '^"(.*?)"?$', "$1")
 
 
+def _raw_lines(text: Column) -> Column:
+    """Lines without a mark at the start of the text; what is left of an end of line is blank."""
+    return F.split(F.when(text.startswith("\ufeff"), F.substring(text, F.lit(2), F.length(text))).otherwise(text), "\n")
+
+
+def _clean(raw: Column) -> Column:
+    """A line with single blanks, none at its ends."""
+    plain = F.trim(raw)
+    return F.when(plain.rlike("[\\t\\x0B\\f\\r\\x00]|  "), F.trim(F.regexp_replace(raw, "[\\s\\x00]+", " "))).otherwise(plain)
+
+
 def commands(sheets: DataFrame) -> DataFrame:
     """album_id, line, command, rest, file_ord, track_ord, own_track of (album_id, text) rows.
 
     file_ord counts FILE lines so far and track_ord TRACK lines; own_track is whether a TRACK came
     since the last FILE, so lines before it describe the album.
     """
-    lines = sheets.select("album_id", F.posexplode(F.split(F.regexp_replace("text", "^\\x{FEFF}", ""), "\\r\\n|\\n")).alias("line", "raw")).where(F.col("raw").rlike("[^\\s\\x00]"))
-    lines = lines.withColumn("raw", F.trim(F.regexp_replace("raw", "[\\s\\x00]+", " ")))
+    lines = sheets.select("album_id", F.posexplode(_raw_lines(F.col("text"))).alias("line", "raw")).withColumn("raw", _clean(F.col("raw"))).where("raw <> ''")
     word = F.substring_index("raw", " ", 1)  # blanks are single by now
     rows = lines.select("album_id", "line", F.upper(word).alias("command"), F.substring(F.col("raw"), F.length(word) + 2, F.length("raw")).alias("rest"))
     so_far = Window.partitionBy("album_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -31,6 +41,34 @@ def commands(sheets: DataFrame) -> DataFrame:
     })
 
 
+def starts(sheets: DataFrame) -> DataFrame:
+    """album_id, track_ord, number, title, isrc, frames: each INDEX 01 of each track, of (album_id, text) rows; broken sheets are left out.
+
+    What tracks, indexes and albums say of the same lines. But a sheet is cut within its own row, so its lines are neither sorted nor grouped.
+    """
+    lines = F.filter(F.transform(_raw_lines(F.col("text")), _clean), lambda raw: raw != "")
+    word = lambda raw: F.substring_index(raw, " ", 1)
+    rows = sheets.select("album_id", lines.alias("lines")).select("album_id", F.transform("lines", lambda raw: F.struct(
+        F.upper(word(raw)).alias("command"), F.substring(raw, F.length(word(raw)) + 2, F.length(raw)).alias("rest"))).alias("lines"))
+    places = F.array_compact(F.transform("lines", lambda x, i: F.when(x["command"] == "TRACK", i + 1)))
+    rows = rows.select("album_id", "lines", F.array_position("lines.command", "FILE").alias("file"), places.alias("places"))
+    # filters on what was made of the lines would make it once more for each of them, so only what is exploded is filtered
+    whole = (F.col("file") > 0) & (F.try_element_at("places", F.lit(1)) > F.col("file"))
+    rows = rows.select("album_id", "lines", "places", F.posexplode_outer(F.when(whole, F.col("places"))).alias("k", "place")).where("place is not null")
+    end = F.coalesce(F.get("places", F.col("k") + 1), F.size("lines") + 1)
+    rows = rows.select("album_id", (F.col("k") + 1).cast("long").alias("track_ord"), F.element_at("lines", F.col("place"))["rest"].alias("track"), F.slice("lines", F.col("place") + 1, end - F.col("place") - 1).alias("lines"))
+    # a later FILE ends what is said of the track, though not its INDEX lines
+    file = F.array_position("lines.command", "FILE").cast("int")
+    rows = rows.withColumn("own", F.when(file > 0, F.slice("lines", F.lit(1), file - 1)).otherwise(F.col("lines")))
+    said = lambda c: F.try_element_at(F.filter("own", lambda x: x["command"] == c), F.lit(-1))["rest"]
+    rows = rows.select("album_id", "track_ord", "track", said("TITLE").alias("title"), said("ISRC").alias("isrc"), F.explode_outer(F.filter("lines", lambda x: x["command"] == "INDEX")["rest"]).alias("rest"))
+    first = F.regexp_extract("rest", "^(\\S+)", 1).try_cast("int") == 1
+    return rows.where(first).select(
+        "album_id", "track_ord", F.coalesce(F.regexp_extract("track", "^(\\S+)", 1).try_cast("int"), F.col("track_ord")).alias("number"), _unquoted(F.col("title")).alias("title"), _unquoted(F.col("isrc")).alias("isrc"),
+        parse_msf(F.regexp_extract("rest", "^\\S+\\s+(\\S+)", 1)).alias("frames"),
+    ).where("frames is not null")
+
+
 def files(cmds: DataFrame) -> DataFrame:
     """album_id, file_ord, name, type: the type is the last word; a name may have blanks with or without quotes."""
     f = cmds.where("command = 'FILE' and rest <> ''")
