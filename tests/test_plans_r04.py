@@ -84,3 +84,9 @@ def test_starts_are_what_tracks_indexes_and_albums_say(spark):
     got = cue.starts(sheets)
     assert got.dtypes == want.dtypes and got.count() > 100
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_library_rows_are_dealt_by_album_and_folder_once(unbroadcast):
+    """What a side is made distinct and counted by needs one shuffle of it, not two."""
+    keys = dealt_by(entry_module.queries()["library_duplicates"](unbroadcast, SF))
+    assert keys and not [k for k in keys if len(k.split(",")) > 2]
